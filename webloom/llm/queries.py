@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import mixing, sharding, urlrules
+from webloom.llm import minhash, mixing, sharding, urlrules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,8 +43,13 @@ def op7_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(_table(spark, sf_dir, "documents"), minhash.MinHash(words=4))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op5_url_filter, op7_shard_bytes)}
+    return {f.__name__: f for f in (op1_mix_sources, op5_url_filter, op7_shard_bytes, op8_minhash_near_dedup)}
 
 
 _URL = "coalesce(url, '')"
@@ -60,7 +65,19 @@ def _fits(rule: str) -> str:
     return f"((host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}'))"
 
 
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+
 SQL: dict[str, str] = {
+    "op8_minhash_near_dedup": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                     ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS x FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+        r AS (SELECT doc_id AS a, doc_id AS r FROM documents UNION SELECT l.b, r.r FROM r JOIN l ON l.a = r.a)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.r) AS component_id, d.doc_id = min(r.r) AS kept
+        FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.a = d.doc_id GROUP BY d.doc_id, n.n""",
     "op5_url_filter": f"""
         WITH p AS (SELECT page_id, url, {_HOST} AS host, {_PATH} AS path FROM pages),
         r AS (SELECT *, CASE {" ".join(f"WHEN {_fits(r.name)} THEN '{r.name}'" for r in sorted(HOST_RULES, key=lambda r: -len(r.name)))} END AS rule FROM p)
