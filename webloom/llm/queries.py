@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import minhash, mixing, sharding, urlrules
+from webloom.llm import minhash, mixing, quality, sharding, urlrules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op2_quality_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 HOST_RULES = (
     urlrules.host_rule("allow", "com/"),
     urlrules.host_rule("block", "example.com/en/"),
@@ -49,7 +53,7 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op5_url_filter, op7_shard_bytes, op8_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_quality_bradley_terry, op5_url_filter, op7_shard_bytes, op8_minhash_near_dedup)}
 
 
 _URL = "coalesce(url, '')"
