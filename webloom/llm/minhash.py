@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,7 +99,7 @@ def signatures(docs: DataFrame, p: MinHash, id_col: str = "doc_id", text_col: st
                 # two independent sums over the set make its key
                 keys = [mix(s).sum(dtype=np.uint64).tobytes() + mix(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).tobytes() for s in full]
                 where = pa.array(np.where(sizes > 0, np.cumsum(sizes > 0) - 1, -1))
-                where = pa.compute.if_else(pa.compute.greater_equal(where, 0), where, None)
+                where = pc.if_else(pc.greater_equal(where, 0), where, None)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(sizes), pa.array(keys, pa.binary()).take(where), _lists(bands).take(where), _lists(_pack(minima, p.bits)).take(where)],
                     schema=schema,

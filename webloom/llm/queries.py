@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import minhash, mixing, quality, sharding, urlrules
+from webloom.llm import minhash, mixing, quality, sharding, urlrules, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,11 @@ def op2_quality_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.read_archives(warc.archive_pages(_table(spark, sf_dir, "pages")), payloads=False)
+    return read.filter("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 HOST_RULES = (
     urlrules.host_rule("allow", "com/"),
     urlrules.host_rule("block", "example.com/en/"),
@@ -53,7 +58,7 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_quality_bradley_terry, op5_url_filter, op7_shard_bytes, op8_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_quality_bradley_terry, op4_warc_salvage, op5_url_filter, op7_shard_bytes, op8_minhash_near_dedup)}
 
 
 _URL = "coalesce(url, '')"
@@ -72,6 +77,13 @@ def _fits(rule: str) -> str:
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
 
 SQL: dict[str, str] = {
+    "op4_warc_salvage": """
+        WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS d, strlen(coalesce(html, '')) AS n FROM pages),
+        f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
+        SELECT p.page_id, n AS payload_bytes, p.d AS payload_digest,
+               CASE WHEN f.first <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN f.first <> p.page_id THEN f.first END AS refers_to
+        FROM p LEFT JOIN f ON f.d = p.d""",
     "op8_minhash_near_dedup": f"""
         WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
