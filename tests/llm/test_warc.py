@@ -28,8 +28,8 @@ def test_salvage_recovers_what_follows_damage(zipped, chunk, monkeypatch):
     assert walk(whole) == (list(range(9)), [])
     starts = [sum(map(len, members[:i])) for i in range(10)]
     broken = bytearray(whole)
-    at = starts[3] + len(members[3]) // 2
-    broken[at : at + 4] = b"\0\0\0\1"
+    at = starts[4] - 12
+    broken[at : at + 4] = bytes(255 - x for x in broken[at : at + 4])
     assert walk(bytes(broken)) == ([0, 1, 2, 4, 5, 6, 7, 8], [(starts[3], starts[4])])
     cut = whole[: starts[2]] + members[2][: len(members[2]) // 2] + b"".join(members[3:])
     pages, gaps = walk(cut)
