@@ -22,6 +22,8 @@ _LOWER = np.arange(256, dtype=np.uint64) + U64(1)
 _LOWER[65:91] += U64(32)
 _INSIDE = np.ones(256, dtype=bool)
 _INSIDE[[32, 9, 10, 11, 12, 13]] = False
+#: For Words(..., letters=PLAIN): words end at every ASCII byte but letters and digits, so that punctuation makes no difference.
+PLAIN = np.array([not (b < 128 and not chr(b).isalnum()) for b in range(256)])
 _powers: list[np.ndarray] = []
 
 
@@ -70,7 +72,7 @@ def _blocks(inside: np.ndarray, stops: np.ndarray) -> Iterator[tuple[int, int]]:
 class Words:
     """The words of a run of texts: hashes, byte positions in data, and where each text's words begin."""
 
-    def __init__(self, texts: pa.Array, positions: bool = False) -> None:
+    def __init__(self, texts: pa.Array, positions: bool = False, letters: np.ndarray = _INSIDE) -> None:
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         texts = texts.fill_null("")
@@ -80,7 +82,7 @@ class Words:
         raw = np.frombuffer(data, dtype=np.uint8)[offs[0] : offs[-1]] if data is not None else np.zeros(0, np.uint8)
         self.data, self.stops = raw, offs - offs[0]
         hashes, starts, ends = [], [], []
-        inside_all = _INSIDE[raw]
+        inside_all = letters[raw]
         for a, b in _blocks(inside_all, self.stops) if len(raw) else ():
             inside = inside_all[a:b]
             begins, finishes = inside.copy(), inside.copy()
