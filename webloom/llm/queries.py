@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import decontam, minhash, mixing, quality, sharding, topk, urlrules, warc
+from webloom.llm import decontam, minhash, mixing, ngram, quality, sharding, topk, urlrules, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,12 +61,16 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.language_model_scores(_table(spark, sf_dir, "documents"))
+
+
 def op10_bm25_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_quality_bradley_terry, op3_pivot_top_k, op4_warc_salvage, op5_url_filter, op7_shard_bytes, op8_minhash_near_dedup, op10_bm25_decontaminate)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_quality_bradley_terry, op3_pivot_top_k, op4_warc_salvage, op5_url_filter, op7_shard_bytes, op8_minhash_near_dedup, op9_kneser_ney, op10_bm25_decontaminate)}
 
 
 _URL = "coalesce(url, '')"
