@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import decontam, minhash, mixing, ngram, quality, sharding, topk, urlrules, warc
+from webloom.llm import decontam, minhash, mixing, ngram, passages, quality, sharding, topk, urlrules, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,6 +49,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", rule.alias("rule"), "verdict")
 
 
+def op6_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op7_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_bytes(_table(spark, sf_dir, "documents"))
     return placed.select(
@@ -70,7 +74,7 @@ def op10_bm25_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_quality_bradley_terry, op3_pivot_top_k, op4_warc_salvage, op5_url_filter, op7_shard_bytes, op8_minhash_near_dedup, op9_kneser_ney, op10_bm25_decontaminate)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_quality_bradley_terry, op3_pivot_top_k, op4_warc_salvage, op5_url_filter, op6_chained_passages, op7_shard_bytes, op8_minhash_near_dedup, op9_kneser_ney, op10_bm25_decontaminate)}
 
 
 _URL = "coalesce(url, '')"
