@@ -107,8 +107,13 @@ def mix_sources(
 
 
 def take_mix(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents of a mix: each row of docs as often as mix_sources() says. Ids are taken to be unique."""
-    copies = mix.select(F.col("doc_id").alias("_mix_id"), F.col("copies").alias("_mix_copies"))
-    joined = docs.join(copies, docs[id_col].eqNullSafe(copies["_mix_id"]))
-    repeated = joined.filter("_mix_copies > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int"))))
-    return repeated.select(*[docs[c] for c in docs.columns])
+    """The documents of a mix: each row of docs as often as mix_sources() says, in the columns of docs.
+
+    Rows that share an id are all taken as often as the one taken most; rows
+    with a null id are taken once.
+    """
+    copies = mix.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("copies").cast("int").alias("_mix_copies"))
+    copies = materialize(copies, "copies")
+    joined = docs.join(copies, docs[id_col] == copies["_mix_id"]).filter("_mix_copies > 0")
+    repeated = joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
+    return repeated.select(*[docs[c] for c in docs.columns]).unionByName(docs.filter(F.col(id_col).isNull()))
