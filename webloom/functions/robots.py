@@ -47,10 +47,10 @@ def rule_regex(pattern: Column) -> Column:
 
 def robots_allowed(urls: DataFrame, rules: DataFrame, origin_col: str = "origin", path_col: str = "path") -> DataFrame:
     """urls with a column allowed: by the longest matching rule, allow at equal length; true where none matches."""
-    keyed = urls.withColumn("_row", F.monotonically_increasing_id())
-    r = rules.filter(F.col("kind").isin("allow", "disallow")).select(F.col("origin").alias("_origin"), F.col("kind").alias("_kind"), F.col("value").alias("_value"), rule_regex(F.col("value")).alias("_regex"))
-    hit = F.call_function("rlike", F.col(path_col), F.col("_regex"))
-    matched = keyed.join(r, F.col(origin_col) == F.col("_origin"), "left")
-    best = F.max(F.when(hit, F.struct(F.length("_value").alias("n"), (F.col("_kind") == "allow").alias("ok"))))
-    verdict = matched.groupBy("_row", *[F.col(c) for c in urls.columns]).agg(best.alias("_best"))
-    return verdict.select(*urls.columns, F.coalesce("_best.ok", F.lit(True)).alias("allowed"))
+    pairs = urls.select(F.col(origin_col).alias("_ro_origin"), F.col(path_col).alias("_ro_path")).distinct()
+    r = rules.filter(F.col("kind").isin("allow", "disallow")).select(F.col("origin").alias("_ru_origin"), F.col("kind").alias("_ru_kind"), F.col("value").alias("_ru_value"), rule_regex(F.col("value")).alias("_ru_regex"))
+    hit = F.call_function("rlike", F.col("_ro_path"), F.col("_ru_regex"))
+    best = F.max(F.when(hit, F.struct(F.length("_ru_value").alias("n"), (F.col("_ru_kind") == "allow").alias("ok"))))
+    verdict = pairs.join(r, F.col("_ro_origin") == F.col("_ru_origin")).groupBy("_ro_origin", "_ro_path").agg(best.alias("_ro_best"))
+    joined = urls.join(verdict, (urls[origin_col] == verdict["_ro_origin"]) & (urls[path_col] == verdict["_ro_path"]), "left")
+    return joined.select(*[urls[c] for c in urls.columns], F.coalesce("_ro_best.ok", F.lit(True)).alias("allowed"))
