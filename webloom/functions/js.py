@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from webloom.runtime import ship_package
+
 ENDPOINT = "array<struct<value:string, source:string, callee:string, dynamic:boolean>>"
 TOKENS = "array<struct<stream:int, kind:string, value:string, dynamic:boolean, offset:int>>"
 
@@ -255,16 +257,19 @@ def _token_rows(body: pd.Series) -> pd.Series:
 
 def js_endpoints(body: Column) -> Column:
     """Endpoints of a script, in ENDPOINT; none of a null one."""
+    ship_package()
     return F.pandas_udf(_endpoint_rows, ENDPOINT)(body)
 
 
 def js_literals(body: Column) -> Column:
     """String and template values of a script, a line each; null for null."""
+    ship_package()
     return F.pandas_udf(_literal_rows, "string")(body)
 
 
 def js_tokens(body: Column) -> Column:
     """Tokens of a script in stream order, in TOKENS; none of a null one."""
+    ship_package()
     return F.pandas_udf(_token_rows, TOKENS)(body)
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,22 @@ def local_session(name: str = "webloom", cores: int | str = "*", **conf: str) ->
     return spark
 
 
+def ship_package() -> None:
+    """Send this package to the executors of the active session, once, so that their Python can import it."""
+    spark = SparkSession.getActiveSession()
+    if spark is None or getattr(spark.sparkContext, "_webloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="webloom-"), "webloom.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(root):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                out.write(path, os.path.join("webloom", os.path.relpath(path, root)))
+    spark.sparkContext.addPyFile(archive)
+    spark.sparkContext._webloom_shipped = True
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
