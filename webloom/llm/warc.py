@@ -276,6 +276,7 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield table(rows)
 
+    small_batches(archives.sparkSession)
     names = archives.select("archive")
     # a fixed number of tasks: adaptive execution would join them, as paths are short
     names = names.repartition(min(10_000, max(1, names.count())))
