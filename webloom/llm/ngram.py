@@ -31,6 +31,8 @@ from webloom.runtime import materialize, scratch_path
 START, END = U64(0x243F6A8885A308D3), U64(0x13198A2E03707344)
 #: Tokens counted at a time, and for which a bucket is made.
 BLOCK_TOKENS, BUCKET_TOKENS = 1 << 20, 2_000_000
+#: Words in n-grams are known by so many bits of their hashes; plain counts are kept by whole hashes.
+WORD_MASK = U64((1 << 48) - 1)
 #: Level 0 holds the plain counts of words.
 SCHEMA = "level int, bucket int, blob binary, path string, entries long, total long, n1 long, n2 long, n3 long, n4 long"
 _FIELDS = pa.schema([("level", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary()), ("path", pa.string()), *((n, pa.int64()) for n in ("entries", "total", "n1", "n2", "n3", "n4"))])
@@ -59,9 +61,9 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _merge(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows, in the order of context and then n-gram, with their counts added."""
+    """Distinct rows, in the order of context and then last word, with their counts added."""
     grams, contexts = gram_keys(columns), context_keys(columns)
-    order = np.lexsort((grams, contexts)) if len(columns) > 1 else np.argsort(grams)
+    order = np.lexsort((columns[-1], contexts)) if len(columns) > 1 else np.argsort(grams)
     grams, contexts = grams[order], contexts[order]
     new = np.ones(len(order), dtype=bool)
     new[1:] = (grams[1:] != grams[:-1]) | (contexts[1:] != contexts[:-1])
@@ -70,14 +72,17 @@ def _merge(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarr
 
 
 def _dump(columns: list[np.ndarray], counts: np.ndarray) -> bytes:
-    raw = b"".join(np.ascontiguousarray(c).tobytes() for c in (*columns, counts.astype(np.uint64)))
+    """Pack rows: the first bytes of all values of a column together, then the second, which compresses sorted hashes."""
+    each = [*columns, counts.astype(np.uint64)]
+    raw = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T.tobytes() for c in each)
     return struct.pack("<QQ", len(columns), len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _load(blob: bytes) -> tuple[list[np.ndarray], np.ndarray]:
     width, size = struct.unpack("<QQ", blob[:16])
-    flat = np.frombuffer(pa.decompress(blob[16:], size, codec="zstd", asbytes=True), dtype=np.uint64).reshape(width + 1, -1)
-    return list(flat[:-1]), flat[-1].astype(np.int64)
+    flat = np.frombuffer(pa.decompress(blob[16:], size, codec="zstd", asbytes=True), dtype=np.uint8).reshape(width + 1, 8, -1)
+    columns = [np.ascontiguousarray(c.T).view(np.uint64).ravel() for c in flat]
+    return columns[:-1], columns[-1].astype(np.int64)
 
 
 def _deal(level: int, columns: list[np.ndarray], counts: np.ndarray, buckets: int) -> Iterator[tuple]:
@@ -123,7 +128,7 @@ def _count(order: int, buckets: int):
         def flush() -> Iterator[pa.RecordBatch]:
             columns = [np.concatenate(c) for c in zip(*held, strict=True)]
             ones = np.ones(len(columns[0]), dtype=np.int64)
-            levels = [(order, columns)] + ([(0, columns[-1:])] if order > 1 else [])
+            levels = [(order, [c & WORD_MASK for c in columns]), (0, columns[-1:])]
             for level, part in levels:
                 for row in _deal(level, part, ones, buckets):
                     yield _batch([(*row, None, *([0] * 6))])
@@ -142,11 +147,11 @@ def _count(order: int, buckets: int):
     return count
 
 
-def _write(folder: str, arrays: dict[str, np.ndarray]) -> str:
-    """Write arrays into files of a new name and return what they have in common."""
+def _write(folder: str, arrays: dict[str, np.ndarray], wide: bool) -> str:
+    """Write arrays into files of a new name and return what they have in common; it tells if counts take 64 bits."""
     system, base = _filesystem(folder)
     system.create_dir(base, recursive=True)
-    name = uuid.uuid4().hex
+    name = uuid.uuid4().hex + ("-wide" if wide else "")
     for kind, array in arrays.items():
         with system.open_output_stream(f"{base}/{name}.{kind}", compression=None) as out:
             out.write(np.ascontiguousarray(array).tobytes())
@@ -162,16 +167,18 @@ def _reduce(folder: str, order: int, buckets: int):
         rows: list[tuple] = []
         grams = gram_keys(columns)
         by = np.argsort(grams)
-        arrays = {"keys": grams[by], "counts": counts[by]}
+        wide = bool(counts.max(initial=0) >> 32)
+        arrays = {"keys": grams[by], "counts": counts[by].astype(np.uint64 if wide else np.uint32)}
         if len(columns) > 1:
             contexts = context_keys(columns)
             at = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]]))
             kinds = [np.add.reduceat(x, at) for x in (counts, (counts == 1).astype(np.int64), (counts == 2).astype(np.int64), (counts > 2).astype(np.int64))]
-            arrays |= {"contexts": contexts[at], "followers": np.stack(kinds, axis=1)}
+            # numbers of distinct followers stay under that of all words, totals don't
+            arrays |= {"contexts": contexts[at], "totals": kinds[0], "followers": np.stack(kinds[1:], axis=1).astype(np.uint32)}
         # words that go before: each distinct n-gram counts once for its last words
         if level > 1:
             rows += [(*row, None, *([0] * 6)) for row in _deal(level - 1, columns[1:], np.ones(len(counts), np.int64), buckets)]
-        rows.append((level, bucket, None, _write(folder, arrays), len(counts), int(counts.sum()), *(int((counts == n).sum()) for n in (1, 2, 3, 4))))
+        rows.append((level, bucket, None, _write(folder, arrays, wide), len(counts), int(counts.sum()), *(int((counts == n).sum()) for n in (1, 2, 3, 4))))
         return pa.Table.from_batches([_batch(rows)])
 
     return reduce
@@ -210,7 +217,7 @@ def train(texts: DataFrame, text_col: str, order: int = 2, folder: str | None =
     small_batches(spark)
     size = texts.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(1, -(-size // (6 * BUCKET_TOKENS)))
-    dealt = materialize(texts.select(F.col(text_col).alias("text")).mapInArrow(_count(order, buckets), SCHEMA), "grams")
+    dealt = texts.select(F.col(text_col).alias("text")).mapInArrow(_count(order, buckets), SCHEMA)
     files: dict[int, list] = {}
     for level in range(order, 0, -1):
         now = dealt.filter((F.col("level") == level) | ((F.col("level") == 0) & F.lit(level == order)))
@@ -219,8 +226,6 @@ def train(texts: DataFrame, text_col: str, order: int = 2, folder: str | None =
             files.setdefault(row["level"], []).append(row)
         dealt = made.filter("blob is not null")
     paths = {level: {r["bucket"]: r["path"] for r in rows} for level, rows in files.items()}
-    if order == 1:
-        paths[0], files[0] = paths.get(1, {}), files.get(1, [])
     sums = {level: [sum(r[n] for r in rows) for n in ("n1", "n2", "n3", "n4")] for level, rows in files.items()}
     cut = {level: discounts(*n) for level, n in sums.items()}
     first = files.get(1, [])
@@ -267,7 +272,7 @@ def _counts(model: Model, level: int, queries: np.ndarray, bucket: np.ndarray) -
     out = np.zeros(len(queries), dtype=np.int64)
     paths = model.paths.get(level, {})
     for b, (rows, at) in _find(paths, "keys", queries, bucket)[1].items():
-        out[rows] = _mapped(paths[b], "counts", "int64")[at]
+        out[rows] = _mapped(paths[b], "counts", "uint64" if paths[b].endswith("-wide") else "uint32")[at]
     return out
 
 
@@ -280,7 +285,9 @@ def probabilities(model: Model, columns: list[np.ndarray]) -> tuple[np.ndarray,
     last = columns[-1]
     to = _bucket(last, model.buckets)
     plain = _counts(model, 0, last, to)
-    seen = plain if model.order == 1 else _counts(model, 1, last, to)
+    columns = [c & WORD_MASK for c in columns]
+    last = columns[-1]
+    seen = _counts(model, 1, last, _bucket(last, model.buckets))
     p = np.full(len(last), model.rest / (model.vocabulary + 1))
     if model.total:
         p += _discounted(seen, model.discounts[1]) / model.total
@@ -291,7 +298,8 @@ def probabilities(model: Model, columns: list[np.ndarray]) -> tuple[np.ndarray,
         own = _discounted(_counts(model, level, gram_keys(part), to), model.discounts.get(level, (0.5,) * 3))
         paths = model.paths.get(level, {})
         for b, (rows, at) in _find(paths, "contexts", contexts, to)[1].items():
-            total, *kinds = _mapped(paths[b], "followers", "int64").reshape(-1, 4)[at].T
+            total = _mapped(paths[b], "totals", "int64")[at]
+            kinds = _mapped(paths[b], "followers", "uint32").reshape(-1, 3)[at].T.astype(np.float64)
             rest = sum(d * k for d, k in zip(model.discounts[level], kinds, strict=True))
             p[rows] = (own[rows] + rest * p[rows]) / total
     return p, plain
