@@ -25,6 +25,10 @@ from webloom.operators.components import connected_components
 from webloom.runtime import materialize
 
 
+#: Rows of a bucket, and shingles of them, that are compared with as many others at a time.
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 400_000
+
+
 @dataclass(frozen=True)
 class MinHash:
     """Parameters. At a Jaccard similarity of 0.8, 24 bands of 4 rows miss a pair once in 300,000."""
@@ -71,7 +75,8 @@ def _pack(minima: np.ndarray, bits: int) -> np.ndarray:
     """The low bits of the minima, packed into 64-bit words."""
     each = 64 // bits
     low = minima & U64((1 << bits) - 1)
-    low = np.pad(low, ((0, 0), (0, -low.shape[1] % each))).reshape(len(low), -1, each)
+    low = np.pad(low, ((0, 0), (0, -low.shape[1] % each)))
+    low = low.reshape(len(low), low.shape[1] // each, each)
     return np.bitwise_or.reduce(low << (np.arange(each, dtype=np.uint64) * U64(bits)), axis=2)
 
 
@@ -151,6 +156,88 @@ def confirm(pairs: DataFrame, texts: DataFrame, p: MinHash) -> DataFrame:
     return both.mapInArrow(check, "a long, b long").distinct()
 
 
+def _across(apart: DataFrame, p: MinHash, low: float) -> DataFrame:
+    """Links (a, b) that join components within a bucket, from rows (bucket, blocks, doc_id, component, packed, text).
+
+    A bucket is dealt into that many blocks, and each pair of blocks is compared
+    on its own: first by bit counts, then exactly, all rows at once. Only links that join what was apart come out, so their number does
+    not exceed that of the rows.
+    """
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    dealt = apart.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "packed", "text")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in range(3)])
+            cuts = [0, *(np.flatnonzero((np.diff(keys) != 0).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                part = batch.slice(a, b - a)
+                if held and any(held[0].column(c)[0] != part.column(c)[0] for c in range(3)):
+                    yield _links(held, p, low)
+                    held = []
+                held.append(part)
+        if held:
+            yield _links(held, p, low)
+
+    keys = ["bucket", "i", "j"]
+    ordered = dealt.repartition(*keys).sortWithinPartitions(*keys)
+    return ordered.mapInArrow(compare, "a long, b long").distinct()
+
+
+def _links(parts: list[pa.RecordBatch], p: MinHash, low: float) -> pa.RecordBatch:
+    """The links across components in one pair of blocks."""
+    table = pa.Table.from_batches(parts).combine_chunks()
+    own, ids, component = (table.column(c).to_numpy() for c in ("own", "doc_id", "component"))
+    across = table.column("i")[0] != table.column("j")[0]
+    bits = table.column("packed").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+    ones = U64(sum(1 << (p.bits * i) for i in range(64 // p.bits)))
+    mismatches = np.zeros((len(ids), len(ids)), dtype=np.int64)
+    for word in bits.T:
+        diff = word[:, None] ^ word[None, :]
+        folded = diff.copy()
+        for s in range(1, p.bits):
+            folded |= diff >> U64(s)
+        mismatches += np.bitwise_count(folded & ones)
+    n, chance = p.bands * p.rows, 0.5**p.bits
+    near = ((n - mismatches) / n - chance) / (1 - chance) >= low
+    near &= component[:, None] != component[None, :]
+    if across:
+        near &= own[:, None] != own[None, :]
+    rows = np.flatnonzero(near.any(axis=1))
+    out: list[tuple[int, int]] = []
+    if len(rows):
+        sets = list(_sets(table.column("text").combine_chunks().take(pa.array(rows)), p.words))
+        sizes = np.array([len(x) for x in sets])
+        where = np.repeat(np.arange(len(sets)), sizes)
+        _, of, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = counts[of] > 1
+        _, column = np.unique(of[shared], return_inverse=True)
+        where, common = where[shared], np.zeros((len(sets), len(sets)), dtype=np.float32)
+        for at in range(0, int(column.max(initial=-1)) + 1, 4096):
+            inside = (column >= at) & (column < at + 4096)
+            held = np.zeros((len(sets), 4096), dtype=np.float32)
+            held[where[inside], column[inside] - at] = 1
+            common += held @ held.T
+        common = common.astype(np.int64)
+        linked = (100 * common >= p.percent * (sizes[:, None] + sizes[None, :] - common)) & near[np.ix_(rows, rows)]
+        root = {int(c): int(c) for c in component[rows]}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for a, b in np.argwhere(np.triu(linked)):
+            x, y = find(int(component[rows[a]])), find(int(component[rows[b]]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((int(ids[rows[a]]), int(ids[rows[b]])))
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+
 def near_duplicates(docs: DataFrame, p: MinHash = MinHash(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id, kept), a row per input row.
 
@@ -167,12 +254,12 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash(), id_col: str = "doc_
     keyed = table.filter("set_key is not null and doc_id is not null")
     classes = materialize(keyed.groupBy("set_key").agg(F.min("doc_id").alias("class_id")), "classes")
     heads = classes.select("set_key", F.col("class_id").alias("doc_id")).join(keyed, ["set_key", "doc_id"])
-    heads = materialize(heads.select("doc_id", "bands", "packed"), "heads")
+    heads = materialize(heads.select("doc_id", "n_shingles", "bands", "packed"), "heads")
 
-    rows = heads.select("doc_id", F.explode("bands").alias("bucket"))
+    rows = heads.select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least <> most")
     shared = materialize(shared.select(F.col("bucket").alias("_bucket"), "least"), "buckets")
-    members = materialize(rows.join(shared, F.col("bucket") == F.col("_bucket")).select("bucket", "doc_id", "least").distinct(), "members")
+    members = materialize(rows.join(shared, F.col("bucket") == F.col("_bucket")).select("bucket", "doc_id", "n_shingles", "least").distinct(), "members")
     ids = members.select(F.col("doc_id").alias("_id")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     texts = materialize(texts.join(ids, F.col("id") == F.col("_id"), "left_semi"), "texts")
@@ -185,16 +272,15 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash(), id_col: str = "doc_
     links = materialize(confirm(stars, texts, p), "links")
     found = materialize(connected_components(links, "a", "b"), "components")
 
-    labelled = members.join(found, members["doc_id"] == found["id"], "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select(F.col("bucket").alias("_bucket"))
-    mixed = materialize(mixed, "mixed")
-    apart = labelled.join(mixed, F.col("bucket") == F.col("_bucket"), "left_semi").join(packed, F.col("doc_id") == F.col("_id")).drop("_id")
-    apart = materialize(apart, "apart")
-    left = apart.select("bucket", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("packed").alias("pa"))
-    right = apart.select(F.col("bucket").alias("_bucket"), F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("packed").alias("pb"))
-    similar = (F.col("bucket") == F.col("_bucket")) & (F.col("ca") > F.col("cb")) & (estimated(F.col("pa"), F.col("pb"), p) >= low)
-    pairs = left.join(right, similar).select("a", "b").distinct()
-    more = materialize(confirm(pairs, texts, p), "links")
+    labelled = members.join(found, members["doc_id"] == found["id"], "left").select("bucket", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+    labelled = materialize(labelled, "labelled")
+    about = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"), F.bit_xor(F.xxhash64("doc_id")).alias("same"))
+    # bands often gather the same documents: one bucket of each such set is enough
+    mixed = about.filter("x <> y").groupBy("same", "n").agg(F.min("bucket").alias("_bucket"), F.max("size").alias("size"))
+    mixed = mixed.select("_bucket", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    apart = labelled.join(materialize(mixed, "mixed"), F.col("bucket") == F.col("_bucket")).select("bucket", "blocks", "doc_id", "component")
+    apart = apart.join(packed, F.col("doc_id") == F.col("_id")).drop("_id").join(texts, F.col("doc_id") == F.col("id")).drop("id")
+    more = materialize(_across(apart, p, low), "links")
     if more.limit(1).count():
         found = materialize(connected_components(links.unionByName(more), "a", "b"), "components")
 
