@@ -39,7 +39,7 @@ def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take documents, some of them twice, so that sources have their target shares of words."""
-    return mixing.take_mix(docs, mixing.mix_sources(docs))
+    return mixing.take_mix(docs)
 
 
 def stage_shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

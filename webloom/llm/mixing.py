@@ -71,49 +71,83 @@ def mix_sources(
     rows are separate rows. An empty table gives an empty result. Other columns
     are not read.
     """
-    sized = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
-    )
-    sized = materialize(sized, "sized")
-    targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_repeat)
+    rows, _ = _draw(docs, weights, share, max_repeat, id_col, text_col, source_col, seed, fill_passes)
+    copies = (F.col("certain") + F.col("extra")).cast("long")
+    return rows.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+
 
+def _odds(rows: DataFrame, seed: int) -> DataFrame:
+    """rows of (doc_id, source_size, target, ...) with certain copies and pareto, the odds that rank the rest."""
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 53)) + F.lit(0.5)) / F.lit(float(1 << 53))
-    t = targets.select(F.col("source").alias("_source"), "rank", "source_size", "target")
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = (
-        sized.join(t, sized["source"].eqNullSafe(t["_source"]))
-        .drop("_source")
-        .withColumn("certain", F.floor(expected))
+    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("chance") / (1 - F.col("chance")))
+    return (
+        rows.withColumn("certain", F.floor(expected))
         .withColumn("chance", expected - F.col("certain"))
-        .withColumn("left", F.col("target") - F.col("certain") * F.col("source_size"))
         .withColumn("u", u)
-        .withColumn(
-            "pareto",
-            F.when(F.col("chance") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("chance") / (1 - F.col("chance")))),
-        )
+        .withColumn("pareto", F.when(F.col("chance") > 0, odds))
         .drop("u", "chance")
     )
+
+
+def _draw(
+    docs: DataFrame, weights: tuple[float, ...], share: float, max_repeat: float, id_col: str, text_col: str, source_col: str, seed: int, fill_passes: int
+) -> tuple[DataFrame, DataFrame]:
+    """The rows with their certain and extra copies, and a row per source that tells them from any document.
+
+    A pass takes the rows up to some place in the order, of those that its room
+    holds one by one: so (room, cut) of each pass says which were taken.
+    """
+    sized = docs.select(
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
+    )
+    sized = materialize(sized, "sized")
+    targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_repeat)
+    cuts = targets.select(F.col("source").alias("_source"), "rank", "source_size", "target")
+
+    rows = _odds(sized.join(cuts, sized["source"].eqNullSafe(cuts["_source"])).drop("_source"), seed)
+    rows = rows.withColumn("left", F.col("target") - F.col("certain") * F.col("source_size"))
     order = [F.col("rank"), F.col("pareto"), F.col("doc_id"), F.col("size")]
     parts = range_parts(rows.withColumn("extra", F.lit(0)), order, "pareto")
-    for _ in range(fill_passes):
+    passes = []
+    for k in range(fill_passes):
         open_ = (F.col("extra") == 0) & F.col("pareto").isNotNull() & (F.col("size") > 0) & (F.col("size") <= F.col("left"))
         run = running_totals(parts, order, {"upto": F.when(open_, F.col("size")).otherwise(F.lit(0))}, within=["rank"])
         taken = run.withColumn("now", open_ & (F.col("upto") <= F.col("left"))).withColumn("extra", F.when(F.col("now"), 1).otherwise(F.col("extra")))
         taken = materialize(taken.withColumn("got", F.when(F.col("now"), F.col("size")).otherwise(F.lit(0))).drop("now", "upto"), "mix")
-        got = materialize(taken.groupBy("rank").agg(F.sum("got").alias("g")).select(F.col("rank").alias("_rank"), "g"), "got")
+        cut = F.max(F.when(F.col("got") > 0, F.struct("pareto", "doc_id", "size")))
+        got = taken.groupBy(F.col("rank").alias("_rank")).agg(F.sum("got").alias("g"), F.struct(F.max("left").alias("room"), cut.alias("cut")).alias(f"pass{k}"))
+        got = materialize(got, "got")
         parts = taken.join(got, taken["rank"] == got["_rank"]).withColumn("left", F.col("left") - F.col("g")).select(*parts.columns)
-    copies = (F.col("certain") + F.col("extra")).cast("long")
-    return parts.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+        passes.append(f"pass{k}")
+        cuts = cuts.join(got, cuts["rank"] == got["_rank"]).drop("g", "_rank")
+    return parts, materialize(cuts.select("_source", "source_size", "target", F.array(*passes).alias("passes")), "cuts")
 
 
-def take_mix(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def take_mix(
+    docs: DataFrame,
+    weights: tuple[float, ...] = (3, 1, 2),
+    share: float = 1.5,
+    max_repeat: float = 2.0,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    seed: int = 20240607,
+    fill_passes: int = 3,
+) -> DataFrame:
     """The documents of a mix: each row of docs as often as mix_sources() says, in the columns of docs.
 
-    Rows that share an id are all taken as often as the one taken most; rows
-    with a null id are taken once.
+    The draw comes back as the cuts of each source, a row a source; documents
+    meet them by source, so texts are not shuffled by id. Rows with equal id,
+    source and size are all taken if one is; rows with a null id are taken once.
     """
-    copies = mix.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("copies").cast("int").alias("_mix_copies"))
-    copies = materialize(copies, "copies")
-    joined = docs.join(copies, docs[id_col] == copies["_mix_id"]).filter("_mix_copies > 0")
-    repeated = joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
-    return repeated.select(*[docs[c] for c in docs.columns]).unionByName(docs.filter(F.col(id_col).isNull()))
+    _, cuts = _draw(docs, weights, share, max_repeat, id_col, text_col, source_col, seed, fill_passes)
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
+    keyed = docs.select(row, F.col(id_col).alias("doc_id"), F.col(source_col).alias("_own"), word_count(F.col(text_col)).alias("size"))
+    held = _odds(keyed.join(cuts, keyed["_own"].eqNullSafe(cuts["_source"])), seed)
+    key = F.struct("pareto", "doc_id", "size")
+    fits = F.exists("passes", lambda p: (F.col("size") <= p["room"]) & (key <= p["cut"]))
+    extra = F.when((F.col("size") > 0) & F.col("pareto").isNotNull() & fits, 1).otherwise(0)
+    copies = F.when(F.col("doc_id").isNull(), 1).otherwise(F.col("certain") + extra).cast("int")
+    repeated = held.withColumn("_copies", copies).filter("_copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return repeated.select("_row.*")
