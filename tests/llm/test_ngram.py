@@ -63,3 +63,10 @@ def test_scores_equal_a_plain_model(spark, order, monkeypatch):
 
 def test_empty(spark):
     assert ngram.language_model_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_scores_tell_words_by_two_words_before(spark):
+    rows = [(i, t) for i, t in enumerate(["a x b", "c x d"] * 30)]
+    frame = spark.createDataFrame([*rows, (1000, "a x b"), (1001, "a x d")], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in ngram.language_model_scores(frame).collect()}
+    assert got[1000] > got[1001] + 0.5

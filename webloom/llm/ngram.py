@@ -210,7 +210,7 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(float(min(max(d, 0.05), top)) for d, top in zip((one, two, three), (1, 2, 3), strict=True))
 
 
-def train(texts: DataFrame, text_col: str, order: int = 2, folder: str | None = None) -> Model:
+def train(texts: DataFrame, text_col: str, order: int = 3, folder: str | None = None) -> Model:
     """Count all texts of a column (null: empty) and write the model's arrays into a shared folder."""
     spark = texts.sparkSession
     folder = folder or scratch_path(spark, "ngrams")
@@ -331,7 +331,7 @@ def score_texts(docs: DataFrame, model: Model, held_out: Column, id_col: str = "
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
-def language_model_scores(docs: DataFrame, order: int = 2, folds: int = 7, held_fold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def language_model_scores(docs: DataFrame, order: int = 3, folds: int = 7, held_fold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Train on the documents that are not held out and score all of them.
 
     A document is held out if the crc32 of its id as text is held_fold modulo
