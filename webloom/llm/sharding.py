@@ -7,16 +7,19 @@ totals of group sizes, which stay distributed: the driver holds a summary of
 bounded size (the first and last group end in each of some thousand ranges), on
 which the check gives a lower and an upper bound, and asks for a finer summary
 of just those ranges in which the two differ.
+
+Rows are put in order once. Their running totals serve the search (at the last
+rows of groups), and the shards and slots alike.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.operators.ordered import range_parts, running_totals
+from webloom.operators.ordered import PART, range_parts, running_totals
 from webloom.runtime import materialize
 
 #: Rows of one summary that the driver asks for, at most.
@@ -66,32 +69,32 @@ class _Ends:
         return lows, highs, apart
 
 
-def minimax_cuts(groups: DataFrame, shards: int) -> list[int]:
+def minimax_cuts(ends: DataFrame, shards: int, total: int, largest: int) -> list[int]:
     """The group ends at which to cut so that the largest shard is as small as can be.
 
-    groups has upto, the running total of positive group sizes in their order.
+    ends has upto, the running total of positive group sizes in their order;
+    total is the last of them and largest the largest group.
     """
-    most = groups.agg(F.max("upto").alias("n"), F.max("size").alias("m")).first()
-    if most["n"] is None:
+    if not total:
         return [0] * shards
-    total, least = int(most["n"]), max(int(most["m"]), -(-int(most["n"]) // shards))
-    ends, low, high = _Ends(groups, total), least, total
+    least = max(largest, -(-total // shards))
+    found, low, high = _Ends(ends, total), least, total
     while True:
         a, b = low, high
         while a < b:  # the smallest capacity that is surely enough
             mid = (a + b) // 2
-            a, b = (a, mid) if ends.cuts(mid, shards)[0][-1] >= total else (mid + 1, b)
+            a, b = (a, mid) if found.cuts(mid, shards)[0][-1] >= total else (mid + 1, b)
         high = b
         a, b = low, high
         while a < b:  # the smallest that may be enough
             mid = (a + b) // 2
-            a, b = (a, mid) if ends.cuts(mid, shards)[1][-1] >= total else (mid + 1, b)
+            a, b = (a, mid) if found.cuts(mid, shards)[1][-1] >= total else (mid + 1, b)
         low = a
-        lows, highs, apart = ends.cuts(high, shards)
+        lows, highs, apart = found.cuts(high, shards)
         if low == high and lows == highs:
             return lows
-        apart |= ends.cuts(low, shards)[2]
-        ends.refine(sorted(r for r in apart if r[0] < r[1]))
+        apart |= found.cuts(low, shards)[2]
+        found.refine(sorted(r for r in apart if r[0] < r[1]))
 
 
 def shard_by_bytes(
@@ -117,14 +120,29 @@ def shard_by_bytes(
         ),
         "sizes",
     )
-    groups = light.groupBy("same").agg(F.sum("size").alias("size"), F.min("doc_id").alias("group_first"))
-    order = [F.col("group_first").isNull(), F.col("group_first"), F.col("same")]
-    parts = range_parts(groups, order, "groups")
-    ended = materialize(running_totals(parts, order, {"upto": F.col("size")}), "ends")
-    cuts = minimax_cuts(ended, shards)
+    # written, so that the join has plain exchanges and the rows of one text can be split
+    groups = materialize(light.groupBy(F.col("same").alias("_same")).agg(F.sum("size").alias("whole"), F.min("doc_id").alias("group_first")), "groups")
+    about = groups.agg(F.sum("whole").alias("total"), F.max("whole").alias("largest")).first()
+    rows = light.join(groups, light["same"] == groups["_same"]).select("doc_id", "size", "text_crc32", "same", "group_first")
+    order = [F.col(c) for c in ("group_first", "same", "doc_id")]
+    order = [order[0].isNull(), order[0], order[1], order[2].isNull(), order[2]]
+    totals = running_totals(range_parts(rows, order, "rows"), order, {"upto": F.col("size"), "nth": F.lit(1).cast("long")})
+    following = F.lead("same").over(Window.partitionBy(PART).orderBy(*order))
+    ranked = materialize(totals.withColumn("following", following), "ranked")
+    ends = _group_ends(ranked)
+    cuts = minimax_cuts(ends, shards, int(about["total"] or 0), int(about["largest"] or 0))
     past = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c < F.col("upto")))
-    placed = materialize(ended.select(F.col("same").alias("_same"), "group_first", "upto", past.cast("int").alias("shard")), "placed")
-    rows = light.join(placed, light["same"] == placed["_same"]).select("doc_id", "size", "text_crc32", "group_first", "upto", "shard")
-    order = [F.col("shard"), F.col("upto"), F.col("doc_id").isNull(), F.col("doc_id")]
-    numbered = running_totals(range_parts(rows, order, "rows"), order, {"slot": F.lit(1).cast("long")}, within=["shard"])
-    return numbered.select("doc_id", "size", "text_crc32", "group_first", "shard", (F.col("slot") - 1).alias("slot"))
+    placed = ranked.withColumn("shard", past.cast("int"))
+    # a row a shard
+    begins = placed.groupBy(F.col("shard").alias("_shard")).agg(F.min("nth").alias("begin"))
+    numbered = placed.join(F.broadcast(begins), placed["shard"] == begins["_shard"])
+    return numbered.select("doc_id", "size", "text_crc32", "group_first", "shard", (F.col("nth") - F.col("begin")).alias("slot"))
+
+
+def _group_ends(ranked: DataFrame) -> DataFrame:
+    """The last row of each group: what follows it has another text, in its own range or at the start of the next one."""
+    # a row a range
+    begins = ranked.groupBy(F.col(PART).alias("_p")).agg(F.min_by("same", "upto").alias("begin"))
+    begins = begins.select("_p", F.lead("begin").over(Window.orderBy("_p")).alias("after"))
+    joined = ranked.join(F.broadcast(begins), ranked[PART] == begins["_p"])
+    return joined.filter(~F.coalesce("following", "after").eqNullSafe(F.col("same"))).select("upto")
