@@ -44,14 +44,32 @@ def ship_package() -> None:
     spark.sparkContext._webloom_shipped = True
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with its file system's scheme, as Spark resolves it, for code that opens files by itself."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = system.makeQualified(place).toString()
+    return f"file://{found[5:]}" if found.startswith("file:/") and not found.startswith("file://") else found
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local session may do without; it gets a temporary one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="webloom-")
         spark.sparkContext.setCheckpointDir(shared)
         spark.conf.set("spark.checkpoint.dir", shared)
-    return shared.rstrip("/")
+    return qualified(spark, shared.rstrip("/"))
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what jobs of this and earlier sessions wrote into the shared folder; results not yet written are lost."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/webloom")
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
