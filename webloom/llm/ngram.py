@@ -19,11 +19,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.batches import small_batches
-from webloom.llm.warc import _filesystem
 from webloom.llm.words import U64, Words, constants, mix, text_runs
 from webloom.runtime import materialize, scratch_path
 
@@ -149,7 +149,7 @@ def _count(order: int, buckets: int):
 
 def _write(folder: str, arrays: dict[str, np.ndarray], wide: bool) -> str:
     """Write arrays into files of a new name and return what they have in common; it tells if counts take 64 bits."""
-    system, base = _filesystem(folder)
+    system, base = fs.FileSystem.from_uri(folder)
     system.create_dir(base, recursive=True)
     name = uuid.uuid4().hex + ("-wide" if wide else "")
     for kind, array in arrays.items():
@@ -243,8 +243,8 @@ def _mapped(path: str, kind: str, type_: str) -> np.ndarray:
     """An array of a model: mapped where the shared folder is a mounted one, else read."""
     name = f"{path}.{kind}"
     if name.startswith(("/", "file:")):
-        return np.memmap(_filesystem(name)[1], dtype=type_, mode="r")
-    system, inner = _filesystem(name)
+        return np.memmap(fs.FileSystem.from_uri(name)[1], dtype=type_, mode="r")
+    system, inner = fs.FileSystem.from_uri(name)
     with system.open_input_stream(inner, compression=None) as file:
         return np.frombuffer(file.read(), dtype=type_)
 

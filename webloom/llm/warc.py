@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
-import io
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
@@ -17,21 +18,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.batches import small_batches
-from webloom.runtime import materialize, scratch_path
+from webloom.runtime import materialize, qualified, scratch_path
 
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
-MARKS = re.compile(re.escape(MAGIC) + b"|" + re.escape(VERSION))
+VERSIONS, MARKS = re.compile(re.escape(VERSION)), re.compile(re.escape(MAGIC) + b"|" + re.escape(VERSION))
 #: Bytes read at a time, and of compressed records after which the writer begins a new file.
 CHUNK, ROLL = 1 << 18, 32 << 20
+#: Packed bytes unpacked at a time, and bytes of a record kept for a new search after a failed check.
+PIECE, HELD = 1 << 14, 4 << 20
 #: No header block is longer than this; a longer one is damage.
 HEADER_LIMIT = 1 << 16
-#: No block is longer than this; a longer length is taken for damage, so that it can't fill the memory.
-RECORD_LIMIT = 256 << 20
+#: What a gzip member is that ends as it should.
+WHOLE = "whole member"
 #: Payloads under this many bytes are always stored.
 SMALL = 100
 READ_SCHEMA = (
     "kind string, archive string, start long, end long, page_id long, payload_bytes long, payload_digest string, "
-    "record_type string, refers_to long, payload binary, reason string"
+    "record_type string, refers_to long, payload binary, reason string, inner_start long, inner_end long"
 )
 
 
@@ -52,10 +55,6 @@ def encode_record(page_id: int | None, payload: bytes, digest: str, first: int |
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
-def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path if re.match(r"\w+:", path) else f"file://{path}")
-
-
 def plan_records(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(page_id, payload, digest, first): first is the page that holds an equal payload, null for responses.
 
@@ -84,7 +83,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = _filesystem(folder)
+        system, base = fs.FileSystem.from_uri(folder)
         system.create_dir(base, recursive=True)
         out, name, size, count, done = None, "", 0, 0, []
         for batch in batches:
@@ -109,36 +108,45 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
 
 
 class _Bytes:
-    """A file's bytes from a moving start, read as needed."""
+    """A stream's bytes from a moving start, read as needed; open_at(offset) gives the stream from there on."""
 
-    def __init__(self, file: BinaryIO) -> None:
-        self.file, self.base, self.held, self.ended = file, 0, bytearray(), False
+    def __init__(self, open_at: Callable[[int], BinaryIO]) -> None:
+        self.open_at, self.file = open_at, open_at(0)
+        self.base, self.held, self.ended = 0, bytearray(), False
 
     def upto(self, end: int) -> bool:
-        """Hold the bytes before `end`; False if the file ends earlier."""
+        """Hold the bytes before `end`; False if the stream ends earlier."""
         while self.base + len(self.held) < end and not self.ended:
             got = self.file.read(CHUNK)
             self.ended = not got
             self.held += got
         return self.base + len(self.held) >= end
 
+    def end(self) -> int:
+        return self.base + len(self.held)
+
     def drop(self, start: int) -> None:
-        del self.held[: start - self.base]
-        self.base = start
+        """Let go of the bytes before start; another start is read anew."""
+        if not self.base <= start <= self.end():
+            self.file, self.base, self.held, self.ended = self.open_at(start), start, bytearray(), False
+        else:
+            del self.held[: start - self.base]
+            self.base = start
 
     def get(self, start: int, end: int) -> bytes:
         self.upto(end)
         return bytes(self.held[start - self.base : end - self.base])
 
-    def find(self, start: int) -> int:
-        """The first member or version line at or after start, or -1; bytes before it are let go."""
+    def find(self, start: int, marks: re.Pattern) -> int:
+        """The first mark at or after start, or -1; bytes before it are let go."""
+        self.drop(start)
         while True:
-            found = MARKS.search(self.held, start - self.base)
+            found = marks.search(self.held)
             if found:
-                return self.base + found.start()
-            start = max(start, self.base + len(self.held) - len(VERSION) + 1)
-            self.drop(start)
-            if not self.upto(self.base + len(self.held) + 1):
+                self.drop(self.base + found.start())
+                return self.base
+            self.drop(max(self.base, self.end() - len(VERSION) + 1))
+            if not self.upto(self.end() + 1):
                 return -1
 
 
@@ -146,8 +154,24 @@ class Damaged(Exception):
     """What a check found."""
 
 
-def _parse(text: _Bytes, start: int) -> tuple[dict, int]:
-    """The record that begins at start, checked, and where it ends."""
+def _digest(value: str) -> tuple[str, str] | None:
+    """Name and value of a digest that hashlib can check, else None."""
+    name, _, text = value.partition(":")
+    name = name.strip().lower().replace("sha-", "sha")
+    return (name, text.strip()) if name in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512") else None
+
+
+def _same(sum_: bytes, text: str) -> bool:
+    """Whether a digest is written as text, in hexadecimal or base 32."""
+    return text.lower() == sum_.hex() or text.upper().rstrip("=") == base64.b32encode(sum_).decode().rstrip("=")
+
+
+def _parse(text: _Bytes, start: int, bodies: bool) -> tuple[dict, int]:
+    """The record that begins at start, checked, and where it ends; bytes before start may be let go.
+
+    A block is hashed piece by piece, so that a long one, or a wrong length,
+    needs no memory; it is kept only if asked for.
+    """
     if text.get(start, start + len(VERSION)) != VERSION:
         raise Damaged("no version line")
     text.upto(start + HEADER_LIMIT)
@@ -161,77 +185,185 @@ def _parse(text: _Bytes, start: int) -> tuple[dict, int]:
         length = int(head["content-length"])
     except (ValueError, KeyError):
         raise Damaged("bad header") from None
-    end = stop + 4 + length + 4
-    if not 0 <= length <= RECORD_LIMIT or not text.upto(end) or text.get(end - 4, end) != b"\r\n\r\n":
+    if length < 0:
         raise Damaged("bad length")
-    body = text.get(stop + 4, end - 4)
-    for name in ("warc-block-digest", *(["warc-payload-digest"] if head.get("warc-type") == "response" else [])):
-        value = head.get(name, "")
-        if value.startswith("sha256:") and hashlib.sha256(body).hexdigest() != value[7:]:
+    names = ["warc-block-digest", *(["warc-payload-digest"] if head.get("warc-type") == "response" else [])]
+    checks = [(n, *d) for n in names if (d := _digest(head.get(n, "")))]
+    sums = {kind: hashlib.new(kind) for kind in {"sha256", *(c[1] for c in checks)}}
+    parts, at, end = [], stop + 4, stop + 4 + length
+    while at < end:
+        piece = text.get(at, min(at + CHUNK, end))
+        if not piece:
+            raise Damaged("bad length")
+        for one in sums.values():
+            one.update(piece)
+        if bodies:
+            parts.append(piece)
+        at += len(piece)
+        if at - text.base > HELD:
+            text.drop(at)
+    if text.get(end, end + 4) != b"\r\n\r\n":
+        raise Damaged("bad length")
+    for name, kind, value in checks:
+        if not _same(sums[kind].digest(), value):
             raise Damaged(f"{name} differs")
-    return {"head": head, "body": body}, end
-
-
-def _member(data: _Bytes, start: int) -> tuple[list[dict], int]:
-    """The records of the gzip member that begins at start, and where it ends."""
-    unzip, at, size, parts = zlib.decompressobj(31), start, 0, []
-    while not unzip.eof:
-        if not data.upto(at + 1):
-            raise Damaged("cut member")
-        piece = data.get(at, min(at + CHUNK, data.base + len(data.held)))
+    return {"head": head, "body": b"".join(parts) if bodies else None, "length": length, "sha256": sums["sha256"].hexdigest()}, end + 4
+
+
+class _At:
+    """A file read from an offset on, however else it is used."""
+
+    def __init__(self, file: BinaryIO, offset: int) -> None:
+        self.file, self.offset = file, offset
+
+    def read(self, most: int) -> bytes:
+        self.file.seek(self.offset)
+        got = self.file.read(most)
+        self.offset += len(got)
+        return got
+
+
+class _Member:
+    """The unpacked bytes of the gzip member that begins at start, as far as they can be had."""
+
+    def __init__(self, data: _Bytes, file: BinaryIO, start: int) -> None:
+        self.data, self.file, self.start = data, file, start
+
+    def open_at(self, offset: int) -> _Member:
+        self.unzip, self.at, self.size, self.tail, self.state = zlib.decompressobj(31), self.start, 0, b"", ""
+        #: unpacked and packed bytes before each piece
+        self.pieces: deque[tuple[int, int]] = deque()
+        while self.size < offset and self.read(min(offset - self.size, CHUNK)):
+            pass
+        return self
+
+    def read(self, most: int) -> bytes:
+        """Up to `most` further bytes; none at the end, when state tells what it is."""
+        while not self.state:
+            # all output of the pieces so far comes before the next one is read
+            if not self.tail and (out := self.unzip.decompress(b"", most)):
+                self.size += len(out)
+                return out
+            piece = self.tail or self._next()
+            if not piece:
+                self.state = "cut member"
+                break
+            before = self.unzip.copy()
+            try:
+                out = self.unzip.decompress(piece, most)
+                self.tail = self.unzip.unconsumed_tail
+            except zlib.error:
+                out, self.state = self._sound(before, piece), "broken member"
+            if self.unzip.eof:
+                self.state, self.tail = WHOLE, b""
+                self.at -= len(self.unzip.unused_data)
+            if out:
+                self.size += len(out)
+                return out
+        return b""
+
+    def packed(self, unpacked: int) -> int:
+        """Where the packed bytes can't end earlier that give so many unpacked ones."""
+        while len(self.pieces) > 1 and self.pieces[1][0] <= unpacked:
+            self.pieces.popleft()
+        return self.pieces[0][1] if self.pieces and self.pieces[0][0] <= unpacked else self.start
+
+    def _next(self) -> bytes:
+        if self.data.base <= self.at < self.data.end():
+            got = bytes(self.data.held[self.at - self.data.base : self.at - self.data.base + PIECE])
+        else:
+            got = _At(self.file, self.at).read(PIECE)
+        if got:
+            self.pieces.append((self.size, self.at))
+        self.at += len(got)
+        return got
+
+    @staticmethod
+    def _sound(unzip, piece: bytes) -> bytes:
+        """What can be unpacked of a piece before its damage, byte by byte."""
+        out = b""
         try:
-            parts.append(unzip.decompress(piece))
+            for i in range(len(piece)):
+                out += unzip.decompress(piece[i : i + 1])
         except zlib.error:
-            raise Damaged("broken member") from None
-        at, size = at + len(piece), size + len(parts[-1])
-        if size > RECORD_LIMIT:
-            raise Damaged("endless member")
-        # no record, no member: stop before a false start is unpacked at length
-        if len(parts) == 1 and not parts[0].startswith(VERSION[: len(parts[0])]):
-            raise Damaged("no version line")
-    inner, where, found = _Bytes(io.BytesIO(b"".join(parts))), 0, []
-    while inner.upto(where + 1):
-        record, where = _parse(inner, where)
-        found.append(record)
-    return found, at - len(unzip.unused_data)
-
-
-def salvage(file: BinaryIO) -> Iterator[tuple[str, int, int, dict | str]]:
-    """Walk an archive of gzip members or plain records, whatever its state.
-
-    Yields ("record", start, end, record) and, for bytes in which no valid
-    record begins, ("gap", start, end, reason). After a failed check the next
-    member or version line that holds a valid record is looked for from the
-    byte after the failed start, so that a damaged length hides no later record.
-    """
-    data, at, gap, why = _Bytes(file), 0, None, ""
+            pass
+        return out
+
+
+def _records(data: _Bytes, bodies: bool, marks: re.Pattern, member: Callable[[int], Iterator[tuple]] | None = None) -> Iterator[tuple]:
+    """Walk bytes from record to record; member(start), if given, walks what begins with gzip's magic."""
+    at, gap, why = 0, None, ""
     while data.upto(at + 1):
         try:
-            zipped = data.get(at, at + 3) == MAGIC
-            if zipped:
-                records, end = _member(data, at)
+            if member and data.get(at, at + len(MAGIC)) == MAGIC:
+                rows, whole = member(at), True
             else:
-                record, end = _parse(data, at)
-                records = [record]
+                record, end = _parse(data, at, bodies)
+                rows, whole = iter([("record", at, end, record), ("end", at, end, WHOLE)]), True
+            found = False
+            for kind, a, end, what in rows:
+                if kind == "end":
+                    whole, state = what == WHOLE, what
+                    break
+                if gap is not None:
+                    yield "gap", gap, at, why
+                    gap = None
+                found = True
+                yield kind, a, end, what
+            if not found:
+                raise Damaged(state)
+            if whole:
+                at = end
+                data.drop(at)
+                continue
+            failed, reason = end, state
         except Damaged as damage:
-            if gap is None:
-                gap, why = at, str(damage)
-            at = data.find(at + 1)
-            if at < 0:
-                break
-            data.drop(at)
-            continue
-        if gap is not None:
-            yield "gap", gap, at, why
-            gap = None
-        for record in records:
-            yield "record", at, end, record
-        at = end
-        data.drop(at)
+            failed, reason, end = at, str(damage), at + 1
+        if gap is None:
+            gap, why = failed, reason
+        at = data.find(end, marks)
+        if at < 0:
+            break
     if gap is not None:
-        while data.upto(data.base + len(data.held) + 1):
-            data.drop(data.base + len(data.held))
-        yield "gap", gap, data.base + len(data.held), why
+        while data.upto(data.end() + 1):
+            data.drop(data.end())
+        if gap < data.end():
+            yield "gap", gap, data.end(), why
+
+
+def salvage(file: BinaryIO, bodies: bool = True) -> Iterator[tuple[str, int, int, dict | str | tuple]]:
+    """Walk an archive of gzip members or plain records, whatever its state; file can be sought in.
+
+    Yields ("record", start, end, record), for bytes in which no valid record
+    begins ("gap", start, end, reason), and for such bytes inside a member that
+    holds valid records ("inner gap", start, end, (reason, unpacked start,
+    unpacked end)), start and end being the packed bytes read so far. After a
+    failed check the next member or version line that holds a valid record is
+    looked for from the byte after the failed start, so that a damaged length
+    hides no later record; inside a member, from version line to version line.
+    What a member gives before it breaks off is kept, and the search goes on
+    from the packed bytes in which its last valid record ended. Records may be
+    of any length; without bodies none is held in memory. Digests are checked
+    if hashlib knows their kind, in hexadecimal or base 32; others are not.
+    """
+    data = _Bytes(lambda offset: _At(file, offset))
+
+    def member(start: int) -> Iterator[tuple]:
+        held = _Member(data, file, start)
+        safe, last, found, why = start + 1, None, False, "no valid record"
+        for kind, a, b, what in _records(_Bytes(held.open_at), bodies, VERSIONS):
+            if kind == "record":
+                found, safe = True, max(safe, held.packed(b))
+            if last:
+                yield last
+            last = ("record", start, held.at, what) if kind == "record" else ("inner gap", start, held.at, (what, a, b))
+            why = what if kind == "gap" else why
+        whole = held.state == WHOLE
+        if found:
+            yield (*last[:2], held.at if whole else last[2], last[3])
+        yield "end", start, held.at if whole else safe, held.state if found or not whole else why
+
+    yield from _records(data, bodies, MARKS, member)
 
 
 def _page(urn: str | None) -> int | None:
@@ -243,33 +375,37 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
     """Read the archives named in column archive: rows of kind record and of kind gap.
 
     A gap row has the archive, the quarantined bytes' start and end and the
-    reason of the first failed check. A record row has the page, the digest and
-    length of the full payload (computed from a response's body, declared by a
-    revisit), and the payload if asked for. An empty file has no rows.
+    reason of the first failed check; inner_start and inner_end are set for a
+    gap in the unpacked bytes of the member there. A record row has the page,
+    the digest and length of the full payload (computed from a response's body,
+    declared by a revisit), and the payload if asked for. An empty file has no
+    rows.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in READ_SCHEMA.split(", ")]
-        types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string()]
+        types = [pa.string(), pa.string(), *[pa.int64()] * 4, pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64()]
 
         def table(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
         for batch in batches:
             for archive in batch.column(0).to_pylist():
-                system, path = _filesystem(archive)
+                system, path = fs.FileSystem.from_uri(archive)
                 rows, size = [], 0
-                with system.open_input_stream(path, compression=None) as file:
-                    for kind, start, end, what in salvage(file):
-                        if kind == "gap":
-                            rows.append((kind, archive, start, end, None, None, None, None, None, None, what))
+                with system.open_input_file(path) as file:
+                    for kind, start, end, what in salvage(file, payloads):
+                        if kind != "record":
+                            reason, *inner = what if kind == "inner gap" else (what, None, None)
+                            rows.append(("gap", archive, start, end, *[None] * 6, reason, *inner))
                             continue
-                        head, body = what["head"], what["body"]
+                        head = what["head"]
                         stored = head.get("warc-type") == "response"
-                        digest = hashlib.sha256(body).hexdigest() if stored else head.get("warc-payload-digest", "").removeprefix("sha256:")
-                        length = len(body) if stored else int(head.get("x-payload-length", 0))
-                        rows.append((kind, archive, start, end, _page(head.get("warc-record-id")), length, digest, head.get("warc-type"), _page(head.get("warc-refers-to")), body if payloads and stored else None, None))
-                        size += len(body) if payloads else 0
+                        digest = what["sha256"] if stored else head.get("warc-payload-digest", "").removeprefix("sha256:")
+                        length = what["length"] if stored else int(head.get("x-payload-length", 0))
+                        payload = what["body"] if stored else None
+                        rows.append((kind, archive, start, end, _page(head.get("warc-record-id")), length, digest, head.get("warc-type"), _page(head.get("warc-refers-to")), payload, None, None, None))
+                        size += len(payload or b"")
                         if len(rows) >= 2000 or size > 8 << 20:
                             yield table(rows)
                             rows, size = [], 0
@@ -277,7 +413,8 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                     yield table(rows)
 
     small_batches(archives.sparkSession)
-    names = archives.select("archive")
+    root = qualified(archives.sparkSession, "/").rstrip("/")
+    names = archives.select(F.when(F.col("archive").startswith("/"), F.concat(F.lit(root), "archive")).otherwise(F.col("archive")).alias("archive"))
     # a fixed number of tasks: adaptive execution would join them, as paths are short
     names = names.repartition(min(10_000, max(1, names.count())))
     return names.mapInArrow(read, READ_SCHEMA)
@@ -285,5 +422,5 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
 
 def archive_pages(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Write pages as WARC archives into folder (by default one in the shared scratch folder); (archive, records)."""
-    folder = folder or scratch_path(pages.sparkSession, "warc")
+    folder = qualified(pages.sparkSession, folder) if folder else scratch_path(pages.sparkSession, "warc")
     return materialize(write_archives(plan_records(pages, id_col, html_col), folder), "archives")
