@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from webloom.llm import decontam
 from webloom.llm.words import PLAIN, Words
@@ -50,3 +51,43 @@ def test_leaks(spark):
     assert sorted(r["doc_id"] for r in decontam.drop_leaks(docs, bench).collect()) == [1, 4, 5, 6]
     assert decontam.find_leaks(docs, bench.limit(0)).count() == 0
     assert decontam.find_leaks(docs.limit(0), bench).count() == 0
+    assert decontam.drop_leaks(docs, bench).columns == docs.columns
+    assert sorted(r["doc_id"] is None for r in decontam.drop_leaks(docs.withColumn("doc_id", F.lit(None).cast("long")), bench).collect()) == [True] * 4
+
+
+def test_scores_do_not_depend_on_the_number_of_indexes(spark, monkeypatch):
+    rng = random.Random(3)
+    items = texts(rng, 50, 25) + texts(rng, 10, 150)
+    docs = spark.createDataFrame([(i, " ".join(texts(rng, 1, 60) + [t] + texts(rng, 1, 60))) for i, t in enumerate(items)], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    one = sorted(map(tuple, decontam.find_leaks(docs, bench).collect()))
+    monkeypatch.setattr(decontam, "MAX_ITEMS", 7)
+    monkeypatch.setattr(decontam, "CELLS", 10)
+    many = sorted(map(tuple, decontam.find_leaks(docs, bench).collect()))
+    assert [r[:2] for r in one] == [r[:2] for r in many] and {(i, i) for i in range(60)} <= {r[:2] for r in one}
+    assert np.allclose([r[2:] for r in one], [r[2:] for r in many])
+
+
+def test_leaks_are_those_of_brute_force(spark):
+    rng = random.Random(4)
+    items = texts(rng, 20, 30)
+    half = lambda t: " ".join(t.split()[: rng.randrange(10, 30)])
+    docs = [" ".join(texts(rng, 1, rng.randrange(1, 90)) + [rng.choice([str, half])(rng.choice(items))] + texts(rng, 1, 30)) for _ in range(80)]
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    index = decontam.Index.build(list(range(20)), items)
+    words = Words(pa.array(docs), letters=PLAIN)
+    want = set()
+    for d in range(len(docs)):
+        own = docs[d].replace(".", " ").lower().split()
+        for start in range(0, len(own), index.stride):
+            held = own[start : start + 2 * index.stride]
+            grams = {tuple(held[i : i + 5]) for i in range(len(held) - 4)}
+            present = set(np.flatnonzero(np.isin(index.terms, words.hashes[words.first[d] :][start : start + len(held)])).tolist())
+            for i, item in enumerate(items):
+                w = item.replace(".", " ").lower().split()
+                mine = {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+                place = index.ids.tolist().index(i)
+                score = sum(index.item_impact[r] for k in present for r in range(index.item_first[k], index.item_first[k + 1]) if index.item_of[r] == place)
+                if score >= 0.5 - 1e-9 and len(mine & grams) >= 0.8 * len(mine):
+                    want.add((d, i))
+    assert got == want and 10 < len(want) < 80

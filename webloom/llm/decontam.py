@@ -1,30 +1,42 @@
 """Benchmark decontamination: a BM25 index of test items, queried by every training passage.
 
-The index is small and inverted: for each term, the blocks of items that hold
-it with the block's largest impact, and below that the items with their own.
-Impacts are divided by an item's score for its own text, so one threshold fits
-all. Passages are queried many at a time in numpy, by the tests of block-max
-WAND: a passage whose terms' largest impacts add up to less than the threshold
-has no pivot; a block whose largest impacts add up to less holds no result; only
-in other blocks are items scored. All items at or above the threshold come back.
+Document frequencies, the number of items and their mean length are counted over
+all items; they are then dealt to indexes of bounded size, by length and hash,
+which tasks build, write to the shared folder and read from there. So scores
+don't depend on how many indexes there are. An index is inverted: for each term,
+the blocks of items that hold it with the block's largest impact, and below that
+the items with their own. Impacts are divided by an item's score for its own
+text, so one threshold fits all. Passages are queried many at a time in numpy,
+by the two bounds of block-max WAND: a passage whose terms' largest impacts add
+up to less than the threshold has no result; a block whose largest impacts add
+up to less holds none; only in other blocks are items scored. There is no
+document-at-a-time skipping: numpy adds up all postings of a slice of passages
+at once. All items at or above the threshold come back.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.batches import small_batches
 from webloom.llm.words import PLAIN, Words, shingles, text_runs
+from webloom.runtime import materialize, scratch_path
 
-#: Items in one index. A larger benchmark makes several, which are queried one after another.
-MAX_ITEMS = 4000
+#: Items in one index, about. A larger benchmark makes several, which are queried one after another.
+MAX_ITEMS = 3000
+#: Passages times blocks that are bounded at a time.
+CELLS = 4_000_000
 #: Items in a block, and words of a shingle.
 BLOCK, SHINGLE = 4, 5
 K1, B = 1.2, 0.75
@@ -48,6 +60,16 @@ def _expand(first: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return which, np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - first[terms], counts)
 
 
+@dataclass
+class Stats:
+    """Of all items: how many, their mean length, and sorted terms with the numbers of items that hold them."""
+
+    items: int
+    length: float
+    terms: np.ndarray
+    df: np.ndarray
+
+
 @dataclass
 class Index:
     """Postings in term order, by block and by item; items in the order of their blocks."""
@@ -66,8 +88,8 @@ class Index:
     stride: int
 
     @classmethod
-    def build(cls, ids: list[int], texts: list[str]) -> Index | None:
-        """None if no item has SHINGLE words or more."""
+    def build(cls, ids: list[int], texts: list[str], stats: Stats | None = None) -> Index | None:
+        """None if no item has SHINGLE words or more. Without stats of a larger set, those of the texts are taken."""
         parts = [split_item(t) for t in texts]
         full, question, answer = (_hashes(x) for x in (texts, [p[0] for p in parts], [p[1] for p in parts]))
         usable = [i for i, h in enumerate(full) if len(h) >= SHINGLE]
@@ -85,8 +107,10 @@ class Index:
         pair, tf = np.unique(of.astype(np.int64) * n + item, return_counts=True)
         of, item = pair // n, pair % n
         df = np.bincount(of)
-        weight = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        impact = weight[of] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / lengths.mean()))
+        every = stats or Stats(n, float(lengths.mean()), term, df)
+        held = every.df[np.searchsorted(every.terms, term)]
+        weight = np.log(1 + (every.items - held + 0.5) / (held + 0.5))
+        impact = weight[of] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / every.length))
         impact /= np.bincount(item, impact, n)[item]
         # items that share their commonest terms go to the same blocks, which keeps the blocks' bounds low
         common = np.zeros((n, 12), dtype=bool)
@@ -132,10 +156,23 @@ class Index:
         low = threshold - 1e-9
         pivot = np.bincount(passage, self.most[term], base[-1]) >= low
         passage, term = passage[pivot[passage]], term[pivot[passage]]
-        blocks = -(-len(self.ids) // BLOCK)
+        blocks, parts = -(-len(self.ids) // BLOCK), []
+        # passages are in order: slices of them bound the memory, however long a text is
+        step = max(1, CELLS // blocks)
+        for a in range(0, int(base[-1]), step):
+            rows = slice(*np.searchsorted(passage, [a, a + step]))
+            if rows.start < rows.stop:
+                parts.append(self._scores(passage[rows], term[rows], a, min(step, int(base[-1]) - a), blocks, low))
+        passage, item, score = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        text = np.searchsorted(base, passage, "right") - 1
+        return text, passage - base[text], item, score
+
+    def _scores(self, passage: np.ndarray, term: np.ndarray, start: int, count: int, blocks: int, low: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, item, score) of what reaches low among `count` passages from start on, by their terms."""
+        passage = passage - start
         which, row = _expand(self.block_first, term)
-        bound = np.bincount(passage[which] * blocks + self.block_of[row], self.block_impact[row], base[-1] * blocks) >= low
-        alive = bound.reshape(-1, blocks).any(axis=1) if len(bound) else np.zeros(0, bool)
+        bound = np.bincount(passage[which] * blocks + self.block_of[row], self.block_impact[row], count * blocks) >= low
+        alive = bound.reshape(-1, blocks).any(axis=1)
         passage, term = passage[alive[passage]], term[alive[passage]]
         which, row = _expand(self.item_first, term)
         open_ = bound[passage[which] * blocks + self.item_of[row] // BLOCK]
@@ -143,9 +180,7 @@ class Index:
         found, of = np.unique(key, return_inverse=True)
         score = np.bincount(of, self.item_impact[row[open_]], len(found))
         found, score = found[score >= low], score[score >= low]
-        passage = found // len(self.ids)
-        text = np.searchsorted(base, passage, "right") - 1
-        return text, passage - base[text], found % len(self.ids), score
+        return found // len(self.ids) + start, found % len(self.ids), score
 
     def overlaps(self, words: Words, text: int, passage: int, item: int) -> tuple[float, float]:
         """Shares of the question's shingles and of the answer's words that the passage holds."""
@@ -156,6 +191,74 @@ class Index:
         return question, answer
 
 
+def _read_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(length, terms) added to (item_id, item, chunk): the number of words and the distinct ones."""
+    for batch in batches:
+        hashes = _hashes(batch.column(1).to_pylist())
+        terms = pa.array([np.unique(h).view(np.int64) for h in hashes], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(h) for h in hashes], pa.int64()), terms], names=["item_id", "item", "length", "terms"])
+
+
+def build_indexes(items: DataFrame) -> list[str]:
+    """Write indexes of all items (item_id, item) of SHINGLE words or more into the shared folder; their paths.
+
+    The paths are one for MAX_ITEMS items and length class (powers of two from
+    64 words on), since passages are twice as long as the longest item of an index.
+    """
+    spark = items.sparkSession
+    small_batches(spark)
+    read = materialize(items.mapInArrow(_read_items, "item_id long, item string, length long, terms array<long>").filter(F.col("length") >= SHINGLE), "items")
+    about = read.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("length")).first()
+    if not about["n"]:
+        return []
+    chunks = -(-about["n"] // MAX_ITEMS)
+    class_ = F.greatest(F.lit(6), F.ceil(F.log2(F.col("length").cast("double"))).cast("int"))
+    dealt = read.withColumn("chunk", class_ * chunks + F.pmod(F.xxhash64("item_id", "item"), F.lit(chunks)).cast("int"))
+    terms = dealt.select("chunk", F.explode("terms").alias("term"))
+    df = terms.groupBy(F.col("term").alias("_term")).agg(F.count(F.lit(1)).alias("df"))
+    own = terms.distinct().join(df, F.col("term") == F.col("_term")).select(F.col("chunk").alias("part"), "term", "df")
+    folder = scratch_path(spark, "bm25")
+
+    def build(left: pa.Table, right: pa.Table) -> pa.Table:
+        known = right.column("term").to_numpy().view(np.uint64)
+        order = np.argsort(known)
+        left = left.sort_by([("item_id", "ascending"), ("item", "ascending")])
+        stats = Stats(about["n"], about["length"], known[order], right.column("df").to_numpy()[order])
+        index = Index.build(left.column("item_id").to_pylist(), left.column("item").to_pylist(), stats)
+        system, base = fs.FileSystem.from_uri(folder)
+        system.create_dir(base, recursive=True)
+        name = uuid.uuid4().hex
+        with system.open_output_stream(f"{base}/{name}", compression=None) as out:
+            out.write(pickle.dumps(index))
+        return pa.table({"path": [f"{folder}/{name}"]})
+
+    made = dealt.select("chunk", "item_id", "item").groupBy("chunk").cogroup(own.groupBy("part")).applyInArrow(build, "path string")
+    return sorted(r["path"] for r in materialize(made, "indexes").collect())
+
+
+@lru_cache(maxsize=8)
+def _index(path: str) -> Index:
+    system, inner = fs.FileSystem.from_uri(path)
+    with system.open_input_stream(inner, compression=None) as file:
+        return pickle.loads(file.read())
+
+
+def _leaks(texts: pa.Array, paths: list[str], threshold: float, overlap: float) -> Iterator[dict[tuple[int, int], tuple]]:
+    """By runs of texts: of each (text, item id), the largest overlaps and their score."""
+    for first, run in text_runs(texts):
+        words = Words(run, letters=PLAIN)
+        best: dict[tuple[int, int], tuple] = {}
+        for path in paths:
+            index = _index(path)
+            for text, passage, item, score in zip(*index.retrieve(words, threshold), strict=True):
+                question, answer = index.overlaps(words, text, passage, item)
+                if question >= overlap and answer >= overlap:
+                    # repeated items with one id are one
+                    key, value = (first + int(text), int(index.ids[item])), (question, answer, float(score))
+                    best[key] = max(best.get(key, value), value)
+        yield best
+
+
 def find_leaks(
     docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
@@ -166,57 +269,50 @@ def find_leaks(
     the passage holds at least the share `overlap` of its question's five-word
     shingles and of its answer's words. A document and an item make one row, of
     the passage with the largest overlaps. Words are runs of letters and digits
-    with A-Z lower-cased. Items of fewer than five words, and null ones, are too
+    with A-Z lower-cased; other scripts count as letters, so that items without
+    spaces have few words. Items of fewer than five words, and null ones, are too
     short to tell and never match; nor do null and empty texts. Repeated rows of
-    docs give repeated rows; repeated items count once. Empty tables give an
-    empty result.
+    docs give repeated rows, rows with a null id rows without one; repeated items
+    count once, those with a null id are left out. Empty tables give an empty
+    result; other columns are not read.
     """
     spark = docs.sparkSession
-    schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
-    kept = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("item")).filter("item is not null").distinct()
-    chunks = max(1, -(-kept.count() // (MAX_ITEMS * 3 // 4)))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    small_batches(spark)
-    results = []
-    for chunk in range(chunks):
-        # hashed chunks are within the bound with certainty for all practical sizes; each is checked
-        part = kept.filter(F.pmod(F.xxhash64("item_id", "item"), F.lit(chunks)) == chunk).orderBy("item_id", "item").collect()
-        for at in range(0, len(part), MAX_ITEMS):
-            index = Index.build([r["item_id"] for r in part[at : at + MAX_ITEMS]], [r["item"] for r in part[at : at + MAX_ITEMS]])
-            if index is not None:
-                results.append(rows.mapInArrow(_search(spark.sparkContext.broadcast(index), threshold, overlap), schema))
-    if not results:
-        return spark.createDataFrame([], schema)
-    out = results[0]
-    for more in results[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def _search(held, threshold: float, overlap: float):
+    paths = build_indexes(_items(items, item_col, item_text))
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Index = held.value
         for batch in batches:
-            for first, run in text_runs(batch.column(1)):
-                words = Words(run, letters=PLAIN)
-                best: dict[tuple[int, int], tuple] = {}
-                for text, passage, item, score in zip(*index.retrieve(words, threshold), strict=True):
-                    question, answer = index.overlaps(words, text, passage, item)
-                    if question >= overlap and answer >= overlap:
-                        # repeated items with one id are one
-                        key, value = (int(text), int(index.ids[item])), (question, answer, float(score))
-                        best[key] = max(best.get(key, value), value)
+            for best in _leaks(batch.column(1), paths, threshold, overlap):
                 if best:
-                    ids = batch.column(0).take(pa.array([first + t for t, _ in best], pa.int64()))
+                    ids = batch.column(0).take(pa.array([t for t, _ in best], pa.int64()))
                     yield pa.RecordBatch.from_arrays(
                         [ids, pa.array([i for _, i in best], pa.int64()), *(pa.array([v[k] for v in best.values()]) for k in (2, 0, 1))],
                         names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"],
                     )
 
-    return search
+    small_batches(spark)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(search, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+
+
+def _items(items: DataFrame, item_col: str, item_text: str) -> DataFrame:
+    return items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("item")).filter("item is not null and item_id is not null").distinct()
+
+
+def drop_leaks(
+    docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.8, text_col: str = "text", item_col: str = "item_id", item_text: str = "text"
+) -> DataFrame:
+    """The rows of docs whose text holds no test item, in all their columns.
+
+    Rows are judged by their own text while they are read, so ids don't matter
+    and nothing is shuffled. See find_leaks() for what leaks.
+    """
+    paths = build_indexes(_items(items, item_col, item_text))
 
+    def clean(texts: pa.Array) -> pa.Array:
+        kept = np.ones(len(texts), dtype=bool)
+        for best in _leaks(texts, paths, threshold, overlap):
+            kept[[t for t, _ in best]] = False
+        return pa.array(kept)
 
-def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The documents in which no item leaks, in all their columns; rows with a null id are kept."""
-    leaks = find_leaks(docs, items, id_col=id_col, **how).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, docs[id_col] == leaks["_leak"], "left_anti")
+    small_batches(docs.sparkSession)
+    return docs.filter(F.arrow_udf(clean, "boolean")(F.col(text_col)))
