@@ -1,8 +1,9 @@
 """From raw documents to shards: quality, near-duplicates, decontamination, mixing, sharding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
-return the columns of documents. Rows with a null id can't be told from one
-another: the stages that look rows up by id let them pass.
+return the columns of documents, and further columns that docs may have. Null
+texts count as empty ones. An empty table gives an empty result. Rows that share
+an id but not a text are documents of their own.
 """
 
 from __future__ import annotations
@@ -11,39 +12,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.llm import decontam, minhash, mixing, quality, sharding
+from webloom.operators.ordered import range_parts, running_totals
 from webloom.runtime import materialize
 
 ORACLE_SQL = None
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents whose Bradley-Terry score is under the threshold."""
+    """Drop the documents whose Bradley-Terry score is under the threshold; each row is judged by its own text."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.filter(model.score(F.col("text")) >= model.threshold)
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest id of each group of near-duplicates, once."""
-    kept = minhash.near_duplicates(docs, minhash.MinHash(words=5, percent=80)).filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    kept = materialize(kept.withColumnRenamed("doc_id", "_kept"), "kept")
-    out = docs.join(kept.select("_kept"), docs["doc_id"] == kept["_kept"], "left_semi")
-    if kept.filter("n > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.filter("doc_id is null"))
+    """Keep the document of the smallest id of each group of near-duplicates, once.
+
+    Empty texts are near nothing and stay. If ids are null or repeated, documents
+    are numbered in the order of their ids (null last) and texts first; of rows
+    equal in id and text one stays, that of the least hash of all its columns.
+    """
+    params = minhash.MinHash(words=5, percent=80)
+    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("doc_id is null or n > 1").limit(1).count()
+    if not odd:
+        kept = materialize(minhash.near_duplicates(docs, params).filter("kept").select(F.col("doc_id").alias("_kept")), "kept")
+        return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+    same = F.sha2(F.coalesce("text", F.lit("")), 256)
+    names = docs.select("doc_id", same.alias("same")).distinct()
+    order = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("same")]
+    numbers = running_totals(range_parts(names, order, "names"), order, {"number": F.lit(1).cast("long")})
+    numbers = materialize(numbers.select(F.col("doc_id").alias("_doc"), F.col("same").alias("_same"), "number"), "numbers")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_own"), "text", same.alias("_text"))
+    rows = rows.join(numbers, rows["_own"].eqNullSafe(numbers["_doc"]) & (rows["_text"] == numbers["_same"])).select("row", "number", "text")
+    once = rows.groupBy("number").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    once = materialize(once.select("row", F.col("number"), F.col("row.text").alias("text")), "once")
+    kept = minhash.near_duplicates(once, params, id_col="number").filter("kept").select(F.col("doc_id").alias("_kept"))
+    kept = materialize(kept, "kept")
+    return once.join(kept, once["number"] == kept["_kept"], "left_semi").select("row.*")
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold a test item."""
+    """Drop the documents that hold a test item; each row is judged by its own text while it is read."""
     return decontam.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take documents, some of them twice, so that sources have their target shares of words."""
+    """Take documents, some of them twice, so that sources have their target shares of words; a null source is one too."""
     return mixing.take_mix(docs)
 
 
 def stage_shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Place each row in one of 40 shards of near equal bytes."""
+    """Place each row in one of 40 shards of near equal bytes, equal texts together; repeated rows have slots of their own."""
     return sharding.shard_by_bytes(docs)
 
 
