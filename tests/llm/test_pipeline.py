@@ -62,3 +62,15 @@ def test_rows_without_ids_and_repeats(spark):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_unlike_texts_of_one_id_both_stay(spark):
+    texts = [f"{w} " * 3 + " ".join(f"{w}{i}" for i in range(30)) for w in "abc"]
+    rows = [(5, texts[0], "s"), (5, texts[1], "s"), (5, texts[1], "s"), (7, texts[1] + " more", "s"), (8, texts[2], "s"), (None, texts[2], "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as number", "2 as row", "3 as _kept", "4 as size", "5 as shard", "6 as _row", "7 as same")
+    kept = corpus_pipeline.stage_near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns and sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(5, texts[0]), (5, texts[1]), (8, texts[2])]
+    for name, stage in corpus_pipeline.STAGES[2:]:
+        out = stage(spark, docs, SF)
+        assert name == "shard" or out.columns == docs.columns
+        assert {r["doc_id"] for r in out.collect()} <= {5, 7, 8, None}

@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeats, empty tables and clashing columns, and brute force."""
 
+import math
 import random
 import re
 import zlib
@@ -164,15 +165,15 @@ def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK_ROWS", 70)
     rng = np.random.default_rng(6)
     rows = [(int(i), [float(np.float32(x)) for x in rng.integers(-3, 4, 6) / 64]) for i in range(260)]
-    rows += [(300, None), (350, [1.0] * 5 + [None]), (400, [float("nan")] * 6), (450, [float("inf")] + [0.0] * 5), (500, [0.0] * 6), (550, [1.0]), (None, [1.0] * 6), (50, rows[50][1])]
+    rows += [(300, None), (350, [1.0] * 5 + [None]), (400, [float("nan")] * 6), (450, [float("inf")] + [0.0] * 5), (500, [0.0] * 6), (550, [1.0]), (551, [2.0]), (552, []), (600, []), (650, [9e6, 1.0] + [0.0] * 4), (651, [3e30] + [1.0] * 5), (None, [1.0] * 6), (50, rows[50][1])]
     table = clashing(spark, rows, "vec_id long, embedding array<float>").repartition(3)
     got = [tuple(r) for r in topk.top_k(table, k=5, pivots=4).select("query_id", "rank", "vec_id", "score").collect()]
-    use = {i: np.floor(256 * np.array(v)).astype(int) for i, v in rows if i is not None and i not in (300, 350, 400, 450, 550)}
+    use = {i: [math.floor(256 * float(np.float32(x))) for x in v] for i, v in rows if i is not None and i not in (300, 350, 400, 450)}
     want = []
     for q in use:
         if q % 50 == 0:
-            scored = sorted((-int(use[q] @ v), i) for i, v in use.items() if i != q)[:5]
-            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+            scored = sorted((-sum(a * b for a, b in zip(use[q], v)), i) for i, v in use.items() if i != q and len(v) == len(use[q]))[:5]
+            want += [(q, n + 1, i, min(-s, 2**63 - 1)) for n, (s, i) in enumerate(scored)]
     assert sorted(got) == sorted(want)
     assert topk.top_k(table.limit(0)).count() == 0
     assert topk.top_k(spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")).count() == 1
