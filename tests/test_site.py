@@ -1,12 +1,15 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from webloom.functions import fingerprint, js, passive
 from webloom.functions.scope import ScopeRules
 from webloom.operators import build, diff, graph
+from webloom.plans import questions
 from webloom.plans.crawl import CrawlOptions, crawl_corpus
 from webloom.sources import export
-from webloom.sources.store import Store
+from webloom.sources.store import Store, malformed, read_parts, read_snapshots
 
 HOME = """<!DOCTYPE html><html><head><title> My  <b>shop</b></title><meta name="generator" content="WordPress 6.4">
 <link rel="stylesheet" href="/s.css"><script src="/app.js"></script><base href="/"></head><body class="a b">
@@ -76,7 +79,7 @@ def test_questions(spark, crawl):
 def test_diff_is_empty_on_itself_and_mirrors(crawl):
     _, nodes, edges, findings = crawl
     old = diff.Crawl(nodes, edges, findings)
-    assert all(df.count() == 0 for df in diff.diff(old, old).values())
+    assert all(df.count() == 0 for df in diff.diff(old, old).values()) and diff.is_empty(diff.diff(old, old))
     changed = nodes.filter("url not like '%landing'").withColumn("title", F.when(F.col("url").endswith("about"), F.lit("Us")).otherwise(F.col("title")))
     new = diff.Crawl(changed, edges.filter("rel <> 'redirect'"), findings.filter("kind <> 'email'"))
     there, back = diff.diff(old, new), diff.diff(new, old)
@@ -110,6 +113,58 @@ def test_store_and_exports(spark, crawl, tmp_path):
         export.export(nodes, edges, findings, "pdf", "x")
 
 
+def test_json_parts_read_back(spark, crawl, tmp_path):
+    _, nodes, edges, findings = crawl
+    export.json_document(nodes, edges, findings, "shop", "complete", ["https://shop.test/"]).write.partitionBy("part").text(str(tmp_path / "j"))
+    head, *parts = read_parts(spark, str(tmp_path / "j"))
+    assert [tuple(r) for r in head.collect()] == [("shop", "complete", ["https://shop.test/"])]
+    for got, want in zip(parts, (nodes, edges, findings)):
+        columns = sorted(want.columns)
+        assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+
+
+def test_snapshots_and_malformed_files(spark, tmp_path):
+    good = {"meta": {"id": "c1", "label": "x"}, "graph": {"target": "t", "status": "complete", "seeds": ["https://a.test/"], "nodes": [{"id": 0, "url": "https://a.test/"}, {"id": 1, "url": "https://a.test/b"}], "edges": [{"src": 0, "dst": 1, "rel": "href"}] * 2, "findings": [{"node": 1, "kind": "email", "value": "a@b.c"}]}}
+    (tmp_path / "good.json").write_text(json.dumps(good))
+    (tmp_path / "bad.json").write_text('{"graph": ')
+    (tmp_path / "other.json").write_text('{"a": 1}')
+    crawls, nodes, edges, findings = read_snapshots(spark, str(tmp_path))
+    assert [r["crawl_id"] for r in crawls.collect()] == ["c1"] and nodes.count() == 2
+    assert [(r["src_url"], r["dst_url"]) for r in edges.collect()] == [("https://a.test/", "https://a.test/b")]
+    assert [r["url"] for r in findings.collect()] == ["https://a.test/b"] and malformed(spark, str(tmp_path)) == 2
+
+
+def test_seeds_decide_orphans_and_ways(spark):
+    node = lambda u, d=0: (u, "page", "a.test", False, True, d)
+    nodes = spark.createDataFrame([node("s1"), node("s2"), node("lone"), node("x", 1), node("y", 2)], "url string, kind string, host string, external boolean, fetched boolean, depth int")
+    edges = spark.createDataFrame([("s2", "x", "href"), ("x", "y", "href"), ("s2", "s1", "sitemap")], "src_url string, dst_url string, rel string")
+    assert graph.orphans(nodes, edges).count() == 0
+    assert sorted(r["url"] for r in graph.orphans(nodes, edges, ["s1", "s2"]).collect()) == ["lone"]
+    assert questions.path_to(nodes, edges, "y") == ["s2", "x", "y"] and questions.path_to(nodes, edges, "lone", ["s1"]) == [] and questions.path_to(nodes, edges, "y", ["x"]) == ["x", "y"]
+
+
+def test_scripts_are_read_one_by_one(spark):
+    scripts = ["var x = `never closed", 'fetch("/api/v1/second")', None, "no strings"]
+    frame = spark.createDataFrame([(scripts,), (None,), ([],)], "s array<string>").coalesce(1)
+    got = [(sorted(e["value"] for e in r[0]), r[1]) for r in frame.select(js.script_endpoints(F.col("s")), js.script_literals(F.col("s"))).collect()]
+    assert got[0][0] == ["/api/v1/second"] and "/api/v1/second" in got[0][1] and got[1] == ([], None) and got[2] == ([], "")
+
+
+def test_findings_are_the_first_of_each_kind(spark):
+    text = "A@b.com a@B.com x@y.com see 10.0.0.1 and dev.api.x.com DEV.api.x.com"
+    found = spark.createDataFrame([(text,), (None,), ("",)], "t string").select(passive.findings(F.col("t")).alias("f")).collect()
+    assert [(f["kind"], f["value"]) for f in found[0]["f"]] == [("email", "A@b.com"), ("email", "x@y.com"), ("internal-host", "10.0.0.1"), ("internal-host", "dev.api.x.com")]
+    assert found[1]["f"] == [] and found[2]["f"] == []
+
+
+def test_changed_edges_at_nodes_of_both(spark):
+    edges = lambda *rows: spark.createDataFrame([(a, b, "href") for a, b in rows], "src_url string, dst_url string, rel string")
+    urls = lambda *names: spark.createDataFrame([(n,) for n in names], "url string")
+    old, new = diff.Crawl(urls("a", "b", "c"), edges(("a", "b"), ("a", "c")), None), diff.Crawl(urls("a", "b", "d"), edges(("a", "b"), ("a", "d"), ("b", "a"), ("b", "a")), None)
+    assert {tuple(r) for r in diff.restructured_edges(old, new).collect()} == {("a", "removed_out", "href", "c"), ("a", "added_out", "href", "d"), ("b", "added_out", "href", "a"), ("a", "added_in", "href", "b")}
+    assert {tuple(r) for r in diff.restructured(old, new).collect()} == {("a", 1, 1, 1, 0), ("b", 1, 0, 0, 0)}
+
+
 def test_endpoints():
     source = """
     // fetch("/api/dead")

@@ -12,7 +12,7 @@ from webloom.functions import fingerprint
 from webloom.functions.scope import ScopeRules
 from webloom.operators import diff
 from webloom.plans.crawl import CrawlOptions, crawl_corpus
-from webloom.plans.questions import QUESTIONS
+from webloom.plans.questions import QUESTIONS, crawl_report
 from webloom.runtime import local_session
 from webloom.sources import export
 from webloom.sources.store import Store, default_dir, seed_lines
@@ -77,11 +77,16 @@ def main(argv: list[str] | None = None) -> int:
         if not result.graph.nodes.filter("fetched").limit(1).count():
             print("nothing was fetched; not saved", file=sys.stderr)
             return 1
-        print(store.save(result.graph.nodes, result.graph.edges, result.graph.findings, seeds[0], args.label, result.status, seeds))
+        crawl_id = store.save(result.graph.nodes, result.graph.edges, result.graph.findings, seeds[0], args.label, result.status, seeds)
+        _show(crawl_report(*store.load(crawl_id), store.seeds(crawl_id), {"page limit": result.budget_dropped, "queue limit": result.queue_dropped}))
+        print(crawl_id)
     elif args.command == "list":
-        _show(store.list(args.target).select("crawl_id", "target", "label", "status", "nodes", "edges", "findings"))
+        found = store.list(args.target)
+        _show(found.select("crawl_id", "target", "label", "status", "nodes", "edges", "findings"))
+        print(f"{found.count()} crawls")
     elif args.command == "query":
-        _show(QUESTIONS[args.question](*store.load(store.resolve(args.ref)), args.value))
+        crawl_id = store.resolve(args.ref)
+        _show(QUESTIONS[args.question](*store.load(crawl_id), args.value, store.seeds(crawl_id)))
     elif args.command == "diff":
         rules = diff.parse_rules(args.fail_on)
         old, new = store.resolve(args.old), store.resolve(args.new)

@@ -255,10 +255,43 @@ def _token_rows(body: pd.Series) -> pd.Series:
     return body.map(lambda b: [{"stream": i, "kind": t.kind, "value": t.value, "dynamic": t.dynamic, "offset": t.offset} for i, s in enumerate(lex(b)) for t in s] if b else [])
 
 
+def _merged_rows(scripts: pd.Series) -> pd.Series:
+    def merged(bodies) -> list[dict]:
+        best: dict[str, dict] = {}
+        for body in bodies if bodies is not None else ():
+            for e in _endpoint_rows(pd.Series([body]))[0]:
+                if e["value"] not in best or RANK[e["source"]] > RANK[best[e["value"]]["source"]]:
+                    best[e["value"]] = e
+        return [best[v] for v in sorted(best, key=lambda v: v.encode())]
+
+    return scripts.map(merged)
+
+
+def _joined_literals(scripts: pd.Series) -> pd.Series:
+    return scripts.map(lambda bodies: None if bodies is None else "\n".join(literals(b) for b in bodies if b))
+
+
+def _with_quotes(scripts: Column) -> Column:
+    """Those scripts that hold a quote or backtick: others have no strings to find."""
+    return F.filter(scripts, lambda s: s.rlike("[\"'`]"))
+
+
+def script_endpoints(scripts: Column) -> Column:
+    """Endpoints of a list of scripts, each a program of its own, in ENDPOINT: distinct by value, the best source kept."""
+    ship_package()
+    return F.pandas_udf(_merged_rows, ENDPOINT)(_with_quotes(scripts))
+
+
+def script_literals(scripts: Column) -> Column:
+    """String and template values of a list of scripts, a line each; null for null."""
+    ship_package()
+    return F.pandas_udf(_joined_literals, "string")(_with_quotes(scripts))
+
+
 def js_endpoints(body: Column) -> Column:
     """Endpoints of a script, in ENDPOINT; none of a null one."""
     ship_package()
-    return F.pandas_udf(_endpoint_rows, ENDPOINT)(body)
+    return F.pandas_udf(_endpoint_rows, ENDPOINT)(F.when(body.rlike("[\"'`]"), body))
 
 
 def js_literals(body: Column) -> Column:

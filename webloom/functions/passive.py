@@ -43,19 +43,28 @@ INTERNAL_TLDS = ("internal", "intranet", "corp", "local", "localdomain", "lan",
 FILE_EXTENSIONS = ("js", "mjs", "ts", "css", "json", "html", "htm", "xml", "map", "png", "jpg", "svg", "gif", "txt", "md", "php", "py", "go")
 ENVIRONMENT_LABELS = ("staging", "stage", "dev", "uat", "qa", "test", "preprod", "internal", "intranet")
 
+# Strings without which a pattern of the same place can't match, in lower case.
+BUCKET_NEEDS = ("amazonaws.com", "amazonaws.com", "//storage.", ".blob.core.windows.net", "digitaloceanspaces.com")
+SECRET_NEEDS = ("akia", "asia", "aiza", "gh", "xox", "sk_live_", "private key-----")
+
 
 def java_pattern(pattern: str) -> str:
     return pattern.replace(r"\b", B)
 
 
-def _all(text: Column, pattern: str, cap: int, group: int = 0) -> Column:
-    return F.slice(F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(group)), 1, cap)
+def _all(text: Column, pattern: str, cap: int, group: int = 0, needs: str | tuple[str, ...] = ()) -> Column:
+    """The first matches of a pattern; the expression runs only on texts that hold one of the (lower-case) strings it needs."""
+    found = F.slice(F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(group)), 1, cap)
+    if not needs:
+        return found
+    held = F.lit(False)
+    for need in (needs,) if isinstance(needs, str) else needs:
+        held = held | F.contains(F.lower(text), F.lit(need))
+    return F.when(held, found).otherwise(F.array().cast("array<string>"))
 
 
-def _found(kind: str, values: Column, evidence: Column | None = None) -> Column:
-    if evidence is None:
-        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.lit("").alias("evidence")))
-    return F.zip_with(values, evidence, lambda v, e: F.struct(F.lit(kind).alias("kind"), v.alias("value"), e.alias("evidence")))
+def _found(kind: str, values: Column) -> Column:
+    return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.lit("").alias("evidence")))
 
 
 def is_internal_host(host: Column) -> Column:
@@ -69,31 +78,37 @@ def is_internal_host(host: Column) -> Column:
 
 def emails(text: Column) -> Column:
     lower = lambda e: F.lower(e)
-    return F.filter(_all(text, EMAIL_PATTERN, EMAIL_CAP), lambda e: ~lower(e).isin(*PLACEHOLDER_EMAILS) & ~lower(e).endswith(".png") & ~lower(e).endswith(".jpg"))
+    return F.filter(_all(text, EMAIL_PATTERN, EMAIL_CAP, needs="@"), lambda e: ~lower(e).isin(*PLACEHOLDER_EMAILS) & ~lower(e).endswith(".png") & ~lower(e).endswith(".jpg"))
 
 
 def buckets(text: Column) -> Column:
-    return F.concat(*[_found(BUCKET, _all(text, p, BUCKET_CAP, 1), _all(text, p, BUCKET_CAP, 0)) for p in BUCKET_PATTERNS])
+    """Names of buckets, with the whole match as evidence."""
+
+    def one(pattern: str, need: str) -> Column:
+        name = lambda m: F.regexp_extract(m, java_pattern(pattern), 1)
+        return F.transform(_all(text, pattern, BUCKET_CAP, 0, need), lambda m: F.struct(F.lit(BUCKET).alias("kind"), name(m).alias("value"), m.alias("evidence")))
+
+    return F.concat(*[one(p, n) for p, n in zip(BUCKET_PATTERNS, BUCKET_NEEDS, strict=True)])
 
 
 def socials(text: Column) -> Column:
-    return F.transform(_all(text, SOCIAL_PATTERN, SOCIAL_CAP), lambda v: F.regexp_replace(v, r"[/.]+$", ""))
+    return F.transform(_all(text, SOCIAL_PATTERN, SOCIAL_CAP, needs="://"), lambda v: F.regexp_replace(v, r"[/.]+$", ""))
 
 
 def secrets(text: Column) -> Column:
-    return F.concat(*[_all(text, p, SECRET_CAP) for p in SECRET_PATTERNS])
+    return F.concat(*[_all(text, p, SECRET_CAP, needs=n) for p, n in zip(SECRET_PATTERNS, SECRET_NEEDS, strict=True)])
 
 
 def private_ips(text: Column) -> Column:
-    return _all(text, PRIVATE_IP_PATTERN, PRIVATE_IP_CAP)
+    return _all(text, PRIVATE_IP_PATTERN, PRIVATE_IP_CAP, needs=("10.", "192.168.", "172."))
 
 
 def internal_hosts(text: Column) -> Column:
-    return F.transform(F.filter(_all(text, HOSTNAME_PATTERN, HOSTNAME_CAP, 1), is_internal_host), F.lower)
+    return F.transform(F.filter(_all(text, HOSTNAME_PATTERN, HOSTNAME_CAP, 1, tuple(f".{t}" for t in INTERNAL_TLDS) + tuple(f"{e}." for e in ENVIRONMENT_LABELS)), is_internal_host), F.lower)
 
 
 def api_paths(text: Column) -> Column:
-    return _all(text, API_PATTERN, API_CAP, 1)
+    return _all(text, API_PATTERN, API_CAP, 1, ("/api", "/rest", "/graphql", "/v", "/_next", "/wp-json", "/admin"))
 
 
 def findings(text: Column, apis: Column | None = None) -> Column:
@@ -112,10 +127,13 @@ def findings(text: Column, apis: Column | None = None) -> Column:
 
 def distinct_findings(found: Column) -> Column:
     """The first of each kind and lower-cased value, in the order of kind and value."""
-    key = lambda f: F.struct(f["kind"].alias("k"), F.lower(f["value"]).alias("v"))
-    keys = F.transform(found, key)
-    first = F.filter(found, lambda f, i: (F.array_position(keys, key(f)) == i + 1) & (f["value"] != ""))
-    return F.array_sort(first)
+    # found is named once: an expression inside a lambda is computed again for each element
+    keyed = F.transform(found, lambda f, i: F.struct(f["kind"].alias("kind"), F.lower(f["value"]).alias("key"), i.alias("at"), f["value"].alias("value"), f["evidence"].alias("evidence")))
+    last = lambda held: F.get(held, F.size(held) - 1)
+    repeat = lambda held, f: (last(held)["kind"].eqNullSafe(f["kind"])) & (last(held)["key"].eqNullSafe(f["key"]))
+    none = F.array().cast("array<struct<kind:string, key:string, at:int, value:string, evidence:string>>")
+    first = F.aggregate(F.array_sort(keyed), none, lambda held, f: F.when(repeat(held, f) | (f["value"] == ""), held).otherwise(F.array_append(held, f)))
+    return F.array_sort(F.transform(first, lambda f: F.struct(f["kind"].alias("kind"), f["value"].alias("value"), f["evidence"].alias("evidence"))))
 
 
 def css_findings(body: Column) -> Column:

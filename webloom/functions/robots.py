@@ -16,7 +16,9 @@ def robots_rules(files: DataFrame, user_agent: str, origin_col: str = "origin",
     file are the bound of what one task orders.
     """
     agent = user_agent.lower()
-    lines = files.dropDuplicates([origin_col]).select(F.col(origin_col).alias("origin"), F.posexplode(F.split(F.col(body_col), r"\r?\n")).alias("seq", "line"))
+    # of several files of one origin the first in the order of their texts counts
+    files = files.groupBy(F.col(origin_col).alias("origin")).agg(F.min(body_col).alias("body"))
+    lines = files.select("origin", F.posexplode(F.split("body", r"\r?\n")).alias("seq", "line"))
     line = F.trim(F.regexp_extract("line", r"^([^#]*)", 1), F.lit(" \t\r"))
     lines = lines.withColumn("line", line).filter(F.col("line").contains(":"))
     lines = lines.withColumns({"key": F.lower(F.trim(F.substring_index("line", ":", 1))), "value": F.trim(F.regexp_extract("line", r"^[^:]*:(.*)$", 1), F.lit(" \t"))})

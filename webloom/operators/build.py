@@ -18,6 +18,8 @@ from webloom.operators.frontier import kind_priority
 from webloom.runtime import materialize
 
 TECHS = "array<struct<name:string,version:string,categories:array<string>,confidence:int,evidence:array<string>>>"
+#: Locations of a sitemap that count where a crawl has no limit of its own.
+MAX_SITEMAP = 10_000
 RESPONSES = "url string, depth int, kind string, final_url string, redirects array<string>, status_code int, headers map<string,array<string>>, body string, error string"
 
 
@@ -59,15 +61,13 @@ def parse_responses(responses: DataFrame, signatures: tuple[fingerprint.Signatur
     typed = responses.withColumns({"content_type": ct, "class": cls})
     paged = typed.withColumn("page", html.parse_html(F.when(F.col("class") == "html", F.col("body"))))
     scripts = F.when(F.col("class") == "script", F.array("body")).when(F.col("class") == "html", F.col("page.scripts"))
-    texts = F.array_join(scripts, "\n;\n")
-    # each inline script is a program of its own; a separator keeps their tokens apart
-    out = paged.withColumns({"endpoints": js.js_endpoints(texts), "script_text": js.js_literals(texts)})
+    out = paged.withColumns({"endpoints": js.script_endpoints(scripts), "script_text": js.script_literals(scripts)})
     body = F.when(F.col("class").isin("html", "script", "css"), F.col("body"))
     hits = fingerprint.match_pages(F.col("headers"), F.col("page.metas"), F.col("page.script_srcs"), F.col("page.classes"), body, url_path(F.col("url")), signatures)
     return materialize(out.withColumn("hits", hits), "parsed")
 
 
-def references(parsed: DataFrame, max_sitemap: int = 10_000) -> DataFrame:
+def references(parsed: DataFrame, max_sitemap: int = MAX_SITEMAP) -> DataFrame:
     """(src_url, depth, url, rel, kind, context): all references that resolve, from pages, scripts and sitemaps."""
     own = F.coalesce("final_url", "url")
     base = F.coalesce(F.when(F.coalesce("page.base", F.lit("")) != "", resolve_url(own, F.col("page.base"))), own)
@@ -89,7 +89,7 @@ def response_findings(parsed: DataFrame) -> DataFrame:
         F.when(F.col("class") == "html", F.concat(passive.findings(F.col("body")), passive.comment_findings(F.col("page.comments")), F.when(F.size("page.scripts") > 0, script).otherwise(none)))
         .when(F.col("class") == "script", script).when(F.col("class") == "css", passive.css_findings(F.col("body"))).otherwise(none)
     )
-    rows = parsed.select("url", F.posexplode(found).alias("at", "f")).select("url", "at", "f.*")
+    rows = parsed.select("url", F.posexplode_outer(found).alias("at", "f")).filter("f is not null").select("url", "at", "f.*")
     return rows.groupBy("url", "kind", "value").agg(F.min_by("evidence", "at").alias("evidence"))
 
 
@@ -101,10 +101,13 @@ def redirect_edges(responses: DataFrame) -> DataFrame:
     return chain.filter(F.size("c") > 1).select("depth", F.explode(pairs).alias("p")).select("p.*", "depth")
 
 
-def build_graph(responses: DataFrame, rules: ScopeRules, signatures: tuple[fingerprint.Signature, ...] = fingerprint.SIGNATURES) -> SiteGraph:
-    """Nodes, edges, findings, crawl candidates and forms of a set of responses, a row a URL."""
+def build_graph(responses: DataFrame, rules: ScopeRules, signatures: tuple[fingerprint.Signature, ...] = fingerprint.SIGNATURES, max_sitemap: int = MAX_SITEMAP) -> SiteGraph:
+    """Nodes, edges, findings, crawl candidates and forms of a set of responses, a row a URL.
+
+    Of a sitemap's locations the first max_sitemap count.
+    """
     parsed = parse_responses(responses, signatures)
-    refs = references(parsed)
+    refs = references(parsed, max_sitemap)
     decision = rules.decide(F.col("url"), F.col("depth") + 1)
     refs = materialize(refs.withColumn("decision", decision).filter(F.col("decision") != REJECT).withColumn("external", (F.col("decision") == RECORD) & ~rules.in_scope_host(url_host(F.col("url")))), "refs")
     hops = redirect_edges(responses)

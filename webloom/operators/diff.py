@@ -72,15 +72,25 @@ def disappeared_edges(old: DataFrame, new: DataFrame) -> DataFrame:
     return appeared_edges(new, old)
 
 
+def changed_edges(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(src_url, dst_url, rel, change): edges of one crawl only, `added` or `removed`, from one pass over both."""
+    both = old.select(*EDGE, F.lit(False).alias("now")).unionByName(new.select(*EDGE, F.lit(True).alias("now")))
+    sides = both.groupBy(*EDGE).agg(F.min("now").alias("least"), F.max("now").alias("most")).filter("least = most")
+    return sides.select(*EDGE, F.when(F.col("most"), F.lit("added")).otherwise(F.lit("removed")).alias("change"))
+
+
+def restructured_edges(old: Crawl, new: Crawl) -> DataFrame:
+    """(url, what, rel, other): a row for each edge change at a node in both crawls, added or removed, out or in."""
+    end = lambda way, at, to: F.struct(F.col(at).alias("url"), F.concat("change", F.lit(f"_{way}")).alias("what"), "rel", F.col(to).alias("other"))
+    each = changed_edges(old.edges, new.edges).select(F.explode(F.array(end("out", "src_url", "dst_url"), end("in", "dst_url", "src_url"))).alias("e")).select("e.*")
+    both = old.nodes.select("url").join(new.nodes.select("url"), "url", "left_semi").withColumnRenamed("url", "_both")
+    return each.join(both, F.col("url") == F.col("_both"), "left_semi")
+
+
 def restructured(old: Crawl, new: Crawl) -> DataFrame:
-    """(url, added_out, removed_out, added_in, removed_in): edge changes at nodes in both crawls, as sorted `rel url` lists."""
-    added, removed = appeared_edges(old.edges, new.edges), disappeared_edges(old.edges, new.edges)
-    side = lambda df, what, at, to: df.select(F.col(at).alias("url"), F.lit(what).alias("what"), F.concat_ws(" ", "rel", to).alias("edge"))
-    each = side(added, "added_out", "src_url", "dst_url").unionByName(side(removed, "removed_out", "src_url", "dst_url"))
-    each = each.unionByName(side(added, "added_in", "dst_url", "src_url")).unionByName(side(removed, "removed_in", "dst_url", "src_url"))
-    each = each.join(old.nodes.select("url"), "url", "left_semi").join(new.nodes.select("url"), "url", "left_semi")
-    lists = [F.array_sort(F.collect_list(F.when(F.col("what") == w, F.col("edge")))).alias(w) for w in ("added_out", "removed_out", "added_in", "removed_in")]
-    return each.groupBy("url").agg(*lists)
+    """(url, added_out, removed_out, added_in, removed_in): numbers of edge changes at nodes in both crawls."""
+    counts = [F.count_if(F.col("what") == w).alias(w) for w in ("added_out", "removed_out", "added_in", "removed_in")]
+    return restructured_edges(old, new).groupBy("url").agg(*counts)
 
 
 def appeared_findings(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -109,13 +119,18 @@ def diff(old: Crawl, new: Crawl, options: DiffOptions = DiffOptions()) -> dict[s
     return out
 
 
+def is_empty(changes: dict[str, DataFrame]) -> bool:
+    """Whether no class of change has a row."""
+    return not any(df.limit(1).count() for df in changes.values())
+
+
 def rule_counts(changes: dict[str, DataFrame]) -> DataFrame:
     """(rule, n): how often each rule is tripped. restructured counts changed outgoing edges only."""
     spark = changes["appeared"].sparkSession
     count = lambda df: df.agg(F.count(F.lit(1)).alias("n"))
     none = spark.range(1).select(F.lit(0).cast("long").alias("n"))
     findings = changes.get("appeared_findings")
-    out = changes["restructured"].filter((F.size("added_out") > 0) | (F.size("removed_out") > 0))
+    out = changes["restructured"].filter("added_out > 0 or removed_out > 0")
     counts = {
         "new-external-host": count(changes["appeared_hosts"]),
         "new-secret": none if findings is None else count(findings.filter(F.col("kind").contains("secret"))),

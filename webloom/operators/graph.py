@@ -79,7 +79,8 @@ def bfs(edges: DataFrame, sources: DataFrame, target: str | None = None, max_lev
     costs no more than the current one.
     """
     used = edges.filter(F.col("rel").isin(*rels)) if rels else edges
-    used = used.select("src_url", "dst_url").distinct()
+    # written: each level joins it again
+    used = materialize(used.select("src_url", "dst_url").distinct(), "used")
     frontier = materialize(sources.select("url", F.lit(0).alias("level"), F.lit(None).cast("string").alias("parent")).dropDuplicates(["url"]), "level")
     visited, level = frontier, 0
     while True:
@@ -110,6 +111,22 @@ def shortest_path(edges: DataFrame, src: str, dst: str, rels: tuple[str, ...] =
     return path[::-1]
 
 
+def path_from_first(edges: DataFrame, sources: DataFrame, dst: str) -> list[str]:
+    """A shortest way to dst from the smallest of the sources (url) that reaches it; empty if none does.
+
+    One search backwards from dst finds all that reach it, each with its next
+    step, so the number of sources makes no difference.
+    """
+    back = edges.select(F.col("dst_url").alias("src_url"), F.col("src_url").alias("dst_url"))
+    found = materialize(bfs(back, edges.sparkSession.createDataFrame([(dst,)], "url string")), "ways")
+    at = found.join(sources.select("url").distinct(), "url", "left_semi").agg(F.min("url").alias("u")).first()["u"]
+    path = []
+    while at is not None:
+        path.append(at)
+        at = found.filter(F.col("url") == at).first()["parent"]
+    return path
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(url, component): weakly connected components by their smallest URL; lone nodes are their own."""
     found = connected_components(edges, "src_url", "dst_url")

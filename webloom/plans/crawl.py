@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from webloom.functions.robots import robots_allowed, robots_rules
 from webloom.functions.scope import CRAWL, ScopeRules
 from webloom.functions.urls import canonical_url, url_host, url_path, url_scheme
-from webloom.operators.build import SiteGraph, build_graph, parse_responses, references
+from webloom.operators.build import MAX_SITEMAP, SiteGraph, build_graph, parse_responses, references
 from webloom.operators.frontier import admit
 from webloom.runtime import materialize
 
@@ -26,6 +26,10 @@ class CrawlOptions:
     max_queue: int = 100_000
     respect_robots: bool = True
 
+    def sitemap_limit(self) -> int:
+        """How many locations of one sitemap count."""
+        return self.max_pages or MAX_SITEMAP
+
 
 @dataclass(frozen=True)
 class CrawlResult:
@@ -44,7 +48,7 @@ def sitemap_seeds(responses: DataFrame, robots: DataFrame | None, options: Crawl
         listed = robots.filter("kind = 'sitemap'").join(origins, "origin", "left_semi")
         files = files.unionByName(listed.select(canonical_url(F.col("value")).alias("url")))
     found = responses.join(files.distinct(), "url", "left_semi")
-    refs = references(parse_responses(found.withColumns({"depth": F.lit(0), "kind": F.lit("document")}))).filter("rel = 'sitemap'")
+    refs = references(parse_responses(found.withColumns({"depth": F.lit(0), "kind": F.lit("document")})), options.sitemap_limit()).filter("rel = 'sitemap'")
     pages = refs.select("url").distinct().filter(options.rules.decide(F.col("url"), F.lit(1)) == CRAWL)
     limit = max(1, options.max_pages // 2) if options.max_pages else 1000
     return pages.orderBy("url").limit(limit).select("url", F.lit("page").alias("kind"), F.lit(1).alias("depth"))
@@ -85,7 +89,7 @@ def crawl_corpus(responses: DataFrame, seeds: list[str], options: CrawlOptions)
                 fetched = tested.withColumns({"error": F.when(refused, F.lit("disallowed by robots.txt")).otherwise(F.col("error")), "body": F.when(~refused, F.col("body"))}).drop("allowed", "_origin", "_path")
             got = materialize(fetched, "fetched")
             done = got if done is None else done.unionByName(got)
-            found = references(parse_responses(got))
+            found = references(parse_responses(got), options.sitemap_limit())
             found = found.filter(rules.decide(F.col("url"), F.col("depth") + 1) == CRAWL).select("url", "kind", (F.col("depth") + 1).alias("depth"))
             later = later.unionByName(found)
         waiting = materialize(later, "waiting")
@@ -95,4 +99,4 @@ def crawl_corpus(responses: DataFrame, seeds: list[str], options: CrawlOptions)
     if done is None:
         done = responses.limit(0)
     status = "budget-exceeded" if dropped or queued else "complete"
-    return CrawlResult(build_graph(done, rules), status, admitted, dropped, queued)
+    return CrawlResult(build_graph(done, rules, max_sitemap=options.sitemap_limit()), status, admitted, dropped, queued)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions.urls import canonical_url, url_host
 from webloom.operators.diff import Crawl
+from webloom.runtime import shuffle_partitions
 
 SITE = "https://shop.example.com"
 BODY = "array<struct<name:string,version:string>>"
@@ -114,7 +115,9 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
         "db at 10.0.", (F.col("o_custkey") % 256).cast("string"), ".", (F.col("o_orderkey") % 256).cast("string"), ' see "/api/v1/', o, '" mail cust', c, "@mail.example.org, host dev.c", c,
         ".example.com and https://github.com/user", o, "/. from //bucket-", o, ".s3.eu-west-1.amazonaws.com/x or acct", c, ".blob.core.windows.net key AKIA", F.lpad(o, 16, "0"), " file build.test.js",
     ]
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.concat(*[F.lit(p) if isinstance(p, str) else p for p in pieces]).alias("text"))
+    # the keys are dealt out before the texts are made: one small file would be one task of long work
+    keys = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").repartition(shuffle_partitions(spark))
+    return keys.select("o_orderkey", F.concat(*[F.lit(p) if isinstance(p, str) else p for p in pieces]).alias("text"))
 
 
 TRACES = """t AS (SELECT o_orderkey, 'db at 10.0.' || (o_custkey % 256) || '.' || (o_orderkey % 256) || ' see "/api/v1/' || o_orderkey || '" mail cust' || o_custkey || '@mail.example.org, host dev.c' || o_custkey ||

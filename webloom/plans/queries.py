@@ -274,8 +274,7 @@ def diff_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{PAIR}, {ADDED}, {STRUCT} SELECT * FROM restructured")
 def diff_restructured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = diff.restructured(*_pair(spark, sf_dir))
-    return found.select("url", *[F.size(c).cast("long").alias(c) for c in ("added_out", "removed_out", "added_in", "removed_in")])
+    return diff.restructured(*_pair(spark, sf_dir))
 
 
 @query(f"{PAIR} SELECT kind, value, url FROM n_findings EXCEPT SELECT kind, value, url FROM o_findings")
@@ -360,10 +359,35 @@ def find_api_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir, passive.api_paths)
 
 
-@query()
+def _kind_sql(part: int, kind: str, pattern: str, cap: int, group: int, evidence: int | None = None, value: str = "x", only: str = "TRUE") -> str:
+    quoted = pattern.replace("'", "''")
+    of = lambda g: f"list_slice(regexp_extract_all(text, '{quoted}', {g}), 1, {cap})"
+    proof = "''" if evidence is None else f"unnest({of(evidence)})"
+    return f"""SELECT o_orderkey, '{kind}' AS kind, {part} * 100000 + i AS place, {value} AS value, evidence
+        FROM (SELECT o_orderkey, unnest({of(group)}) AS x, {proof} AS evidence, generate_subscripts({of(group)}, 1) AS i FROM t) WHERE {only}"""
+
+
+_NOISE = f"lower(x) NOT IN ({_LIST(passive.PLACEHOLDER_EMAILS)}) AND NOT ends_with(lower(x), '.png') AND NOT ends_with(lower(x), '.jpg')"
+_LABELS = "string_split(lower(x), '.')"
+_INSIDE = f"len({_LABELS}) >= 2 AND {_LABELS}[-1] NOT IN ({_LIST(passive.FILE_EXTENSIONS)}) AND ({_LABELS}[-1] IN ({_LIST(passive.INTERNAL_TLDS)}) OR list_has_any({_LABELS}[1:len({_LABELS}) - 2], [{_LIST(passive.ENVIRONMENT_LABELS)}]))"
+_KINDS = [
+    _kind_sql(0, passive.EMAIL, passive.EMAIL_PATTERN, passive.EMAIL_CAP, 0, only=_NOISE),
+    *(_kind_sql(1 + i, passive.BUCKET, p, passive.BUCKET_CAP, 1, 0) for i, p in enumerate(passive.BUCKET_PATTERNS)),
+    _kind_sql(10, passive.SOCIAL, passive.SOCIAL_PATTERN, passive.SOCIAL_CAP, 0, value="rtrim(x, '/.')"),
+    *(_kind_sql(11 + i, passive.SECRET, p, passive.SECRET_CAP, 0) for i, p in enumerate(passive.SECRET_PATTERNS)),
+    _kind_sql(20, passive.INTERNAL, passive.PRIVATE_IP_PATTERN, passive.PRIVATE_IP_CAP, 0),
+    _kind_sql(21, passive.INTERNAL, passive.HOSTNAME_PATTERN, passive.HOSTNAME_CAP, 1, value="lower(x)", only=_INSIDE),
+    _kind_sql(22, passive.API, passive.API_PATTERN, passive.API_CAP, 1),
+]
+
+
+@query(f"""WITH {TRACES}, m AS ({" UNION ALL ".join(_KINDS)})
+    SELECT o_orderkey, kind, arg_min(value, place) AS value, arg_min(evidence, place) AS evidence FROM m WHERE value <> '' GROUP BY o_orderkey, kind, lower(value)""")
 def text_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All kinds together, distinct and sorted within each text."""
-    return traces(spark, sf_dir).select("o_orderkey", F.explode(passive.findings(F.col("text"))).alias("f")).select("o_orderkey", "f.*")
+    # explode would add a filter that extracts everything a second time
+    each = traces(spark, sf_dir).select("o_orderkey", F.explode_outer(passive.findings(F.col("text"))).alias("f"))
+    return each.filter("f is not null").select("o_orderkey", "f.*")
 
 
 # scripts, fingerprints, robots, sitemaps: made of keys; tested in pytest against tables of cases
@@ -384,7 +408,7 @@ def page_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.groupBy("t.kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN CASE WHEN page_id % 3 = 0 THEN 'WordPress:6.4:80,' ELSE '' END || 'nginx:1.25:80,' ELSE 'Apache::80,' || CASE WHEN page_id % 3 = 0 THEN 'WordPress:6.4:80,' ELSE '' END END || 'PHP::60' AS techs FROM pages""")
 def page_technologies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Technologies of pages to which key arithmetic gives headers and generators."""
     pages = _parsed(spark, sf_dir)
