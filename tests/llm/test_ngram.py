@@ -70,3 +70,21 @@ def test_scores_tell_words_by_two_words_before(spark):
     frame = spark.createDataFrame([*rows, (1000, "a x b"), (1001, "a x d")], "doc_id long, text string")
     got = {r["doc_id"]: r["score"] for r in ngram.language_model_scores(frame).collect()}
     assert got[1000] > got[1001] + 0.5
+
+
+def test_common_contexts_null_ids_and_other_columns(spark, monkeypatch):
+    monkeypatch.setattr(ngram, "BUCKET_TOKENS", 200)
+    monkeypatch.setattr(ngram, "BLOCK_TOKENS", 500)
+    monkeypatch.setattr(ngram, "COMMONEST", 5)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choices(words, weights=range(1, 41), k=rng.randrange(80))), 1, 2) for i in range(150)] + [(None, "w1 w2 w3", 1, 2), (None, "w1 w2 w3", 1, 2), (500, "w1 " * 60_000, 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out int, level int").repartition(4)
+    got = ngram.language_model_scores(docs, 3)
+    plain, p = brute([t for i, t, *_ in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2], 3)
+    for r in got.filter("doc_id < 40 or doc_id is null").collect():
+        text = next(t for i, t, *_ in rows if i == r["doc_id"])
+        x = ["<s>"] * 2 + text.lower().split() + ["</s>"]
+        assert math.isclose(r["score"], sum(math.log10(p(tuple(x[k - 2 : k + 1]))) for k in range(2, len(x))), rel_tol=1e-9)
+        assert r["doc_id"] is not None or not r["held_out"]
+    assert got.count() == len(rows)

@@ -1,20 +1,26 @@
 """Interpolated modified Kneser-Ney n-gram model, counted in Spark and mapped into memory by workers.
 
-N-grams of word hashes are counted in blocks, dealt out by their context's hash
-in packed form, and merged. The reducer of a bucket knows every n-gram of its
-contexts: it writes them as arrays sorted by hash, with the contexts' totals and
-numbers of followers seen once, twice and more often, and passes on how many
-distinct words precede each shorter n-gram. Those continuation counts are merged
-the same way, one order after another. Workers map the arrays into memory and
-look up a run of texts at a time.
+Blocks of tokens are counted map-side and their distinct n-grams dealt out by
+the hash of their context, packed with a dictionary of the words they hold. The
+reducer of a bucket merges them and writes one file of sorted hash arrays, with
+the contexts' totals and numbers of followers seen once, twice and more often;
+it passes on how many distinct words precede each shorter n-gram, which is
+counted the same way, one order after another in one job. Files are named by
+level and bucket, so nothing but counts of counts comes to the driver.
+
+Contexts of the commonest words only would bring a row per follower and block to
+one reducer. They are dealt out by their last word too: their followers lie
+wherever these go, and their totals, summed over all buckets, are a table of
+bounded size. Which words count as common makes no difference to the result.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -25,25 +31,28 @@ from pyspark.sql import functions as F
 
 from webloom.llm.batches import small_batches
 from webloom.llm.words import U64, Words, constants, mix, text_runs
-from webloom.runtime import materialize, scratch_path
+from webloom.runtime import materialize, qualified, scratch_path
 
 #: Hashes of the marks before and after a text: no words, so any values that are none's hash.
 START, END = U64(0x243F6A8885A308D3), U64(0x13198A2E03707344)
 #: Tokens counted at a time, and for which a bucket is made.
-BLOCK_TOKENS, BUCKET_TOKENS = 1 << 20, 2_000_000
+BLOCK_TOKENS, BUCKET_TOKENS = 1 << 22, 4_000_000
 #: Words in n-grams are known by so many bits of their hashes; plain counts are kept by whole hashes.
 WORD_MASK = U64((1 << 48) - 1)
-#: Level 0 holds the plain counts of words.
-SCHEMA = "level int, bucket int, blob binary, path string, entries long, total long, n1 long, n2 long, n3 long, n4 long"
-_FIELDS = pa.schema([("level", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary()), ("path", pa.string()), *((n, pa.int64()) for n in ("entries", "total", "n1", "n2", "n3", "n4"))])
-
-
-def gram_keys(columns: list[np.ndarray]) -> np.ndarray:
-    """A hash of each row of word hashes; zero columns give zero."""
-    if not columns:
-        return np.zeros(0, np.uint64)
-    if len(columns) == 1:
-        return columns[0]
+#: A context seen once has 42 bits of its hash and 22 of its only follower's in one number: either is
+#: taken for another one about once in four million lookups of unseen ones.
+TAIL = U64(22)
+TAIL_MASK = U64((1 << 22) - 1)
+#: Common words are looked for in a sample of about so many bytes; so many at most, and so many in contexts of several words.
+SAMPLE_BYTES, COMMON, COMMONEST = 64 << 20, 1000, 64
+#: Level 0 holds the plain counts of words. Rows have a blob, or counts of counts of a level, or (with ctx) sums of a common context.
+NUMBERS = ("entries", "total", "n1", "n2", "n3", "n4")
+SCHEMA = "level int, bucket int, blob binary, ctx long, " + ", ".join(f"{n} long" for n in NUMBERS)
+_FIELDS = pa.schema([("level", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary()), ("ctx", pa.int64()), *((n, pa.int64()) for n in NUMBERS)])
+
+
+def gram_hashes(columns: list[np.ndarray]) -> np.ndarray:
+    """A hash of each row of word hashes."""
     c = constants(len(columns), 17)
     total = columns[0] * c[0]
     for column, factor in zip(columns[1:], c[1:], strict=True):
@@ -51,49 +60,95 @@ def gram_keys(columns: list[np.ndarray]) -> np.ndarray:
     return mix(total)
 
 
-def context_keys(columns: list[np.ndarray]) -> np.ndarray:
-    """The hash by which an n-gram is dealt out: of its context, or of a single word."""
-    return gram_keys(columns[:-1]) if len(columns) > 1 else columns[0]
-
-
-def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(keys) % U64(buckets)).astype(np.int64)
-
-
-def _merge(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows, in the order of context and then last word, with their counts added."""
-    grams, contexts = gram_keys(columns), context_keys(columns)
-    order = np.lexsort((columns[-1], contexts)) if len(columns) > 1 else np.argsort(grams)
-    grams, contexts = grams[order], contexts[order]
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (grams[1:] != grams[:-1]) | (contexts[1:] != contexts[:-1])
-    at = np.flatnonzero(new)
-    return [c[order][at] for c in columns], np.add.reduceat(counts[order].astype(np.int64), at) if len(at) else counts[:0].astype(np.int64)
-
-
-def _dump(columns: list[np.ndarray], counts: np.ndarray) -> bytes:
-    """Pack rows: the first bytes of all values of a column together, then the second, which compresses sorted hashes."""
-    each = [*columns, counts.astype(np.uint64)]
-    raw = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T.tobytes() for c in each)
-    return struct.pack("<QQ", len(columns), len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def _load(blob: bytes) -> tuple[list[np.ndarray], np.ndarray]:
-    width, size = struct.unpack("<QQ", blob[:16])
-    flat = np.frombuffer(pa.decompress(blob[16:], size, codec="zstd", asbytes=True), dtype=np.uint8).reshape(width + 1, 8, -1)
-    columns = [np.ascontiguousarray(c.T).view(np.uint64).ravel() for c in flat]
-    return columns[:-1], columns[-1].astype(np.int64)
-
-
-def _deal(level: int, columns: list[np.ndarray], counts: np.ndarray, buckets: int) -> Iterator[tuple]:
-    """Rows (level, bucket, blob) of the merged n-grams."""
-    columns, counts = _merge(columns, counts)
-    to = _bucket(context_keys(columns), buckets)
+@dataclass(frozen=True)
+class Common:
+    """Sorted hashes (as in n-grams) of common words, and of the commonest."""
+
+    words: np.ndarray
+    first: np.ndarray
+
+    def contexts(self, columns: list[np.ndarray]) -> np.ndarray:
+        """Which contexts hold common words only."""
+        held = self.words if len(columns) == 1 else self.first
+        return np.logical_and.reduce([np.isin(c, held) for c in columns])
+
+
+def _routes(columns: list[np.ndarray], common: Common) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of n-grams of several words: their contexts' hashes, the hashes they are dealt out by, and which contexts are common."""
+    contexts = gram_hashes(columns[:-1])
+    often = common.contexts(columns[:-1])
+    return contexts, np.where(often, mix(contexts ^ mix(columns[-1])), contexts), often
+
+
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets are ranges of hashes."""
+    return (((hashes >> U64(32)) * U64(buckets)) >> U64(32)).astype(np.int64)
+
+
+def _keys(ranks: list[np.ndarray], size: int) -> np.ndarray:
+    """A number for each row of ranks below size, in the rows' order."""
+    key, limit = ranks[0].astype(np.int64), size
+    for r in ranks[1:]:
+        if limit * size >= 1 << 62:
+            held, key = np.unique(key, return_inverse=True)
+            limit = len(held)
+        key = key * size + r
+        limit *= size
+    return key
+
+
+def _planes(a: np.ndarray) -> tuple[bytes, int]:
+    """The bytes of whole numbers in the smallest type that holds them, all first bytes together, then all second ones."""
+    top = int(a.max(initial=0))
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+    small = np.ascontiguousarray(a.astype(f"u{width}"))
+    return small.view(np.uint8).reshape(-1, width).T.tobytes(), width
+
+
+def _pack(words: np.ndarray, ranks: list[np.ndarray], counts: np.ndarray) -> bytes:
+    """Rows of sorted words by their ranks; without ranks each word is a row."""
+    first = [np.diff(ranks[0], prepend=0)] if ranks else []
+    parts = [_planes(x) for x in (np.diff(words, prepend=U64(0)), *first, *ranks[1:], counts)]
+    raw = b"".join(p[0] for p in parts)
+    head = struct.pack("<QQQ", len(words), len(counts), len(raw)) + bytes([len(parts), *(p[1] for p in parts)])
+    return head + pa.Codec("zstd", compression_level=5).compress(raw, asbytes=True)
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    n_words, n, size = struct.unpack("<QQQ", blob[:24])
+    widths = list(blob[25 : 25 + blob[24]])
+    raw = np.frombuffer(pa.decompress(blob[25 + len(widths) :], size, codec="zstd", asbytes=True), np.uint8)
+    parts, at = [], 0
+    for i, width in enumerate(widths):
+        rows = n_words if i == 0 else n
+        parts.append(np.ascontiguousarray(raw[at : at + rows * width].reshape(width, rows).T).view(f"u{width}").ravel())
+        at += rows * width
+    ranks = [np.cumsum(parts[1], dtype=np.int64), *parts[2:-1]] if len(parts) > 2 else []
+    return np.cumsum(parts[0], dtype=np.uint64), [r.astype(np.int32) for r in ranks], parts[-1].astype(np.int64)
+
+
+def _deal(level: int, words: np.ndarray, ranks: list[np.ndarray], counts: np.ndarray, common: Common, buckets: int) -> Iterator[tuple]:
+    """Rows (level, bucket, blob) of distinct n-grams in order, given by ranks of sorted words."""
+    columns = [words[r] for r in ranks]
+    to = _bucket(_routes(columns, common)[1] if len(columns) > 1 else mix(columns[0]), buckets)
     order = np.argsort(to, kind="stable")
     bounds = np.searchsorted(to[order], np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(bounds)):
         rows = order[bounds[b] : bounds[b + 1]]
-        yield level, int(b), _dump([c[rows] for c in columns], counts[rows])
+        if len(ranks) == 1:
+            yield level, int(b), _pack(columns[0][rows], [], counts[rows])
+            continue
+        part = [r[rows] for r in ranks]
+        if len(rows) * 16 < len(words):
+            held = np.unique(np.concatenate(part))
+            part = [np.searchsorted(held, r) for r in part]
+        else:
+            used = np.zeros(len(words), dtype=bool)
+            for r in part:
+                used[r] = True
+            held, place = np.flatnonzero(used), np.cumsum(used) - 1
+            part = [place[r] for r in part]
+        yield level, int(b), _pack(words[held], part, counts[rows])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -111,92 +166,204 @@ def padded(words: Words, order: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens, first
 
 
-def _windows(tokens: np.ndarray, first: np.ndarray, order: int) -> list[np.ndarray]:
-    """The columns of all n-grams that end in a token that is no start mark."""
+def _ends(tokens: np.ndarray, first: np.ndarray, order: int) -> np.ndarray:
+    """Where the tokens are that are no start marks."""
     ends = np.ones(len(tokens), dtype=bool)
     for j in range(order - 1):
         ends[first[:-1] + j] = False
-    at = np.flatnonzero(ends)
-    return [tokens[at - (order - 1 - j)] for j in range(order)]
+    return np.flatnonzero(ends)
+
+
+def _count(order: int, buckets: int, common: Common):
+    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        tokens = np.concatenate([t for t, _ in held])
+        begins = np.cumsum([0, *(len(t) for t, _ in held[:-1])])
+        at = np.concatenate([ends + b for (_, ends), b in zip(held, begins, strict=True)])
+        whole, of = np.unique(tokens, return_inverse=True)
+        plain = np.bincount(of[at], minlength=len(whole))
+        rows = list(_deal(0, whole[plain > 0], [np.arange((plain > 0).sum())], plain[plain > 0], common, buckets))
+        by = np.argsort(whole & WORD_MASK)
+        words, place = (whole & WORD_MASK)[by], np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        rank = place[of]
+        if order == 1:
+            distinct, counts = np.unique(rank[at], return_counts=True)
+            ranks = [distinct]
+        else:
+            key = _keys([rank[at - (order - 1 - j)] for j in range(order)], len(words))
+            _, one, counts = np.unique(key, return_index=True, return_counts=True)
+            ranks = [rank[at[one] - (order - 1 - j)] for j in range(order)]
+        rows += _deal(order, words, ranks, counts, common, buckets)
+        for row in rows:
+            yield _batch([(*row, *[None] * 7)])
 
-
-def _count(order: int, buckets: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-            ones = np.ones(len(columns[0]), dtype=np.int64)
-            levels = [(order, [c & WORD_MASK for c in columns]), (0, columns[-1:])]
-            for level, part in levels:
-                for row in _deal(level, part, ones, buckets):
-                    yield _batch([(*row, None, *([0] * 6))])
-
         for batch in batches:
             for _, run in text_runs(batch.column(0)):
-                columns = _windows(*padded(Words(run), order), order)
-                held.append(columns)
-                size += len(columns[0])
+                tokens, first = padded(Words(run), order)
+                held.append((tokens, _ends(tokens, first, order)))
+                size += len(tokens)
                 if size >= BLOCK_TOKENS:
-                    yield from flush()
+                    yield from flush(held)
                     held, size = [], 0
-        if size:
-            yield from flush()
+        if held:
+            yield from flush(held)
 
     return count
 
 
-def _write(folder: str, arrays: dict[str, np.ndarray], wide: bool) -> str:
-    """Write arrays into files of a new name and return what they have in common; it tells if counts take 64 bits."""
+def _short_counts(counts: np.ndarray, name: str = "count") -> dict[str, np.ndarray]:
+    """Counts in a byte each, and those from 255 on by their places."""
+    big = np.flatnonzero(counts >= 255)
+    return {name: np.minimum(counts, 255).astype(np.uint8), f"{name}_at": big, f"{name}_big": counts[big]}
+
+
+def _counts(file: dict[str, np.ndarray], at: np.ndarray, name: str = "count") -> np.ndarray:
+    out = file[name][at].astype(np.int64)
+    big = np.flatnonzero(out == 255)
+    if len(big):
+        out[big] = file[f"{name}_big"][np.searchsorted(file[f"{name}_at"], at[big])]
+    return out
+
+
+def _smallest(a: np.ndarray) -> np.ndarray:
+    top = int(a.max(initial=0))
+    return a.astype(np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
+
+
+def _write(folder: str, level: int, bucket: int, arrays: dict[str, np.ndarray]) -> None:
+    """One file of a bucket's arrays; written aside and renamed, so that repeated attempts leave one whole file."""
     system, base = fs.FileSystem.from_uri(folder)
     system.create_dir(base, recursive=True)
-    name = uuid.uuid4().hex + ("-wide" if wide else "")
-    for kind, array in arrays.items():
-        with system.open_output_stream(f"{base}/{name}.{kind}", compression=None) as out:
-            out.write(np.ascontiguousarray(array).tobytes())
-    return f"{folder}/{name}"
+    head, at = {}, 0
+    for name, a in arrays.items():
+        head[name] = (a.dtype.str, at, len(a))
+        at += -(-a.nbytes // 8) * 8
+    text = json.dumps(head).encode()
+    text += b" " * (-len(text) % 8)
+    aside = f"{base}/aside-{uuid.uuid4().hex}"
+    with system.open_output_stream(aside, compression=None) as out:
+        out.write(struct.pack("<Q", len(text)) + text)
+        for a in arrays.values():
+            out.write(np.ascontiguousarray(a).tobytes() + b"\0" * (-a.nbytes % 8))
+    system.move(aside, f"{base}/{level}-{bucket}")
+
+
+def _views(raw: np.ndarray) -> dict[str, np.ndarray]:
+    size = int(raw[:8].view("<u8")[0])
+    head = json.loads(raw[8 : 8 + size].tobytes())
+    begin = 8 + size
+    return {name: raw[begin + at : begin + at + n * np.dtype(kind).itemsize].view(kind) for name, (kind, at, n) in head.items()}
+
+
+@lru_cache(maxsize=4096)
+def _mapped(path: str) -> dict[str, np.ndarray] | None:
+    try:
+        return _views(np.memmap(path, dtype=np.uint8, mode="r"))
+    except FileNotFoundError:
+        return None
 
 
-def _reduce(folder: str, order: int, buckets: int):
+@lru_cache(maxsize=64)
+def _fetched(path: str) -> dict[str, np.ndarray] | None:
+    system, inner = fs.FileSystem.from_uri(path)
+    try:
+        with system.open_input_stream(inner, compression=None) as file:
+            return _views(np.frombuffer(file.read(), dtype=np.uint8))
+    except FileNotFoundError:
+        return None
+
+
+def open_bucket(folder: str, level: int, bucket: int) -> dict[str, np.ndarray] | None:
+    """A bucket's arrays, mapped where the shared folder is a mounted one; else read, of 64 buckets at most."""
+    path = f"{folder}/{level}-{bucket}"
+    return _mapped(path.removeprefix("file://")) if path.startswith("file://") else _fetched(path)
+
+
+def _reduce(folder: str, level: int, order: int, buckets: int, common: Common):
+    """Merge and write the buckets of a level (and of level 0, with the first); other rows pass."""
+
     def reduce(table: pa.Table) -> pa.Table:
-        level, bucket = table.column("level")[0].as_py(), table.column("bucket")[0].as_py()
-        loaded = [_load(b) for b in table.column("blob").to_pylist()]
-        columns, counts = _merge([np.concatenate(c) for c in zip(*(x[0] for x in loaded), strict=True)], np.concatenate([x[1] for x in loaded]))
+        own, bucket = table.column("level")[0].as_py(), table.column("bucket")[0].as_py()
+        if own != level and not (own == 0 and level == order) or table.column("blob")[0].as_py() is None:
+            return table
+        loaded = [_unpack(b) for b in table.column("blob").to_pylist()]
+        del table
+        words = np.unique(np.concatenate([w for w, _, _ in loaded]))
+        counts = np.concatenate([c for _, _, c in loaded])
+        if own > 1:
+            to = [np.searchsorted(words, w).astype(np.int32) for w, _, _ in loaded]
+            ranks = [np.concatenate([t[r[j]] for t, (_, r, _) in zip(to, loaded, strict=True)]) for j in range(own)]
+        else:
+            ranks = [np.concatenate([np.searchsorted(words, w).astype(np.int32) for w, _, _ in loaded])]
         del loaded
-        rows: list[tuple] = []
-        grams = gram_keys(columns)
-        by = np.argsort(grams)
-        wide = bool(counts.max(initial=0) >> 32)
-        arrays = {"keys": grams[by], "counts": counts[by].astype(np.uint64 if wide else np.uint32)}
-        if len(columns) > 1:
-            contexts = context_keys(columns)
-            at = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]]))
-            kinds = [np.add.reduceat(x, at) for x in (counts, (counts == 1).astype(np.int64), (counts == 2).astype(np.int64), (counts > 2).astype(np.int64))]
-            # numbers of distinct followers stay under that of all words, totals don't
-            arrays |= {"contexts": contexts[at], "totals": kinds[0], "followers": np.stack(kinds[1:], axis=1).astype(np.uint32)}
-        # words that go before: each distinct n-gram counts once for its last words
-        if level > 1:
-            rows += [(*row, None, *([0] * 6)) for row in _deal(level - 1, columns[1:], np.ones(len(counts), np.int64), buckets)]
-        rows.append((level, bucket, None, _write(folder, arrays, wide), len(counts), int(counts.sum()), *(int((counts == n).sum()) for n in (1, 2, 3, 4))))
+        key = _keys(ranks, len(words))
+        by = np.argsort(key)
+        key = key[by]
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        counts = np.add.reduceat(counts[by], at)
+        ranks = [r[by[at]] for r in ranks]
+        del key, by
+        numbers = (len(counts), int(counts.sum()), *(int((counts == n).sum()) for n in (1, 2, 3, 4)))
+        rows: list[tuple] = [(own, bucket, None, None, *numbers)]
+        if own > 1:
+            arrays, sums = _arrays([words[r] for r in ranks], counts, common)
+            rows += [(own, bucket, None, *s, None) for s in sums]
+            _write(folder, own, bucket, arrays)
+            # words that go before: each distinct n-gram counts once for its last words
+            key = _keys(ranks[1:], len(words))
+            _, one, before = np.unique(key, return_index=True, return_counts=True)
+            rows += [(*row, *[None] * 7) for row in _deal(own - 1, words, [r[one] for r in ranks[1:]], before, common, buckets)]
+        else:
+            _write(folder, own, bucket, {"keys": words, **_short_counts(counts)})
         return pa.Table.from_batches([_batch(rows)])
 
     return reduce
 
 
+def _arrays(columns: list[np.ndarray], counts: np.ndarray, common: Common) -> tuple[dict[str, np.ndarray], list[tuple]]:
+    """A bucket's arrays, from distinct n-grams in the order of their contexts; and (ctx, entries, total, n1, n2, n3) of common contexts."""
+    contexts, _, often = _routes(columns, common)
+    at = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]]))
+    size = np.diff(np.append(at, len(contexts)))
+    totals, ones, twos = (np.add.reduceat(x.astype(np.int64), at) for x in (counts, counts == 1, counts == 2))
+    head, shared = contexts[at], often[at]
+    kinds = np.stack([head.view(np.int64), size, totals, ones, twos, size - ones - twos])
+    sums = [tuple(map(int, s)) for s in kinds[:, shared].T]
+    # followers of common contexts, by the hash of the n-gram
+    grams = gram_hashes([c[often] for c in columns])
+    by = np.argsort(grams)
+    arrays = {"often": grams[by], **_short_counts(counts[often][by], "often_count")}
+    once = (size == 1) & (totals == 1) & ~shared
+    arrays["once"] = np.sort(((head[once] >> TAIL) << TAIL) | (columns[-1][at[once]] & TAIL_MASK))
+    rest = np.flatnonzero(~once & ~shared)
+    rest = rest[np.argsort(head[rest])]
+    arrays |= {"contexts": head[rest], **{n: _smallest(x[rest]) for n, x in (("totals", totals), ("ones", ones), ("twos", twos))}}
+    arrays["starts"] = np.concatenate([[0], np.cumsum(size[rest])]).astype(np.uint32)
+    # rows of the contexts in their new order, by the low half of their last words
+    row = np.repeat(at[rest] - arrays["starts"][:-1], size[rest]) + np.arange(int(size[rest].sum()))
+    last = columns[-1][row].astype(np.uint32)
+    by = np.lexsort((last, np.repeat(np.arange(len(rest)), size[rest])))
+    return arrays | {"last": last[by], **_short_counts(counts[row[by]])}, sums
+
+
 @dataclass(frozen=True)
 class Model:
-    """paths[level][bucket]; discounts[level] for counts 1, 2 and more."""
+    """Files in folder; discounts[level] for counts 1, 2 and more; sums[level]: sorted contexts, totals and numbers of followers."""
 
     order: int
     buckets: int
-    paths: dict[int, dict[int, str]]
+    folder: str
+    common: Common
     discounts: dict[int, tuple[float, float, float]]
     #: of level 1: the sum of its counts and the weight of what lies below it
     total: int
     rest: float
     train_tokens: int
     vocabulary: int
+    sums: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -210,107 +377,150 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(float(min(max(d, 0.05), top)) for d, top in zip((one, two, three), (1, 2, 3), strict=True))
 
 
+def common_words(texts: DataFrame, text_col: str, size: int) -> Common:
+    """Words that are more than one in COMMON of a sample; the mark before a text is one of them. Only the balance of work rests on them."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, run in text_runs(batch.column(0)):
+                word, n = np.unique(Words(run).hashes & WORD_MASK, return_counts=True)
+                often = n * 2 * COMMON > n.sum()
+                yield pa.RecordBatch.from_arrays([pa.array(word[often].view(np.int64)), pa.array(n[often])], names=["word", "n"])
+
+    sample = texts.select(text_col).sample(min(1.0, SAMPLE_BYTES / max(1, size)), 7)
+    top = sample.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(COMMON).collect()
+    words = np.array([START & WORD_MASK, *(np.int64(r["word"]).astype(np.uint64) for r in top)], np.uint64)
+    return Common(np.sort(words), np.sort(words[:COMMONEST]))
+
+
 def train(texts: DataFrame, text_col: str, order: int = 3, folder: str | None = None) -> Model:
     """Count all texts of a column (null: empty) and write the model's arrays into a shared folder."""
     spark = texts.sparkSession
-    folder = folder or scratch_path(spark, "ngrams")
+    folder = qualified(spark, folder) if folder else scratch_path(spark, "ngrams")
     small_batches(spark)
     size = texts.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(1, -(-size // (6 * BUCKET_TOKENS)))
-    dealt = texts.select(F.col(text_col).alias("text")).mapInArrow(_count(order, buckets), SCHEMA)
-    files: dict[int, list] = {}
+    common = common_words(texts, text_col, size)
+    rows = texts.select(F.col(text_col).alias("text")).mapInArrow(_count(order, buckets, common), SCHEMA)
     for level in range(order, 0, -1):
-        now = dealt.filter((F.col("level") == level) | ((F.col("level") == 0) & F.lit(level == order)))
-        made = materialize(now.groupBy("level", "bucket").applyInArrow(_reduce(folder, order, buckets), SCHEMA), "merged")
-        for row in made.filter("path is not null").drop("blob").collect():
-            files.setdefault(row["level"], []).append(row)
-        dealt = made.filter("blob is not null")
-    paths = {level: {r["bucket"]: r["path"] for r in rows} for level, rows in files.items()}
-    sums = {level: [sum(r[n] for r in rows) for n in ("n1", "n2", "n3", "n4")] for level, rows in files.items()}
-    cut = {level: discounts(*n) for level, n in sums.items()}
-    first = files.get(1, [])
-    total = sum(r["total"] for r in first)
-    one, two = sums.get(1, [0, 0])[:2]
-    more = sum(r["entries"] for r in first) - one - two
-    d = cut.get(1, (0.5, 0.5, 0.5))
-    rest = (d[0] * one + d[1] * two + d[2] * more) / total if total else 1.0
-    words = files.get(0, [])
-    return Model(order, buckets, paths, cut, total, rest, sum(r["total"] for r in words), sum(r["entries"] for r in words))
+        rows = rows.groupBy("level", "bucket", F.col("blob").isNull()).applyInArrow(_reduce(folder, level, order, buckets, common), SCHEMA)
+    made = materialize(rows.drop("blob"), "counts")
+    # a row a level, and one a common context of each
+    about = {r["level"]: r for r in made.filter("ctx is null").groupBy("level").agg(*[F.sum(n).alias(n) for n in NUMBERS]).collect()}
+    often = made.filter("ctx is not null").groupBy("level", "ctx").agg(*[F.sum(n).alias(n) for n in ("total", "n1", "n2", "n3")]).toPandas()
+    sums = {}
+    for level, part in often.groupby("level"):
+        contexts = part["ctx"].to_numpy(np.int64).view(np.uint64)
+        by = np.argsort(contexts)
+        sums[int(level)] = contexts[by], part[["total", "n1", "n2", "n3"]].to_numpy(np.int64)[by]
+    of = lambda level, name: (about[level][name] or 0) if level in about else 0
+    cut = {level: discounts(*(of(level, n) for n in ("n1", "n2", "n3", "n4"))) for level in range(1, order + 1)}
+    total, one, two = of(1, "total"), of(1, "n1"), of(1, "n2")
+    d = cut[1]
+    rest = (d[0] * one + d[1] * two + d[2] * (of(1, "entries") - one - two)) / total if total else 1.0
+    return Model(order, buckets, folder, common, cut, total, rest, of(0, "total"), of(0, "entries"), sums)
+
+
+def _by_bucket(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Buckets and the rows that go there, in the order of their hashes."""
+    order = np.argsort(hashes)
+    to = _bucket(hashes[order], buckets)
+    bounds = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]])) if len(to) else np.zeros(1, np.int64)
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        yield int(to[a]), order[a:b]
 
 
-@lru_cache(maxsize=4096)
-def _mapped(path: str, kind: str, type_: str) -> np.ndarray:
-    """An array of a model: mapped where the shared folder is a mounted one, else read."""
-    name = f"{path}.{kind}"
-    if name.startswith(("/", "file:")):
-        return np.memmap(fs.FileSystem.from_uri(name)[1], dtype=type_, mode="r")
-    system, inner = fs.FileSystem.from_uri(name)
-    with system.open_input_stream(inner, compression=None) as file:
-        return np.frombuffer(file.read(), dtype=type_)
-
-
-def _find(paths: dict[int, str], kind: str, queries: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
-    """Whether each query is in its bucket's sorted array; and by bucket, which queries are and where."""
-    known, places = np.zeros(len(queries), dtype=bool), {}
-    order = np.lexsort((queries, bucket))
-    bounds = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0, [True]])) if len(order) else np.zeros(1, np.int64)
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        rows = order[a:b]
-        path = paths.get(int(bucket[rows[0]]))
-        if path is None:
-            continue
-        keys = _mapped(path, kind, "uint64")
-        at = np.searchsorted(keys, queries[rows])
-        at[at == len(keys)] = 0
-        hit = keys[at] == queries[rows]
-        known[rows[hit]] = True
-        places[int(bucket[rows[0]])] = rows[hit], at[hit]
-    return known, places
-
-
-def _counts(model: Model, level: int, queries: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(queries), dtype=np.int64)
-    paths = model.paths.get(level, {})
-    for b, (rows, at) in _find(paths, "keys", queries, bucket)[1].items():
-        out[rows] = _mapped(paths[b], "counts", "uint64" if paths[b].endswith("-wide") else "uint32")[at]
+def _place(keys: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which queries are among sorted keys, and where."""
+    at = np.searchsorted(keys, queries)
+    hit = np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == queries) if len(keys) else np.zeros(0, np.int64)
+    return hit, at[hit]
+
+
+def _word_counts(model: Model, level: int, words: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(words), dtype=np.int64)
+    for bucket, rows in _by_bucket(mix(words), model.buckets):
+        file = open_bucket(model.folder, level, bucket)
+        if file is not None:
+            hit, at = _place(file["keys"], words[rows])
+            out[rows[hit]] = _counts(file, at)
     return out
 
 
+def _follower(file: dict[str, np.ndarray], context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The counts of words among the followers of contexts, by bisection of all at once."""
+    low, high = (file["starts"][context + i].astype(np.int64) for i in (0, 1))
+    end, last, word = high.copy(), file["last"], word.astype(np.uint32)
+    while len(open_ := np.flatnonzero(low < high)):
+        middle = (low[open_] + high[open_]) // 2
+        under = last[middle] < word[open_]
+        low[open_[under]] = middle[under] + 1
+        high[open_[~under]] = middle[~under]
+    hit = np.flatnonzero(low < end)
+    hit = hit[last[low[hit]] == word[hit]]
+    out = np.zeros(len(word), np.int64)
+    out[hit] = _counts(file, low[hit])
+    return out
+
+
+def _lookup(model: Model, level: int, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of n-grams: their counts; and of their contexts the totals and the numbers of followers seen once, twice and more often."""
+    contexts, routes, often = _routes(columns, model.common)
+    own, sums = np.zeros(len(contexts), np.int64), np.zeros((len(contexts), 4), np.int64)
+    if level in model.sums:
+        known, table = model.sums[level]
+        rows = np.flatnonzero(often)
+        hit, at = _place(known, contexts[rows])
+        sums[rows[hit]] = table[at]
+    for bucket, rows in _by_bucket(routes, model.buckets):
+        file = open_bucket(model.folder, level, bucket)
+        if file is None:
+            continue
+        shared = rows[often[rows]]
+        hit, at = _place(file["often"], gram_hashes([c[shared] for c in columns]))
+        own[shared[hit]] = _counts(file, at, "often_count")
+        rows = rows[~often[rows]]
+        head, once = contexts[rows], file["once"]
+        at = np.searchsorted(once, (head >> TAIL) << TAIL)
+        hit = np.flatnonzero(once[np.minimum(at, len(once) - 1)] >> TAIL == head >> TAIL) if len(once) else np.zeros(0, np.int64)
+        own[rows[hit]] = once[at[hit]] & TAIL_MASK == columns[-1][rows[hit]] & TAIL_MASK
+        sums[rows[hit]] = (1, 1, 0, 0)
+        hit, at = _place(file["contexts"], head)
+        own[rows[hit]] = _follower(file, at, columns[-1][rows[hit]])
+        size = np.diff(file["starts"][np.stack([at, at + 1])].astype(np.int64), axis=0)[0]
+        total, one, two = (file[n][at].astype(np.int64) for n in ("totals", "ones", "twos"))
+        sums[rows[hit]] = np.stack([total, one, two, size - one - two], axis=1)
+    return own, sums
+
+
 def _discounted(counts: np.ndarray, cut: tuple[float, float, float]) -> np.ndarray:
     return np.maximum(counts - np.array([0.0, *cut])[np.minimum(counts, 3)], 0)
 
 
 def probabilities(model: Model, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Of each n-gram's last word: the model's probability, and the plain count."""
-    last = columns[-1]
-    to = _bucket(last, model.buckets)
-    plain = _counts(model, 0, last, to)
+    word, of = np.unique(columns[-1], return_inverse=True)
+    plain = _word_counts(model, 0, word)[of]
+    seen = _word_counts(model, 1, word & WORD_MASK)[of]
     columns = [c & WORD_MASK for c in columns]
-    last = columns[-1]
-    seen = _counts(model, 1, last, _bucket(last, model.buckets))
-    p = np.full(len(last), model.rest / (model.vocabulary + 1))
+    p = np.full(len(of), model.rest / (model.vocabulary + 1))
     if model.total:
         p += _discounted(seen, model.discounts[1]) / model.total
     for level in range(2, model.order + 1):
-        part = columns[-level:]
-        contexts = context_keys(part)
-        to = _bucket(contexts, model.buckets)
-        own = _discounted(_counts(model, level, gram_keys(part), to), model.discounts.get(level, (0.5,) * 3))
-        paths = model.paths.get(level, {})
-        for b, (rows, at) in _find(paths, "contexts", contexts, to)[1].items():
-            total = _mapped(paths[b], "totals", "int64")[at]
-            kinds = _mapped(paths[b], "followers", "uint32").reshape(-1, 3)[at].T.astype(np.float64)
-            rest = sum(d * k for d, k in zip(model.discounts[level], kinds, strict=True))
-            p[rows] = (own[rows] + rest * p[rows]) / total
+        own, sums = _lookup(model, level, columns[-level:])
+        known = np.flatnonzero(sums[:, 0])
+        rest = sums[known, 1:] @ np.array(model.discounts[level])
+        p[known] = (_discounted(own[known], model.discounts[level]) + rest * p[known]) / sums[known, 0]
     return p, plain
 
 
 def _score(model: Model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, run in text_runs(batch.column(1), 2 << 20):
+            for at, run in text_runs(batch.column(1), 4 << 20):
                 tokens, first = padded(Words(run), model.order)
-                p, plain = probabilities(model, _windows(tokens, first, model.order))
+                ends = _ends(tokens, first, model.order)
+                p, plain = probabilities(model, [tokens[ends - (model.order - 1 - j)] for j in range(model.order)])
                 begin = first - np.arange(len(first)) * (model.order - 1)
                 base = np.log10((plain + 1) / (model.train_tokens + model.vocabulary + 1))
                 sums = [np.add.reduceat(x, begin[:-1]) for x in (base, np.log10(p), (plain > 0).astype(np.int64))]
@@ -338,8 +548,9 @@ def language_model_scores(docs: DataFrame, order: int = 3, folds: int = 7, held_
     folds; one with a null id never is. Tokens are the words of the text with
     A-Z lower-cased and one end mark; a null or empty text has the end mark
     only. score is the log10 probability of the tokens under the interpolated
-    modified Kneser-Ney model, base_score that under add-one word counts.
-    Repeated rows count and are scored each on their own. An empty table gives
+    modified Kneser-Ney model, base_score that under add-one word counts. Words
+    of n-grams are told apart by 48 bits of their hashes, see TAIL for contexts
+    seen once; plain counts by 64. A text of any length is taken whole. Repeated rows count and are scored each on their own. An empty table gives
     an empty result; other columns are not read.
     """
     held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds)) == held_fold, F.lit(False))
