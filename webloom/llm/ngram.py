@@ -37,15 +37,17 @@ from webloom.runtime import materialize, qualified, scratch_path
 START, END = U64(0x243F6A8885A308D3), U64(0x13198A2E03707344)
 #: Tokens counted at a time, and for which a bucket is made.
 BLOCK_TOKENS, BUCKET_TOKENS = 1 << 22, 4_000_000
-#: Words in n-grams are known by so many bits of their hashes; plain counts are kept by whole hashes.
-WORD_MASK = U64((1 << 48) - 1)
+#: Words are known by so many bits of their hashes: two of a billion words share them seven times.
+WORD_MASK = U64((1 << 56) - 1)
 #: A context seen once has 42 bits of its hash and 22 of its only follower's in one number: either is
 #: taken for another one about once in four million lookups of unseen ones.
 TAIL = U64(22)
 TAIL_MASK = U64((1 << 22) - 1)
 #: Common words are looked for in a sample of about so many bytes; so many at most, and so many in contexts of several words.
 SAMPLE_BYTES, COMMON, COMMONEST = 64 << 20, 1000, 64
-#: Level 0 holds the plain counts of words. Rows have a blob, or counts of counts of a level, or (with ctx) sums of a common context.
+#: Words that come first in a blob's dictionary, so that most ranks take one byte.
+TOP = 255
+#: Rows have a blob, or counts of counts of a level (level 0: of plain words), or (with ctx) sums of a common context.
 NUMBERS = ("entries", "total", "n1", "n2", "n3", "n4")
 SCHEMA = "level int, bucket int, blob binary, ctx long, " + ", ".join(f"{n} long" for n in NUMBERS)
 _FIELDS = pa.schema([("level", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary()), ("ctx", pa.int64()), *((n, pa.int64()) for n in NUMBERS)])
@@ -70,14 +72,16 @@ class Common:
     def contexts(self, columns: list[np.ndarray]) -> np.ndarray:
         """Which contexts hold common words only."""
         held = self.words if len(columns) == 1 else self.first
-        return np.logical_and.reduce([np.isin(c, held) for c in columns])
+        return np.logical_and.reduce([held[np.minimum(np.searchsorted(held, c), len(held) - 1)] == c for c in columns])
 
 
 def _routes(columns: list[np.ndarray], common: Common) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of n-grams of several words: their contexts' hashes, the hashes they are dealt out by, and which contexts are common."""
     contexts = gram_hashes(columns[:-1])
     often = common.contexts(columns[:-1])
-    return contexts, np.where(often, mix(contexts ^ mix(columns[-1])), contexts), often
+    routes = contexts.copy()
+    routes[often] = mix(contexts[often] ^ mix(columns[-1][often]))
+    return contexts, routes, often
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -105,30 +109,41 @@ def _planes(a: np.ndarray) -> tuple[bytes, int]:
     return small.view(np.uint8).reshape(-1, width).T.tobytes(), width
 
 
-def _pack(words: np.ndarray, ranks: list[np.ndarray], counts: np.ndarray) -> bytes:
-    """Rows of sorted words by their ranks; without ranks each word is a row."""
+def _top_first(words: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words with the TOP ones of most weight before the others, and where each has gone."""
+    top = np.zeros(len(words), dtype=bool)
+    top[np.argpartition(-weight, TOP)[:TOP] if len(words) > TOP else slice(None)] = True
+    order = np.concatenate([np.flatnonzero(top), np.flatnonzero(~top)])
+    place = np.empty(len(words), np.int64)
+    place[order] = np.arange(len(words))
+    return words[order], place
+
+
+def _pack(words: np.ndarray, ranks: list[np.ndarray], counts: np.ndarray, plain: np.ndarray | None = None) -> bytes:
+    """Rows of words by their ranks, in order; without ranks each word is a row. plain is left out where it equals counts."""
     first = [np.diff(ranks[0], prepend=0)] if ranks else []
-    parts = [_planes(x) for x in (np.diff(words, prepend=U64(0)), *first, *ranks[1:], counts)]
+    parts = [_planes(x) for x in (np.diff(words, prepend=U64(0)), *first, *ranks[1:], counts, *([] if plain is None else [plain]))]
     raw = b"".join(p[0] for p in parts)
-    head = struct.pack("<QQQ", len(words), len(counts), len(raw)) + bytes([len(parts), *(p[1] for p in parts)])
+    head = struct.pack("<QQQ", len(words), len(counts), len(raw)) + bytes([len(ranks), len(parts), *(p[1] for p in parts)])
     return head + pa.Codec("zstd", compression_level=5).compress(raw, asbytes=True)
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+def _unpack(blob: bytes) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
     n_words, n, size = struct.unpack("<QQQ", blob[:24])
-    widths = list(blob[25 : 25 + blob[24]])
-    raw = np.frombuffer(pa.decompress(blob[25 + len(widths) :], size, codec="zstd", asbytes=True), np.uint8)
+    width = blob[24]
+    kinds = list(blob[26 : 26 + blob[25]])
+    raw = np.frombuffer(pa.decompress(blob[26 + len(kinds) :], size, codec="zstd", asbytes=True), np.uint8)
     parts, at = [], 0
-    for i, width in enumerate(widths):
+    for i, kind in enumerate(kinds):
         rows = n_words if i == 0 else n
-        parts.append(np.ascontiguousarray(raw[at : at + rows * width].reshape(width, rows).T).view(f"u{width}").ravel())
-        at += rows * width
-    ranks = [np.cumsum(parts[1], dtype=np.int64), *parts[2:-1]] if len(parts) > 2 else []
-    return np.cumsum(parts[0], dtype=np.uint64), [r.astype(np.int32) for r in ranks], parts[-1].astype(np.int64)
+        parts.append(np.ascontiguousarray(raw[at : at + rows * kind].reshape(kind, rows).T).view(f"u{kind}").ravel())
+        at += rows * kind
+    ranks = [np.cumsum(parts[1], dtype=np.int64), *parts[2 : width + 1]] if width else []
+    return np.cumsum(parts[0], dtype=np.uint64), [r.astype(np.int32) for r in ranks], parts[width + 1].astype(np.int64), parts[-1].astype(np.int64)
 
 
-def _deal(level: int, words: np.ndarray, ranks: list[np.ndarray], counts: np.ndarray, common: Common, buckets: int) -> Iterator[tuple]:
-    """Rows (level, bucket, blob) of distinct n-grams in order, given by ranks of sorted words."""
+def _deal(level: int, words: np.ndarray, ranks: list[np.ndarray], counts: np.ndarray, plain: np.ndarray | None, common: Common, buckets: int) -> Iterator[tuple]:
+    """Rows (level, bucket, blob) of distinct n-grams in order, given by ranks of words."""
     columns = [words[r] for r in ranks]
     to = _bucket(_routes(columns, common)[1] if len(columns) > 1 else mix(columns[0]), buckets)
     order = np.argsort(to, kind="stable")
@@ -136,7 +151,7 @@ def _deal(level: int, words: np.ndarray, ranks: list[np.ndarray], counts: np.nda
     for b in np.flatnonzero(np.diff(bounds)):
         rows = order[bounds[b] : bounds[b + 1]]
         if len(ranks) == 1:
-            yield level, int(b), _pack(columns[0][rows], [], counts[rows])
+            yield level, int(b), _pack(columns[0][rows], [], counts[rows], None if plain is None else plain[rows])
             continue
         part = [r[rows] for r in ranks]
         if len(rows) * 16 < len(words):
@@ -148,7 +163,7 @@ def _deal(level: int, words: np.ndarray, ranks: list[np.ndarray], counts: np.nda
                 used[r] = True
             held, place = np.flatnonzero(used), np.cumsum(used) - 1
             part = [place[r] for r in part]
-        yield level, int(b), _pack(words[held], part, counts[rows])
+        yield level, int(b), _pack(words[held], part, counts[rows], None if plain is None else plain[rows])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -179,21 +194,13 @@ def _count(order: int, buckets: int, common: Common):
         tokens = np.concatenate([t for t, _ in held])
         begins = np.cumsum([0, *(len(t) for t, _ in held[:-1])])
         at = np.concatenate([ends + b for (_, ends), b in zip(held, begins, strict=True)])
-        whole, of = np.unique(tokens, return_inverse=True)
-        plain = np.bincount(of[at], minlength=len(whole))
-        rows = list(_deal(0, whole[plain > 0], [np.arange((plain > 0).sum())], plain[plain > 0], common, buckets))
-        by = np.argsort(whole & WORD_MASK)
-        words, place = (whole & WORD_MASK)[by], np.empty(len(by), np.int64)
-        place[by] = np.arange(len(by))
+        words, of = np.unique(tokens & WORD_MASK, return_inverse=True)
+        words, place = _top_first(words, np.bincount(of))
         rank = place[of]
-        if order == 1:
-            distinct, counts = np.unique(rank[at], return_counts=True)
-            ranks = [distinct]
-        else:
-            key = _keys([rank[at - (order - 1 - j)] for j in range(order)], len(words))
-            _, one, counts = np.unique(key, return_index=True, return_counts=True)
-            ranks = [rank[at[one] - (order - 1 - j)] for j in range(order)]
-        rows += _deal(order, words, ranks, counts, common, buckets)
+        key = _keys([rank[at - (order - 1 - j)] for j in range(order)], len(words))
+        _, one, counts = np.unique(key, return_index=True, return_counts=True)
+        ranks = [rank[at[one] - (order - 1 - j)] for j in range(order)]
+        rows = _deal(order, words, ranks, counts, None, common, buckets)
         for row in rows:
             yield _batch([(*row, *[None] * 7)])
 
@@ -261,7 +268,7 @@ def _views(raw: np.ndarray) -> dict[str, np.ndarray]:
 @lru_cache(maxsize=4096)
 def _mapped(path: str) -> dict[str, np.ndarray] | None:
     try:
-        return _views(np.memmap(path, dtype=np.uint8, mode="r"))
+        return _views(np.asarray(np.memmap(path, dtype=np.uint8, mode="r")))
     except FileNotFoundError:
         return None
 
@@ -283,46 +290,47 @@ def open_bucket(folder: str, level: int, bucket: int) -> dict[str, np.ndarray] |
 
 
 def _reduce(folder: str, level: int, order: int, buckets: int, common: Common):
-    """Merge and write the buckets of a level (and of level 0, with the first); other rows pass."""
+    """Merge and write the buckets of a level; other rows pass."""
 
     def reduce(table: pa.Table) -> pa.Table:
         own, bucket = table.column("level")[0].as_py(), table.column("bucket")[0].as_py()
-        if own != level and not (own == 0 and level == order) or table.column("blob")[0].as_py() is None:
+        if own != level or table.column("blob")[0].as_py() is None:
             return table
         loaded = [_unpack(b) for b in table.column("blob").to_pylist()]
         del table
-        words = np.unique(np.concatenate([w for w, _, _ in loaded]))
-        counts = np.concatenate([c for _, _, c in loaded])
-        if own > 1:
-            to = [np.searchsorted(words, w).astype(np.int32) for w, _, _ in loaded]
-            ranks = [np.concatenate([t[r[j]] for t, (_, r, _) in zip(to, loaded, strict=True)]) for j in range(own)]
-        else:
-            ranks = [np.concatenate([np.searchsorted(words, w).astype(np.int32) for w, _, _ in loaded])]
-        del loaded
-        key = _keys(ranks, len(words))
-        by = np.argsort(key)
-        key = key[by]
-        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        counts = np.add.reduceat(counts[by], at)
-        ranks = [r[by[at]] for r in ranks]
-        del key, by
-        numbers = (len(counts), int(counts.sum()), *(int((counts == n).sum()) for n in (1, 2, 3, 4)))
-        rows: list[tuple] = [(own, bucket, None, None, *numbers)]
+        words = np.unique(np.concatenate([x[0] for x in loaded]))
+        counts, plain = (np.concatenate([x[i] for x in loaded]) for i in (2, 3))
+        to = [np.searchsorted(words, x[0]).astype(np.int32) for x in loaded]
+        ranks = [np.concatenate([t[x[1][j]] if own > 1 else t for t, x in zip(to, loaded, strict=True)]) for j in range(own)]
+        del loaded, to
+        ranks, counts, plain = _merged(_keys(ranks, len(words)), ranks, counts, plain)
+        rows: list[tuple] = [(own, bucket, None, None, len(counts), int(counts.sum()), *(int((counts == n).sum()) for n in (1, 2, 3, 4)))]
         if own > 1:
             arrays, sums = _arrays([words[r] for r in ranks], counts, common)
             rows += [(own, bucket, None, *s, None) for s in sums]
             _write(folder, own, bucket, arrays)
+            del arrays
             # words that go before: each distinct n-gram counts once for its last words
-            key = _keys(ranks[1:], len(words))
-            _, one, before = np.unique(key, return_index=True, return_counts=True)
-            rows += [(*row, *[None] * 7) for row in _deal(own - 1, words, [r[one] for r in ranks[1:]], before, common, buckets)]
+            words, place = _top_first(words, np.bincount(ranks[-1], minlength=len(words)))
+            ranks = [place[r] for r in ranks[1:]]
+            ranks, before, plain = _merged(_keys(ranks, len(words)), ranks, np.ones(len(counts), np.int64), plain)
+            rows += [(*row, *[None] * 7) for row in _deal(own - 1, words, ranks, before, plain, common, buckets)]
         else:
-            _write(folder, own, bucket, {"keys": words, **_short_counts(counts)})
+            rows.append((0, bucket, None, None, len(plain), int(plain.sum()), *[None] * 4))
+            _write(folder, own, bucket, {"keys": words, **_short_counts(counts), **_short_counts(plain, "plain")})
         return pa.Table.from_batches([_batch(rows)])
 
     return reduce
 
 
+def _merged(key: np.ndarray, ranks: list[np.ndarray], *counts: np.ndarray) -> tuple:
+    """Distinct rows in the order of their keys, and their counts added."""
+    by = np.argsort(key)
+    key = key[by]
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return [r[by[at]] for r in ranks], *(np.add.reduceat(c[by], at) for c in counts)
+
+
 def _arrays(columns: list[np.ndarray], counts: np.ndarray, common: Common) -> tuple[dict[str, np.ndarray], list[tuple]]:
     """A bucket's arrays, from distinct n-grams in the order of their contexts; and (ctx, entries, total, n1, n2, n3) of common contexts."""
     contexts, _, often = _routes(columns, common)
@@ -437,14 +445,15 @@ def _place(keys: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return hit, at[hit]
 
 
-def _word_counts(model: Model, level: int, words: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(words), dtype=np.int64)
+def _word_counts(model: Model, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many distinct words precede each word, and how often it stands itself."""
+    seen, plain = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
     for bucket, rows in _by_bucket(mix(words), model.buckets):
-        file = open_bucket(model.folder, level, bucket)
+        file = open_bucket(model.folder, 1, bucket)
         if file is not None:
             hit, at = _place(file["keys"], words[rows])
-            out[rows[hit]] = _counts(file, at)
-    return out
+            seen[rows[hit]], plain[rows[hit]] = _counts(file, at), _counts(file, at, "plain")
+    return seen, plain
 
 
 def _follower(file: dict[str, np.ndarray], context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -499,10 +508,9 @@ def _discounted(counts: np.ndarray, cut: tuple[float, float, float]) -> np.ndarr
 
 def probabilities(model: Model, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Of each n-gram's last word: the model's probability, and the plain count."""
-    word, of = np.unique(columns[-1], return_inverse=True)
-    plain = _word_counts(model, 0, word)[of]
-    seen = _word_counts(model, 1, word & WORD_MASK)[of]
     columns = [c & WORD_MASK for c in columns]
+    word, of = np.unique(columns[-1], return_inverse=True)
+    seen, plain = (x[of] for x in _word_counts(model, word))
     p = np.full(len(of), model.rest / (model.vocabulary + 1))
     if model.total:
         p += _discounted(seen, model.discounts[1]) / model.total
@@ -549,8 +557,7 @@ def language_model_scores(docs: DataFrame, order: int = 3, folds: int = 7, held_
     A-Z lower-cased and one end mark; a null or empty text has the end mark
     only. score is the log10 probability of the tokens under the interpolated
     modified Kneser-Ney model, base_score that under add-one word counts. Words
-    of n-grams are told apart by 48 bits of their hashes, see TAIL for contexts
-    seen once; plain counts by 64. A text of any length is taken whole. Repeated rows count and are scored each on their own. An empty table gives
+    are told apart by 56 bits of their hashes; see TAIL for contexts seen once. A text of any length is taken whole. Repeated rows count and are scored each on their own. An empty table gives
     an empty result; other columns are not read.
     """
     held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds)) == held_fold, F.lit(False))
