@@ -68,6 +68,30 @@ def test_mix(spark):
     assert mixing.mix_sources(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_drawn_documents_are_the_least_of_their_class_and_rates_are_the_chances(spark):
+    rng = random.Random(7)
+    rows = [(i, " ".join(["w"] * rng.choice([10, 11, 40, 45, 47, 300])), rng.choice("ab")) for i in range(240)]
+    docs = spark.createDataFrame(rows, SCHEMA).coalesce(1).cache()
+    hits, chances, sizes, seeds = {}, {}, {}, 6
+    for seed in range(seeds):
+        mix = mixing.mix_sources(docs, (2, 1), 0.5, seed=seed).collect()
+        per = {}
+        for r in mix:
+            hits[r["doc_id"]] = hits.get(r["doc_id"], 0) + r["drawn"]
+            chances[r["doc_id"]], sizes[r["doc_id"]] = r["chance"], (r["source"], math.floor(4 * math.log2(r["size"])))
+            per[sizes[r["doc_id"]]] = per.get(sizes[r["doc_id"]], 0) + r["drawn"]
+        if seed == 0:
+            fixed = per
+        assert per == fixed  # as many of each class whatever the seed
+    assert len(set(round(c, 6) for c in chances.values())) > 6
+    error = [hits[i] / seeds - chances[i] for i in hits]
+    assert abs(sum(error) / len(error)) < 0.03 and math.sqrt(sum(e * e for e in error) / len(error)) < 0.25
+    for c in set(sizes.values()):  # sums of chances are the numbers drawn
+        assert abs(sum(chances[i] for i in hits if sizes[i] == c) - fixed[c]) < 0.6
+    big, small = [i for i in hits if rows[i][1].count("w") == 11], [i for i in hits if rows[i][1].count("w") == 10]
+    assert min(chances[i] for i in big if rows[i][2] == "a") > max(chances[i] for i in small if rows[i][2] == "a") or sizes[big[0]] != sizes[small[0]]
+
+
 def test_shards_are_minimax(spark, monkeypatch):
     monkeypatch.setattr(sharding, "SUMMARY_ROWS", 40)  # so that ranges are refined again and again
     rows = documents(2, 300)

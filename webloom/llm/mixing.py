@@ -1,8 +1,22 @@
-"""Mixing sources to target weights by Pareto order sampling."""
+"""Mixing sources to target weights by Pareto order sampling (Rosen, 1997).
+
+A source whose target is e times its size gives every document the whole copies
+in e for certain. What is left of e is drawn: documents of one source are put
+into classes of near equal sizes, a quarter of an octave wide, and from each
+class a fixed number is drawn with unequal probabilities. A document's odds of
+inclusion are those of its class times its size over the class's mean size; the
+documents of the least u / (1 - u) over these odds, for a random u, are drawn.
+The numbers are such that the words drawn are expected to be the share left, and
+are rounded so that what one class lacks goes to the next. What the draw still
+misses of the target is made up in the same order: drawn documents stop at the
+target, and in further passes others fill the gap where they fit.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.operators.ordered import range_parts, running_totals
@@ -56,72 +70,115 @@ def mix_sources(
 ) -> DataFrame:
     """How many copies of each document a mix takes, so that each source nears its target of words.
 
-    Returns doc_id, size, source, source_size, target, copies and taken (size
-    times copies), a row per input row. A document's expected copies are its
-    source's target over the source's size. Their whole part is certain; for
-    the rest, documents are ranked by Pareto order sampling: random odds
-    u / (1 - u), with u from a hash of the id and the seed, divided by the odds
-    of the inclusion probability that is left. Each source takes documents in
-    that order while their words fit in what its target has left; in
-    `fill_passes` passes, documents further down that still fit fill the gap
-    that the first one too large leaves. The same input gives the same mix.
+    Returns doc_id, size, source, source_size, target, chance (of being drawn
+    beyond the certain copies, null where nothing is), drawn, copies and taken
+    (size times copies), a row per input row. No source exceeds its target. The
+    same input gives the same mix: u is a hash of the seed, the id and the text.
 
     Null and empty texts have size 0 and are never taken more than the certain
-    copies; a null source is a source like others, the last in order. Repeated
-    rows are separate rows. An empty table gives an empty result. Other columns
-    are not read.
+    copies; a null source is a source like others, the last in order; a null id
+    is an id like others. Rows equal in id, text and source can't be told apart:
+    they are drawn together or not at all. An empty table gives an empty result.
+    Other columns are not read.
     """
-    rows, _ = _draw(docs, weights, share, max_repeat, id_col, text_col, source_col, seed, fill_passes)
-    copies = (F.col("certain") + F.col("extra")).cast("long")
-    return rows.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    sized = materialize(_sized(docs, id_col, text_col, source_col), "sized")
+    plan = _plan(sized, weights, share, max_repeat, seed, fill_passes)
+    rows = _copies(sized, plan, seed)
+    copies = F.col("copies").cast("long")
+    return rows.select("doc_id", "size", "source", "source_size", "target", "chance", "drawn", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
-def _odds(rows: DataFrame, seed: int) -> DataFrame:
-    """rows of (doc_id, source_size, target, ...) with certain copies and pareto, the odds that rank the rest."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 53)) + F.lit(0.5)) / F.lit(float(1 << 53))
-    expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("chance") / (1 - F.col("chance")))
-    return (
-        rows.withColumn("certain", F.floor(expected))
-        .withColumn("chance", expected - F.col("certain"))
-        .withColumn("u", u)
-        .withColumn("pareto", F.when(F.col("chance") > 0, odds))
-        .drop("u", "chance")
-    )
-
-
-def _draw(
-    docs: DataFrame, weights: tuple[float, ...], share: float, max_repeat: float, id_col: str, text_col: str, source_col: str, seed: int, fill_passes: int
-) -> tuple[DataFrame, DataFrame]:
-    """The rows with their certain and extra copies, and a row per source that tells them from any document.
-
-    A pass takes the rows up to some place in the order, of those that its room
-    holds one by one: so (room, cut) of each pass says which were taken.
-    """
-    sized = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
-    )
-    sized = materialize(sized, "sized")
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("same"))
+
+
+@dataclass(frozen=True)
+class Plan:
+    """targets: a row a source; classes: a row a source and class; passes: a row a source; repeats: rows that stand for several."""
+
+    targets: DataFrame
+    classes: DataFrame
+    passes: DataFrame
+    repeats: DataFrame
+
+
+ROW = ("source", "doc_id", "size", "same")
+#: What orders the documents of a source: large classes first, then the Pareto variable.
+KEY = ("from_top", "pareto", "doc_id", "size", "same")
+
+
+def _class(words: Column) -> Column:
+    """Size classes a quarter of an octave wide, counted from the top."""
+    return (-F.floor(4 * F.log2(words.cast("double")))).cast("int")
+
+
+def _pareto(seed: int) -> Column:
+    """The variable that ranks a class: u / (1 - u) over the odds of inclusion; from doc_id, same, words and the class's odds and mean."""
+    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("same")), F.lit(1 << 53)) + F.lit(0.5)) / F.lit(float(1 << 53))
+    return (u / (1 - u)) / (F.col("odds") * F.col("words") / F.col("mean"))
+
+
+def _plan(sized: DataFrame, weights: tuple[float, ...], share: float, max_repeat: float, seed: int, fill_passes: int) -> Plan:
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_repeat)
-    cuts = targets.select(F.col("source").alias("_source"), "rank", "source_size", "target")
-
-    rows = _odds(sized.join(cuts, sized["source"].eqNullSafe(cuts["_source"])).drop("_source"), seed)
-    rows = rows.withColumn("left", F.col("target") - F.col("certain") * F.col("source_size"))
-    order = [F.col("rank"), F.col("pareto"), F.col("doc_id"), F.col("size")]
-    parts = range_parts(rows.withColumn("extra", F.lit(0)), order, "pareto")
-    passes = []
-    for k in range(fill_passes):
-        open_ = (F.col("extra") == 0) & F.col("pareto").isNotNull() & (F.col("size") > 0) & (F.col("size") <= F.col("left"))
-        run = running_totals(parts, order, {"upto": F.when(open_, F.col("size")).otherwise(F.lit(0))}, within=["rank"])
-        taken = run.withColumn("now", open_ & (F.col("upto") <= F.col("left"))).withColumn("extra", F.when(F.col("now"), 1).otherwise(F.col("extra")))
-        taken = materialize(taken.withColumn("got", F.when(F.col("now"), F.col("size")).otherwise(F.lit(0))).drop("now", "upto"), "mix")
-        cut = F.max(F.when(F.col("got") > 0, F.struct("pareto", "doc_id", "size")))
-        got = taken.groupBy(F.col("rank").alias("_rank")).agg(F.sum("got").alias("g"), F.struct(F.max("left").alias("room"), cut.alias("cut")).alias(f"pass{k}"))
+    expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    targets = targets.withColumn("certain", F.floor(expected)).withColumn("part", expected - F.col("certain"))
+    targets = materialize(targets.withColumn("room", F.col("target") - F.col("certain") * F.col("source_size")).withColumnRenamed("source", "_source"), "targets")
+    units = sized.groupBy(*ROW).agg(F.count(F.lit(1)).alias("n")).withColumn("words", F.col("n") * F.col("size"))
+    units = materialize(units.withColumn("from_top", F.when(F.col("size") > 0, _class(F.col("words")))), "units")
+    repeats = units.filter("n > 1").select(*[F.col(c).alias(f"_{c}") for c in ROW], "n")
+
+    sizes = units.filter("size > 0").groupBy("source", "from_top").agg(F.count(F.lit(1)).alias("count"), F.sum("words").alias("sum"), F.sum(F.col("words").cast("double") * F.col("words")).alias("squares"))
+    sizes = sizes.join(targets.filter("part > 0").select("_source", "rank", "part"), F.col("source").eqNullSafe(F.col("_source")))
+    # with chances in proportion to sizes a draw brings squares / sum words
+    upto = F.sum(F.col("part") * F.col("sum") * F.col("sum") / F.col("squares")).over(Window.partitionBy("rank").orderBy("from_top"))
+    sizes = sizes.withColumn("upto", F.floor(upto + 1e-9)).withColumn("draws", F.col("upto") - F.coalesce(F.lag("upto").over(Window.partitionBy("rank").orderBy("from_top")), F.lit(0)))
+    sizes = sizes.withColumn("draws", F.least("draws", "count"))
+    odds = (F.col("draws") + 0.5) / (F.col("count") - F.col("draws") + 0.5)
+    classes = materialize(sizes.select(F.col("rank").alias("_rank"), F.col("from_top").alias("_from_top"), "draws", odds.alias("odds"), (F.col("sum") / F.col("count")).alias("mean")), "classes")
+
+    rows = units.join(targets.filter("part > 0").select("_source", "rank", "room"), F.col("source").eqNullSafe(F.col("_source")))
+    rows = rows.join(classes, (F.col("rank") == F.col("_rank")) & (F.col("from_top") == F.col("_from_top"))).withColumn("pareto", _pareto(seed)).select("rank", *KEY, "words", "draws", "room")
+    order = [F.col("rank"), *map(F.col, KEY)]
+    ranked = running_totals(range_parts(rows, order, "pareto"), order, {"nth": F.lit(1).cast("long")}, within=["rank", "from_top"])
+    parts = ranked.withColumn("drawn", F.col("nth") <= F.col("draws")).withColumn("extra", F.lit(0)).drop("nth", "draws")
+    parts = range_parts(parts, order, "drawn")
+    key = F.struct(*KEY)
+    last = parts.filter("drawn").groupBy(F.col("rank").alias("_rank"), F.col("from_top").alias("_from_top")).agg(F.max(key).alias("last"))
+    last = materialize(last, "last")
+    classes = classes.join(last.withColumnsRenamed({"_rank": "_r", "_from_top": "_f"}), (F.col("_rank") == F.col("_r")) & (F.col("_from_top") == F.col("_f")), "left").drop("_r", "_f")
+
+    passes = targets.filter("part > 0").select(F.col("rank").alias("_rank"))
+    for k in range(1 + fill_passes):
+        # drawn ones first; then those that the gap can hold
+        open_ = (F.col("extra") == 0) & (F.col("words") <= F.col("room")) & (F.col("drawn") if k == 0 else F.lit(True))
+        run = running_totals(parts, order, {"upto": F.when(open_, F.col("words")).otherwise(F.lit(0))}, within=["rank"])
+        now = open_ & (F.col("upto") <= F.col("room"))
+        taken = materialize(run.withColumn("now", now).withColumn("extra", F.when(F.col("now"), 1).otherwise(F.col("extra"))).drop("upto"), "mix")
+        cut = F.max(F.when(F.col("now"), key))
+        got = taken.groupBy(F.col("rank").alias("_got")).agg(F.sum(F.when(F.col("now"), F.col("words")).otherwise(0)).alias("got"), F.struct(F.max("room").alias("room"), cut.alias("cut")).alias(f"pass{k}"))
         got = materialize(got, "got")
-        parts = taken.join(got, taken["rank"] == got["_rank"]).withColumn("left", F.col("left") - F.col("g")).select(*parts.columns)
-        passes.append(f"pass{k}")
-        cuts = cuts.join(got, cuts["rank"] == got["_rank"]).drop("g", "_rank")
-    return parts, materialize(cuts.select("_source", "source_size", "target", F.array(*passes).alias("passes")), "cuts")
+        parts = taken.join(got, taken["rank"] == got["_got"]).withColumn("room", F.col("room") - F.col("got")).select(*parts.columns)
+        passes = passes.join(got.drop("got"), passes["_rank"] == got["_got"], "left").drop("_got")
+    passes = materialize(passes.select(F.col("_rank").alias("_pass_rank"), F.array(*[f"pass{k}" for k in range(1 + fill_passes)]).alias("passes")), "passes")
+    return Plan(targets, materialize(classes, "classes"), passes, repeats)
+
+
+def _copies(rows: DataFrame, plan: Plan, seed: int) -> DataFrame:
+    """rows with ROW's columns, and source_size, target, chance, drawn and copies by a plan: nothing is shuffled by document."""
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ROW]
+    found = rows.join(plan.repeats.withColumnRenamed("_source", "_s"), same[1] & same[2] & same[3] & F.col("source").eqNullSafe(F.col("_s")), "left")
+    found = found.withColumn("words", F.col("size") * F.coalesce("n", F.lit(1))).withColumn("from_top", F.when(F.col("size") > 0, _class(F.col("words"))))
+    found = found.join(plan.targets, F.col("source").eqNullSafe(F.col("_source"))).withColumnRenamed("room", "_room")
+    found = found.join(plan.classes, (F.col("rank") == F.col("_rank")) & (F.col("from_top") == F.col("_from_top")), "left")
+    found = found.join(plan.passes, F.col("rank") == F.col("_pass_rank"), "left").withColumn("pareto", _pareto(seed))
+    key = F.struct(*KEY)
+    drawn = F.coalesce(key <= F.col("last"), F.lit(False))
+    fits = lambda p: F.coalesce((F.col("words") <= p["room"]) & (key <= p["cut"]), F.lit(False))
+    first = F.get("passes", 0)
+    extra = F.coalesce((drawn & fits(first)) | F.exists(F.slice("passes", 2, 1000), fits), F.lit(False))
+    chance = F.col("odds") * F.col("words") / F.col("mean")
+    out = found.withColumn("copies", (F.col("certain") + extra.cast("int")).cast("int")).withColumn("drawn", drawn & (F.col("size") > 0)).withColumn("chance", chance / (1 + chance))
+    return out.select(*rows.columns, "source_size", "target", "chance", "drawn", "copies")
 
 
 def take_mix(
@@ -137,17 +194,11 @@ def take_mix(
 ) -> DataFrame:
     """The documents of a mix: each row of docs as often as mix_sources() says, in the columns of docs.
 
-    The draw comes back as the cuts of each source, a row a source; documents
-    meet them by source, so texts are not shuffled by id. Rows with equal id,
-    source and size are all taken if one is; rows with a null id are taken once.
+    The draw comes back as tables of a row a source or size class, which
+    documents meet by source; only texts that are repeated are looked up by row.
     """
-    _, cuts = _draw(docs, weights, share, max_repeat, id_col, text_col, source_col, seed, fill_passes)
-    row = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
-    keyed = docs.select(row, F.col(id_col).alias("doc_id"), F.col(source_col).alias("_own"), word_count(F.col(text_col)).alias("size"))
-    held = _odds(keyed.join(cuts, keyed["_own"].eqNullSafe(cuts["_source"])), seed)
-    key = F.struct("pareto", "doc_id", "size")
-    fits = F.exists("passes", lambda p: (F.col("size") <= p["room"]) & (key <= p["cut"]))
-    extra = F.when((F.col("size") > 0) & F.col("pareto").isNotNull() & fits, 1).otherwise(0)
-    copies = F.when(F.col("doc_id").isNull(), 1).otherwise(F.col("certain") + extra).cast("int")
-    repeated = held.withColumn("_copies", copies).filter("_copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return repeated.select("_row.*")
+    sized = materialize(_sized(docs, id_col, text_col, source_col), "sized")
+    plan = _plan(sized, weights, share, max_repeat, seed, fill_passes)
+    keyed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_whole"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("same"))
+    held = _copies(keyed, plan, seed).filter("copies > 0")
+    return held.select("_whole", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_whole.*")
