@@ -94,12 +94,12 @@ def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
 
 @dataclass(frozen=True)
 class Plan:
-    """targets: a row a source; classes: a row a source and class; passes: a row a source; repeats: rows that stand for several."""
+    """targets: a row a source; classes: a row a source and class; passes: a row a source; repeats: rows that stand for several, if there are any."""
 
     targets: DataFrame
     classes: DataFrame
     passes: DataFrame
-    repeats: DataFrame
+    repeats: DataFrame | None
 
 
 ROW = ("source", "doc_id", "size", "same")
@@ -125,7 +125,8 @@ def _plan(sized: DataFrame, weights: tuple[float, ...], share: float, max_repeat
     targets = materialize(targets.withColumn("room", F.col("target") - F.col("certain") * F.col("source_size")).withColumnRenamed("source", "_source"), "targets")
     units = sized.groupBy(*ROW).agg(F.count(F.lit(1)).alias("n")).withColumn("words", F.col("n") * F.col("size"))
     units = materialize(units.withColumn("from_top", F.when(F.col("size") > 0, _class(F.col("words")))), "units")
-    repeats = units.filter("n > 1").select(*[F.col(c).alias(f"_{c}") for c in ROW], "n")
+    repeats = materialize(units.filter("n > 1").select(*[F.col(c).alias(f"_{c}") for c in ROW], "n"), "repeats")
+    repeats = repeats if repeats.limit(1).count() else None
 
     sizes = units.filter("size > 0").groupBy("source", "from_top").agg(F.count(F.lit(1)).alias("count"), F.sum("words").alias("sum"), F.sum(F.col("words").cast("double") * F.col("words")).alias("squares"))
     sizes = sizes.join(targets.filter("part > 0").select("_source", "rank", "part"), F.col("source").eqNullSafe(F.col("_source")))
@@ -165,8 +166,10 @@ def _plan(sized: DataFrame, weights: tuple[float, ...], share: float, max_repeat
 
 def _copies(rows: DataFrame, plan: Plan, seed: int) -> DataFrame:
     """rows with ROW's columns, and source_size, target, chance, drawn and copies by a plan: nothing is shuffled by document."""
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ROW]
-    found = rows.join(plan.repeats.withColumnRenamed("_source", "_s"), same[1] & same[2] & same[3] & F.col("source").eqNullSafe(F.col("_s")), "left")
+    found = rows.withColumn("n", F.lit(1).cast("long"))
+    if plan.repeats is not None:  # only then is anything shuffled by row
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ROW[1:]]
+        found = rows.join(plan.repeats.withColumnRenamed("_source", "_s"), same[0] & same[1] & same[2] & F.col("source").eqNullSafe(F.col("_s")), "left")
     found = found.withColumn("words", F.col("size") * F.coalesce("n", F.lit(1))).withColumn("from_top", F.when(F.col("size") > 0, _class(F.col("words"))))
     found = found.join(plan.targets, F.col("source").eqNullSafe(F.col("_source"))).withColumnRenamed("room", "_room")
     found = found.join(plan.classes, (F.col("rank") == F.col("_rank")) & (F.col("from_top") == F.col("_from_top")), "left")
