@@ -1,8 +1,9 @@
 """Interpolated modified Kneser-Ney n-gram model, counted in Spark and mapped into memory by workers.
 
-Blocks of tokens are counted map-side and their distinct n-grams dealt out by
-the hash of their context, packed with a dictionary of the words they hold. The
-reducer of a bucket merges them and writes one file of sorted hash arrays, with
+Words are counted first: the reducer of a range of word hashes writes them as a
+sorted array, and a word's number is its place there. Blocks of tokens are then
+counted map-side and their distinct n-grams dealt out by the hash of their
+context, as packed numbers. The reducer of a bucket merges them and writes one file of sorted hash arrays, with
 the contexts' totals and numbers of followers seen once, twice and more often;
 it passes on how many distinct words precede each shorter n-gram, which is
 counted the same way, one order after another in one job. Files are named by
@@ -43,8 +44,8 @@ WORD_MASK = U64((1 << 56) - 1)
 #: taken for another one about once in four million lookups of unseen ones.
 TAIL = U64(22)
 TAIL_MASK = U64((1 << 22) - 1)
-#: Common words are looked for in a sample of about so many bytes; so many at most, and so many in contexts of several words.
-SAMPLE_BYTES, COMMON, COMMONEST = 64 << 20, 1000, 64
+#: A word is common if it is more than one token in so many; so many of them are common in contexts of several words.
+COMMON, COMMONEST = 1000, 64
 #: Words that come first in a blob's dictionary, so that most ranks take one byte.
 TOP = 255
 #: Rows have a blob, or counts of counts of a level (level 0: of plain words), or (with ctx) sums of a common context.
@@ -64,7 +65,7 @@ def gram_hashes(columns: list[np.ndarray]) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Common:
-    """Sorted hashes (as in n-grams) of common words, and of the commonest."""
+    """Sorted numbers of common words, and of the commonest."""
 
     words: np.ndarray
     first: np.ndarray
@@ -119,16 +120,16 @@ def _top_first(words: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.nd
     return words[order], place
 
 
-def _pack(words: np.ndarray, ranks: list[np.ndarray], counts: np.ndarray, plain: np.ndarray | None = None) -> bytes:
-    """Rows of words by their ranks, in order; without ranks each word is a row. plain is left out where it equals counts."""
+def _pack(words: np.ndarray, ranks: list[np.ndarray], counts: np.ndarray) -> bytes:
+    """Rows of words by their ranks, in order; without ranks each word is a row."""
     first = [np.diff(ranks[0], prepend=0)] if ranks else []
-    parts = [_planes(x) for x in (np.diff(words, prepend=U64(0)), *first, *ranks[1:], counts, *([] if plain is None else [plain]))]
+    parts = [_planes(x) for x in (np.diff(words, prepend=U64(0)), *first, *ranks[1:], counts)]
     raw = b"".join(p[0] for p in parts)
     head = struct.pack("<QQQ", len(words), len(counts), len(raw)) + bytes([len(ranks), len(parts), *(p[1] for p in parts)])
     return head + pa.Codec("zstd", compression_level=5).compress(raw, asbytes=True)
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+def _unpack(blob: bytes) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     n_words, n, size = struct.unpack("<QQQ", blob[:24])
     width = blob[24]
     kinds = list(blob[26 : 26 + blob[25]])
@@ -139,10 +140,10 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.n
         parts.append(np.ascontiguousarray(raw[at : at + rows * kind].reshape(kind, rows).T).view(f"u{kind}").ravel())
         at += rows * kind
     ranks = [np.cumsum(parts[1], dtype=np.int64), *parts[2 : width + 1]] if width else []
-    return np.cumsum(parts[0], dtype=np.uint64), [r.astype(np.int32) for r in ranks], parts[width + 1].astype(np.int64), parts[-1].astype(np.int64)
+    return np.cumsum(parts[0], dtype=np.uint64), [r.astype(np.int32) for r in ranks], parts[-1].astype(np.int64)
 
 
-def _deal(level: int, words: np.ndarray, ranks: list[np.ndarray], counts: np.ndarray, plain: np.ndarray | None, common: Common, buckets: int) -> Iterator[tuple]:
+def _deal(level: int, words: np.ndarray, ranks: list[np.ndarray], counts: np.ndarray, common: Common | None, buckets: int) -> Iterator[tuple]:
     """Rows (level, bucket, blob) of distinct n-grams in order, given by ranks of words."""
     columns = [words[r] for r in ranks]
     to = _bucket(_routes(columns, common)[1] if len(columns) > 1 else mix(columns[0]), buckets)
@@ -151,7 +152,7 @@ def _deal(level: int, words: np.ndarray, ranks: list[np.ndarray], counts: np.nda
     for b in np.flatnonzero(np.diff(bounds)):
         rows = order[bounds[b] : bounds[b + 1]]
         if len(ranks) == 1:
-            yield level, int(b), _pack(columns[0][rows], [], counts[rows], None if plain is None else plain[rows])
+            yield level, int(b), _pack(columns[0][rows], [], counts[rows])
             continue
         part = [r[rows] for r in ranks]
         if len(rows) * 16 < len(words):
@@ -163,7 +164,7 @@ def _deal(level: int, words: np.ndarray, ranks: list[np.ndarray], counts: np.nda
                 used[r] = True
             held, place = np.flatnonzero(used), np.cumsum(used) - 1
             part = [place[r] for r in part]
-        yield level, int(b), _pack(words[held], part, counts[rows], None if plain is None else plain[rows])
+        yield level, int(b), _pack(words[held], part, counts[rows])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -189,18 +190,87 @@ def _ends(tokens: np.ndarray, first: np.ndarray, order: int) -> np.ndarray:
     return np.flatnonzero(ends)
 
 
-def _count(order: int, buckets: int, common: Common):
+@dataclass(frozen=True)
+class Vocabulary:
+    """Words by ranges of hashes: number = bucket * stride + place in the bucket's file; then the start mark's, and that of all others."""
+
+    folder: str
+    buckets: int
+    stride: int
+
+    @property
+    def start(self) -> int:
+        return self.buckets * self.stride
+
+    def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and counts of distinct words (by WORD_MASK)."""
+        numbers, counts = np.full(len(words), self.start + 1, np.uint64), np.zeros(len(words), np.int64)
+        for bucket, rows in _by_bucket(mix(words), self.buckets):
+            file = open_bucket(self.folder, 0, bucket)
+            if file is not None:
+                hit, at = _place(file["keys"], words[rows])
+                numbers[rows[hit]], counts[rows[hit]] = (at + bucket * self.stride).astype(np.uint64), _counts(file, at)
+        numbers[words == START & WORD_MASK] = self.start
+        return numbers, counts
+
+
+def _count_words(buckets: int):
+    """Distinct words of blocks with their counts, dealt out by hash."""
+
+    def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        words, counts = np.unique(np.concatenate(held), return_counts=True)
+        for row in _deal(0, words, [np.arange(len(words))], counts, None, buckets):
+            yield _batch([(*row, *[None] * 7)])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+        for batch in batches:
+            for _, run in text_runs(batch.column(0)):
+                held += [Words(run).hashes & WORD_MASK, np.full(len(run), END & WORD_MASK)]
+                size += len(held[-2]) + len(run)
+                if size >= BLOCK_TOKENS:
+                    yield from flush(held)
+                    held, size = [], 0
+        if held:
+            yield from flush(held)
+
+    return count
+
+
+def _merge_words(folder: str):
+    """Write a bucket's words; rows of its numbers, and (ctx: the place) of words that may be common in all."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        loaded = [_unpack(b) for b in table.column("blob").to_pylist()]
+        _, (words, counts) = _merged(np.concatenate([x[0] for x in loaded]), [], *(np.concatenate([x[i] for x in loaded]) for i in (0, 2)), first=1)
+        _write(folder, 0, bucket, {"keys": words, **_short_counts(counts)})
+        often = np.flatnonzero(counts * COMMON > counts.sum())
+        rows = [(0, bucket, None, None, len(words), int(counts.sum()), *[None] * 4)]
+        rows += [(0, bucket, None, int(i), None, int(counts[i]), *[None] * 4) for i in often]
+        return pa.Table.from_batches([_batch(rows)])
+
+    return merge
+
+
+def _count(order: int, buckets: int, common: Common, vocabulary: Vocabulary):
     def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         tokens = np.concatenate([t for t, _ in held])
         begins = np.cumsum([0, *(len(t) for t, _ in held[:-1])])
         at = np.concatenate([ends + b for (_, ends), b in zip(held, begins, strict=True)])
         words, of = np.unique(tokens & WORD_MASK, return_inverse=True)
+        words = vocabulary.find(words)[0]
+        by = np.argsort(words)
+        back = np.empty(len(by), np.int64)
+        back[by] = np.arange(len(by))
+        words, of = words[by], back[of]
         words, place = _top_first(words, np.bincount(of))
         rank = place[of]
         key = _keys([rank[at - (order - 1 - j)] for j in range(order)], len(words))
         _, one, counts = np.unique(key, return_index=True, return_counts=True)
         ranks = [rank[at[one] - (order - 1 - j)] for j in range(order)]
-        rows = _deal(order, words, ranks, counts, None, common, buckets)
+        rows = _deal(order, words, ranks, counts, common, buckets)
         for row in rows:
             yield _batch([(*row, *[None] * 7)])
 
@@ -299,11 +369,11 @@ def _reduce(folder: str, level: int, order: int, buckets: int, common: Common):
         loaded = [_unpack(b) for b in table.column("blob").to_pylist()]
         del table
         words = np.unique(np.concatenate([x[0] for x in loaded]))
-        counts, plain = (np.concatenate([x[i] for x in loaded]) for i in (2, 3))
+        counts = np.concatenate([x[2] for x in loaded])
         to = [np.searchsorted(words, x[0]).astype(np.int32) for x in loaded]
         ranks = [np.concatenate([t[x[1][j]] if own > 1 else t for t, x in zip(to, loaded, strict=True)]) for j in range(own)]
         del loaded, to
-        ranks, counts, plain = _merged(_keys(ranks, len(words)), ranks, counts, plain)
+        ranks, (counts,) = _merged(_keys(ranks, len(words)), ranks, counts)
         rows: list[tuple] = [(own, bucket, None, None, len(counts), int(counts.sum()), *(int((counts == n).sum()) for n in (1, 2, 3, 4)))]
         if own > 1:
             arrays, sums = _arrays([words[r] for r in ranks], counts, common)
@@ -313,22 +383,21 @@ def _reduce(folder: str, level: int, order: int, buckets: int, common: Common):
             # words that go before: each distinct n-gram counts once for its last words
             words, place = _top_first(words, np.bincount(ranks[-1], minlength=len(words)))
             ranks = [place[r] for r in ranks[1:]]
-            ranks, before, plain = _merged(_keys(ranks, len(words)), ranks, np.ones(len(counts), np.int64), plain)
-            rows += [(*row, *[None] * 7) for row in _deal(own - 1, words, ranks, before, plain, common, buckets)]
+            ranks, (before,) = _merged(_keys(ranks, len(words)), ranks, np.ones(len(counts), np.int64))
+            rows += [(*row, *[None] * 7) for row in _deal(own - 1, words, ranks, before, common, buckets)]
         else:
-            rows.append((0, bucket, None, None, len(plain), int(plain.sum()), *[None] * 4))
-            _write(folder, own, bucket, {"keys": words, **_short_counts(counts), **_short_counts(plain, "plain")})
+            _write(folder, own, bucket, {"keys": words, **_short_counts(counts)})
         return pa.Table.from_batches([_batch(rows)])
 
     return reduce
 
 
-def _merged(key: np.ndarray, ranks: list[np.ndarray], *counts: np.ndarray) -> tuple:
-    """Distinct rows in the order of their keys, and their counts added."""
+def _merged(key: np.ndarray, ranks: list[np.ndarray], *counts: np.ndarray, first: int = 0) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Distinct rows in the order of their keys, and their counts added; of the leading `first` counts one is taken."""
     by = np.argsort(key)
     key = key[by]
     at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return [r[by[at]] for r in ranks], *(np.add.reduceat(c[by], at) for c in counts)
+    return [r[by[at]] for r in ranks], [c[by[at]] if i < first else np.add.reduceat(c[by], at) for i, c in enumerate(counts)]
 
 
 def _arrays(columns: list[np.ndarray], counts: np.ndarray, common: Common) -> tuple[dict[str, np.ndarray], list[tuple]]:
@@ -365,12 +434,13 @@ class Model:
     buckets: int
     folder: str
     common: Common
+    vocabulary: Vocabulary
     discounts: dict[int, tuple[float, float, float]]
     #: of level 1: the sum of its counts and the weight of what lies below it
     total: int
     rest: float
     train_tokens: int
-    vocabulary: int
+    distinct: int
     sums: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
 
 
@@ -385,22 +455,6 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(float(min(max(d, 0.05), top)) for d, top in zip((one, two, three), (1, 2, 3), strict=True))
 
 
-def common_words(texts: DataFrame, text_col: str, size: int) -> Common:
-    """Words that are more than one in COMMON of a sample; the mark before a text is one of them. Only the balance of work rests on them."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, run in text_runs(batch.column(0)):
-                word, n = np.unique(Words(run).hashes & WORD_MASK, return_counts=True)
-                often = n * 2 * COMMON > n.sum()
-                yield pa.RecordBatch.from_arrays([pa.array(word[often].view(np.int64)), pa.array(n[often])], names=["word", "n"])
-
-    sample = texts.select(text_col).sample(min(1.0, SAMPLE_BYTES / max(1, size)), 7)
-    top = sample.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(COMMON).collect()
-    words = np.array([START & WORD_MASK, *(np.int64(r["word"]).astype(np.uint64) for r in top)], np.uint64)
-    return Common(np.sort(words), np.sort(words[:COMMONEST]))
-
-
 def train(texts: DataFrame, text_col: str, order: int = 3, folder: str | None = None) -> Model:
     """Count all texts of a column (null: empty) and write the model's arrays into a shared folder."""
     spark = texts.sparkSession
@@ -408,8 +462,15 @@ def train(texts: DataFrame, text_col: str, order: int = 3, folder: str | None =
     small_batches(spark)
     size = texts.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(1, -(-size // (6 * BUCKET_TOKENS)))
-    common = common_words(texts, text_col, size)
-    rows = texts.select(F.col(text_col).alias("text")).mapInArrow(_count(order, buckets, common), SCHEMA)
+    texts = texts.select(F.col(text_col).alias("text"))
+    words = texts.mapInArrow(_count_words(buckets), SCHEMA).groupBy("bucket").applyInArrow(_merge_words(folder), SCHEMA)
+    words = materialize(words.drop("blob"), "words")
+    known = words.filter("ctx is null").agg(F.sum("entries").alias("entries"), F.sum("total").alias("total"), F.max("entries").alias("most")).first()
+    vocabulary = Vocabulary(folder, buckets, int(known["most"] or 1))
+    often = words.filter(F.col("ctx").isNotNull() & (F.col("total") * COMMON > (known["total"] or 0))).orderBy(F.desc("total"), "bucket", "ctx").limit(COMMON)
+    numbers = np.array([vocabulary.start, *(r["bucket"] * vocabulary.stride + r["ctx"] for r in often.collect())], np.uint64)
+    common = Common(np.sort(numbers), np.sort(numbers[:COMMONEST]))
+    rows = texts.mapInArrow(_count(order, buckets, common, vocabulary), SCHEMA)
     for level in range(order, 0, -1):
         rows = rows.groupBy("level", "bucket", F.col("blob").isNull()).applyInArrow(_reduce(folder, level, order, buckets, common), SCHEMA)
     made = materialize(rows.drop("blob"), "counts")
@@ -426,7 +487,7 @@ def train(texts: DataFrame, text_col: str, order: int = 3, folder: str | None =
     total, one, two = of(1, "total"), of(1, "n1"), of(1, "n2")
     d = cut[1]
     rest = (d[0] * one + d[1] * two + d[2] * (of(1, "entries") - one - two)) / total if total else 1.0
-    return Model(order, buckets, folder, common, cut, total, rest, of(0, "total"), of(0, "entries"), sums)
+    return Model(order, buckets, folder, common, vocabulary, cut, total, rest, int(known["total"] or 0), int(known["entries"] or 0), sums)
 
 
 def _by_bucket(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -445,15 +506,15 @@ def _place(keys: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return hit, at[hit]
 
 
-def _word_counts(model: Model, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How many distinct words precede each word, and how often it stands itself."""
-    seen, plain = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+def _preceding(model: Model, words: np.ndarray) -> np.ndarray:
+    """How many distinct words precede each word."""
+    out = np.zeros(len(words), dtype=np.int64)
     for bucket, rows in _by_bucket(mix(words), model.buckets):
         file = open_bucket(model.folder, 1, bucket)
         if file is not None:
             hit, at = _place(file["keys"], words[rows])
-            seen[rows[hit]], plain[rows[hit]] = _counts(file, at), _counts(file, at, "plain")
-    return seen, plain
+            out[rows[hit]] = _counts(file, at)
+    return out
 
 
 def _follower(file: dict[str, np.ndarray], context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -506,12 +567,14 @@ def _discounted(counts: np.ndarray, cut: tuple[float, float, float]) -> np.ndarr
     return np.maximum(counts - np.array([0.0, *cut])[np.minimum(counts, 3)], 0)
 
 
-def probabilities(model: Model, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Of each n-gram's last word: the model's probability, and the plain count."""
-    columns = [c & WORD_MASK for c in columns]
-    word, of = np.unique(columns[-1], return_inverse=True)
-    seen, plain = (x[of] for x in _word_counts(model, word))
-    p = np.full(len(of), model.rest / (model.vocabulary + 1))
+def probabilities(model: Model, tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the tokens at ends: the model's probability after those before them, and the plain count."""
+    word, of = np.unique(tokens & WORD_MASK, return_inverse=True)
+    numbers, counts = model.vocabulary.find(word)
+    plain, seen = counts[of[ends]], _preceding(model, numbers)[of[ends]]
+    tokens = numbers[of]
+    columns = [tokens[ends - (model.order - 1 - j)] for j in range(model.order)]
+    p = np.full(len(ends), model.rest / (model.distinct + 1))
     if model.total:
         p += _discounted(seen, model.discounts[1]) / model.total
     for level in range(2, model.order + 1):
@@ -528,9 +591,9 @@ def _score(model: Model):
             for at, run in text_runs(batch.column(1), 4 << 20):
                 tokens, first = padded(Words(run), model.order)
                 ends = _ends(tokens, first, model.order)
-                p, plain = probabilities(model, [tokens[ends - (model.order - 1 - j)] for j in range(model.order)])
+                p, plain = probabilities(model, tokens, ends)
                 begin = first - np.arange(len(first)) * (model.order - 1)
-                base = np.log10((plain + 1) / (model.train_tokens + model.vocabulary + 1))
+                base = np.log10((plain + 1) / (model.train_tokens + model.distinct + 1))
                 sums = [np.add.reduceat(x, begin[:-1]) for x in (base, np.log10(p), (plain > 0).astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(i).slice(at, len(run)) for i in (0, 2)), pa.array(np.diff(begin)), pa.array(sums[2]), pa.array(sums[0]), pa.array(sums[1])],
