@@ -27,6 +27,8 @@ from webloom.runtime import materialize
 
 #: Rows of a bucket, and shingles of them, that are compared with as many others at a time.
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 400_000
+#: Members of a bucket that meet one copy of its smallest document's signature and text.
+STAR_ROWS = 256
 
 
 @dataclass(frozen=True)
@@ -133,8 +135,16 @@ def estimated(a: Column, b: Column, p: MinHash) -> Column:
     return ((F.lit(float(n)) - mismatches) / n - chance) / (1 - chance)
 
 
+def _both_sides(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
+    """pairs (a, b, salt) with value of table (id, value) for both. A b of many pairs gives one copy to each of its salts."""
+    of_a = table.select(F.col("id").alias("a"), F.col(value).alias(f"{value}_a"))
+    of_b = table.select(F.col("id").alias("b"), F.col(value).alias(f"{value}_b"))
+    dealt = pairs.select("b", "salt").distinct().join(of_b, "b")
+    return pairs.join(of_a, "a").join(dealt, ["b", "salt"])
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, p: MinHash) -> DataFrame:
-    """Those rows (a, b) of pairs whose full sets in texts (id, text) are similar enough."""
+    """Those (a, b) of pairs (a, b, salt) whose full sets in texts (id, text) are similar enough."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[int, np.ndarray] | None = None
@@ -150,9 +160,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, p: MinHash) -> DataFrame:
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([a.take(pa.array(keep, pa.int64())), b.take(pa.array(keep, pa.int64()))], names=["a", "b"])
 
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    both = _both_sides(pairs, texts, "text").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(check, "a long, b long").distinct()
 
 
@@ -257,18 +265,19 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash(), id_col: str = "doc_
     heads = materialize(heads.select("doc_id", "n_shingles", "bands", "packed"), "heads")
 
     rows = heads.select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least <> most")
-    shared = materialize(shared.select(F.col("bucket").alias("_bucket"), "least"), "buckets")
-    members = materialize(rows.join(shared, F.col("bucket") == F.col("_bucket")).select("bucket", "doc_id", "n_shingles", "least").distinct(), "members")
+    shared = rows.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("size")).filter("least <> most")
+    shared = materialize(shared.select(F.col("bucket").alias("_bucket"), "least", F.ceil(F.col("size") / STAR_ROWS).alias("salts")), "buckets")
+    members = materialize(rows.join(shared, F.col("bucket") == F.col("_bucket")).select("bucket", "doc_id", "n_shingles", "least", "salts").distinct(), "members")
     ids = members.select(F.col("doc_id").alias("_id")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     texts = materialize(texts.join(ids, F.col("id") == F.col("_id"), "left_semi"), "texts")
 
     low = p.percent / 100 - p.margin
-    packed = heads.select(F.col("doc_id").alias("_id"), F.col("packed"))
-    stars = members.filter("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
-    stars = stars.join(packed.withColumnsRenamed({"_id": "a", "packed": "pa"}), "a").join(packed.withColumnsRenamed({"_id": "b", "packed": "pb"}), "b")
-    stars = stars.filter(estimated(F.col("pa"), F.col("pb"), p) >= low).select("a", "b").distinct()
+    packed = heads.select(F.col("doc_id").alias("id"), F.col("packed"))
+    stars = members.filter("doc_id <> least").groupBy(F.col("doc_id").alias("a"), F.col("least").alias("b")).agg(F.max("salts").alias("salts"))
+    stars = materialize(stars.select("a", "b", F.pmod(F.xxhash64("a"), "salts").alias("salt")), "stars")
+    stars = _both_sides(stars, packed, "packed").filter(estimated(F.col("packed_a"), F.col("packed_b"), p) >= low).select("a", "b", "salt")
+    stars = materialize(stars, "stars")
     links = materialize(confirm(stars, texts, p), "links")
     found = materialize(connected_components(links, "a", "b"), "components")
 
@@ -279,14 +288,13 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash(), id_col: str = "doc_
     mixed = about.filter("x <> y").groupBy("same", "n").agg(F.min("bucket").alias("_bucket"), F.max("size").alias("size"))
     mixed = mixed.select("_bucket", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     apart = labelled.join(materialize(mixed, "mixed"), F.col("bucket") == F.col("_bucket")).select("bucket", "blocks", "doc_id", "component")
-    apart = apart.join(packed, F.col("doc_id") == F.col("_id")).drop("_id").join(texts, F.col("doc_id") == F.col("id")).drop("id")
+    apart = apart.join(packed, F.col("doc_id") == F.col("id")).drop("id").join(texts, F.col("doc_id") == F.col("id")).drop("id")
     more = materialize(_across(apart, p, low), "links")
     if more.limit(1).count():
         found = materialize(connected_components(links.unionByName(more), "a", "b"), "components")
 
-    own = classes.select(F.col("set_key").alias("_key"), "class_id")
-    out = table.join(own, F.col("set_key") == F.col("_key"), "left")
-    out = out.join(found, F.col("class_id") == F.col("id"), "left")
+    own = classes.join(found, F.col("class_id") == F.col("id"), "left").select(F.col("set_key").alias("_key"), "class_id", "component")
+    out = table.join(materialize(own, "classes"), F.col("set_key") == F.col("_key"), "left")
     class_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id", "doc_id"))
     return out.select(
