@@ -145,6 +145,20 @@ def test_url_rules(spark):
     assert urlrules.host_rule("block", "a.com/en").tokens == ("a", "com") and urlrules.host_rule("block", "a.com/En/").tokens == ("a", "com")
 
 
+def test_many_url_rules(spark, monkeypatch):
+    rules = [urlrules.host_rule("block" if i % 3 else "allow", f"s{i}.com/{'x/' if i % 2 else ''}") for i in range(10_000)]
+    urls = [f"http://{'www.' if i % 2 else ''}s{7 * i}.com/{'x/y' if i % 3 else 'z'}" for i in range(300)]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    by_name = {r.name: r for r in rules}
+    for bound in (50_000, 100):  # broadcast, and joined by a shuffle
+        monkeypatch.setattr(urlrules, "BROADCAST_RULES", bound)
+        for r in urlrules.filter_urls(frame, tuple(rules)).collect():
+            i = 7 * r["page_id"]
+            best = by_name.get(f"s{i}.com/") or (by_name.get(f"s{i}.com/x/") if r["path"].startswith("/x/") else None)
+            assert (r["rule"], r["verdict"]) == ((best.name, best.verdict) if best else (None, "allow"))
+    assert {(r["rule"], r["verdict"]) for r in urlrules.filter_urls(frame, ()).collect()} == {(None, "allow")}
+
+
 def test_near_duplicates(spark):
     rng = random.Random(4)
     base = [f"w{rng.randrange(999)}" for _ in range(40)]
