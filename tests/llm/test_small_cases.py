@@ -159,7 +159,8 @@ def test_many_url_rules(spark, monkeypatch):
     assert {(r["rule"], r["verdict"]) for r in urlrules.filter_urls(frame, ()).collect()} == {(None, "allow")}
 
 
-def test_near_duplicates(spark):
+def test_near_duplicates(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "STAR_ROWS", 3)  # so that buckets are dealt to several salts
     rng = random.Random(4)
     base = [f"w{rng.randrange(999)}" for _ in range(40)]
     rows = [(i, " ".join(base[:k] + [f"x{rng.randrange(9)}"] + base[k + 1 :])) for i, k in enumerate(rng.choices(range(40), k=60))]
