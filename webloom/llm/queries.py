@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import decontam, minhash, mixing, ngram, passages, quality, sharding, topk, urlrules, warc
+from webloom.llm import decontam, minhash, mixing, ngram, passages, phrases, quality, runs, sharding, tokenfile, topk, urlrules, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,8 +75,51 @@ def op10_bm25_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def repeat_tails(docs: DataFrame) -> DataFrame:
+    """doc_id and text, with a tail that repeats in every document whose crc32 of the id ends in 0.
+
+    There the words from number a on are the p words from a over and over; a null id's document stays as it is.
+    """
+    mark = F.expr("crc32(cast(doc_id as string))")
+    words = F.expr(r"filter(split(text, '[ \\t-\\r]+'), x -> x <> '')")
+    marked = docs.select("doc_id", "text", mark.alias("h"), F.when((mark % 10 == 0), words).alias("w"))
+    marked = marked.withColumns({"n": F.size("w"), "g": F.expr("h div 10")})
+    marked = marked.withColumn("a", F.expr("if(n > 0, g % n, null)"))
+    marked = marked.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    tail = F.expr("array_join(transform(sequence(0, n - 1), i -> w[cast(if(i < a, i, a + (i - a) % p) as int)]), ' ')")
+    return marked.select("doc_id", F.when(F.col("n") > 0, tail).otherwise(F.col("text")).alias("text"))
+
+
+def op11_tandem_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.collapse_runs(repeat_tails(_table(spark, sf_dir, "documents")))
+    # runs come by start and period, so the first of equals is the wanted one
+    best = F.expr("aggregate(runs, get(runs, 0), (b, r) -> if(r.length * b.period > b.length * r.period, r, b))")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_token_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    index = tokenfile.token_index(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return index.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_quality_bradley_terry, op3_pivot_top_k, op4_warc_salvage, op5_url_filter, op6_chained_passages, op7_shard_bytes, op8_minhash_near_dedup, op9_kneser_ney, op10_bm25_decontaminate)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_quality_bradley_terry, op3_pivot_top_k, op4_warc_salvage, op5_url_filter, op6_chained_passages, op7_shard_bytes, op8_minhash_near_dedup, op9_kneser_ney, op10_bm25_decontaminate, op11_tandem_runs, op12_phrase_collocations, op13_token_bits)}
 
 
 _URL = "coalesce(url, '')"
@@ -94,7 +137,29 @@ def _fits(rule: str) -> str:
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
 
+_PARTS = "string_split(phrase, ' ')"
+
+
+def _score(l: str, r: str) -> str:
+    return f"(1000000::HUGEINT * a * a // ({l}::HUGEINT * {r}))::BIGINT"
+
+
 SQL: dict[str, str] = {
+    "op12_phrase_collocations": f"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
+        w AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM p),
+        g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 4) t(k)),
+        f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+        n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+        c AS (SELECT lang, k, phrase, f AS a, {_PARTS} AS w FROM f WHERE k > 1 AND f >= 10),
+        x AS (SELECT c.*, cut, array_to_string(w[:cut], ' ') AS lp, array_to_string(w[cut + 1:], ' ') AS rp FROM c, range(1, 3) t(cut) WHERE cut < k),
+        s AS (SELECT x.lang, x.k, x.phrase, a, fl.f AS l, fr.f AS r, cut, {_score('fl.f', 'fr.f')} AS score
+              FROM x JOIN f fl ON fl.lang = x.lang AND fl.phrase = lp JOIN f fr ON fr.lang = x.lang AND fr.phrase = rp),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        i AS (SELECT lang, inner_phrase, max(a) AS longer FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS inner_phrase FROM c WHERE k = 3) GROUP BY ALL),
+        o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS rank
+              FROM b LEFT JOIN i ON i.lang = b.lang AND i.inner_phrase = b.phrase WHERE longer IS NULL OR 100 * longer < 50 * a)
+        SELECT o.lang, rank, phrase, a, l, r, n, score FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000""",
     "op3_pivot_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
