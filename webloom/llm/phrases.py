@@ -55,8 +55,8 @@ class Shape:
 
     width: int
     slice: int = SLICE
-    flush: int = 6_000_000
-    combine: int = 400_000
+    flush: int = 1_500_000
+    combine: int = 150_000
 
     @property
     def per(self) -> int:
