@@ -308,12 +308,16 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, by_word: boo
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
-    """Per document of the files: doc_id, file_path, file_start (its first id in the file), n_tokens and ids_crc32, each file read a block at a time."""
+    """Per document of the files: doc_id, start, n_tokens, ids_crc32, file_path and file_start (its first id in the file).
+
+    start counts the ids of all files before it in the order of _part and number.
+    Each file is read a block at a time, where it lies; no document is joined.
+    """
     small_batches(files.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column(0).to_pylist():
+            for path, before in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 reader = Reader(path)
                 rows: list[tuple[int | None, int, int, int]] = []
                 for name, start, parts in reader.documents():
@@ -322,29 +326,28 @@ def read_token_files(files: DataFrame) -> DataFrame:
                         crc = zlib.crc32(np.ascontiguousarray(part, dtype="<u4"), crc)
                     rows.append((name, start, sum(map(len, parts)), crc))
                     if len(rows) == 10_000:
-                        yield _found(path, rows)
+                        yield _found(path, before, rows)
                         rows = []
-                yield _found(path, rows)
+                yield _found(path, before, rows)
                 reader.close()
 
-    return files.select("path").repartition(shuffle_partitions(files.sparkSession), "path").mapInArrow(read, "doc_id long, file_path string, file_start long, n_tokens long, ids_crc32 long")
+    # a row per file of 64 million ids or per range partition: few enough for one window
+    upto = Window.orderBy(PART, "number").rowsBetween(Window.unboundedPreceding, -1)
+    placed = files.select("path", F.coalesce(F.sum("ids").over(upto), F.lit(0)).alias("before"))
+    placed = placed.repartition(shuffle_partitions(files.sparkSession), "path")
+    return placed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, file_path string, file_start long")
 
 
-def _found(path: str, rows: list[tuple[int | None, int, int, int]]) -> pa.RecordBatch:
+def _found(path: str, before: int, rows: list[tuple[int | None, int, int, int]]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [()] * 4
     names, starts, counts, crcs = (pa.array(c, pa.int64()) for c in columns)
-    return pa.RecordBatch.from_arrays([names, pa.array([path] * len(rows), pa.string()), starts, counts, crcs], ["doc_id", "file_path", "file_start", "n_tokens", "ids_crc32"])
+    begun = pa.array(np.array(columns[1], dtype=np.int64) + before, pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [names, begun, counts, crcs, pa.array([path] * len(rows), pa.string()), starts],
+        ["doc_id", "start", "n_tokens", "ids_crc32", "file_path", "file_start"],
+    )
 
 
 def token_index(docs: DataFrame, tokenizer: str, end_id: int, by_word: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the files, read them back: a row per document with start, the number of ids before it in all files.
-
-    See write_token_files() for nulls, repeats and empty tables.
-    """
-    files = write_token_files(docs, tokenizer, end_id, by_word, id_col, text_col)
-    # a row per file of 64 million ids or per range partition: few enough for one window
-    before = Window.orderBy(PART, "number").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select(F.col("path").alias("_path"), F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("_before"))
-    found = read_token_files(files)
-    found = found.join(starts, found["file_path"] == starts["_path"])
-    return found.select("doc_id", (F.col("_before") + F.col("file_start")).alias("start"), "n_tokens", "ids_crc32", "file_path", "file_start")
+    """Write the files and read them back; see write_token_files() for nulls, repeats and empty tables, read_token_files() for the columns."""
+    return read_token_files(write_token_files(docs, tokenizer, end_id, by_word, id_col, text_col))
