@@ -17,14 +17,13 @@ def stream_responses(spark: SparkSession, path: str, max_files: int = 100) -> Da
 
 
 def ingest_crawls(responses: DataFrame, store: Store, rules: ScopeRules, target: str, checkpoint: str) -> StreamingQuery:
-    """Save each micro-batch as a crawl of its own. A batch that is run again after a failure is not saved twice."""
+    """Save each micro-batch as a crawl of its own. A batch that is run again, or by two queries at once, is saved once."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        label = f"batch-{batch_id}"
-        if batch.isEmpty() or store.catalog().filter((F.col("target") == target) & (F.col("label") == label)).limit(1).count():
+        if batch.isEmpty():
             return
         g = build_graph(batch, rules)
-        store.save(g.nodes, g.edges, g.findings, target, label)
+        store.save(g.nodes, g.edges, g.findings, target, f"batch-{batch_id}", once=f"{target} batch-{batch_id}")
 
     return responses.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
