@@ -117,7 +117,7 @@ def test_json_parts_read_back(spark, crawl, tmp_path):
     _, nodes, edges, findings = crawl
     export.json_document(nodes, edges, findings, "shop", "complete", ["https://shop.test/"]).write.partitionBy("part").text(str(tmp_path / "j"))
     head, *parts = read_parts(spark, str(tmp_path / "j"))
-    assert [tuple(r) for r in head.collect()] == [("shop", "complete", ["https://shop.test/"])]
+    assert [tuple(r) for r in head.collect()] == [("shop", "", "", "complete", ["https://shop.test/"])]
     for got, want in zip(parts, (nodes, edges, findings)):
         columns = sorted(want.columns)
         assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))

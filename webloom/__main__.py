@@ -78,7 +78,7 @@ def main(argv: list[str] | None = None) -> int:
             print("nothing was fetched; not saved", file=sys.stderr)
             return 1
         crawl_id = store.save(result.graph.nodes, result.graph.edges, result.graph.findings, seeds[0], args.label, result.status, seeds)
-        _show(crawl_report(*store.load(crawl_id), store.seeds(crawl_id), {"page limit": result.budget_dropped, "queue limit": result.queue_dropped}))
+        _show(crawl_report(*store.load(crawl_id), store.seeds(crawl_id), {"page limit": result.budget_dropped, "queue limit": result.queue_dropped}).unionByName(store.stats(crawl_id).filter(F.col("what").isin("errors", "blocked"))))
         print(crawl_id)
     elif args.command == "list":
         found = store.list(args.target)
@@ -102,7 +102,9 @@ def main(argv: list[str] | None = None) -> int:
             print(f"tripped: {', '.join(hit)}", file=sys.stderr)
             return 2
     elif args.command == "export":
-        export.export(*store.load(store.resolve(args.ref)), args.format, args.path, args.ref)
+        crawl_id = store.resolve(args.ref)
+        head = store.head(crawl_id)
+        export.export(*store.load(crawl_id), args.format, args.path, head["target"], {**head, "seeds": store.seeds(crawl_id)} if args.format == "html" else head)
     else:
         _show(fingerprint.signatures_by_category(spark).orderBy(F.col("category")))
     return 0

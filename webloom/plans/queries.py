@@ -11,6 +11,7 @@ from webloom.functions import fingerprint, html, js, passive, robots, urls
 from webloom.functions.scope import ScopeRules, path_has_prefix
 from webloom.operators import build, diff, frontier, graph
 from webloom.plans.demo import SITE, TRACES, crawl, crawl_sql, page_urls, table, traces
+from webloom.runtime import scratch_path
 from webloom.sources import export, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -487,3 +488,32 @@ def export_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def target_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = table(spark, sf_dir, "documents").select("source").distinct()
     return targets.select(F.col("source").alias("target"), store.slug(F.concat(F.lit("https://"), F.col("source"), F.lit("/"))).alias("slug"))
+
+
+def _snapshots(spark: SparkSession, sf_dir: str):
+    """The old and the new crawl as two snapshots; what is read back of the new one alone."""
+    folder = scratch_path(spark, "snapshots")
+    for side in ("old", "new"):
+        g = crawl(spark, sf_dir, side)
+        export.write_snapshot(g.nodes, g.edges.withColumn("context", F.lit("")), g.findings, f"{folder}/{side}.snapshot", {"crawl_id": side, "target": SITE, "status": "complete", "seeds": [f"{SITE}/order/1"]})
+    return export.read_graphs(spark, folder, F.col("crawl_id") == "new")
+
+
+_SNAPSHOT = "url, kind, host, depth, external, fetched, status_code, content_type, title, content_hash"
+
+
+@query(f"WITH {crawl_sql('new')} SELECT 'new' AS crawl_id, {_SNAPSHOT}, list_transform(techs, lambda t: t.name || ' ' || t.version)::VARCHAR AS techs FROM nodes")
+def snapshot_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _snapshots(spark, sf_dir)[1]
+    techs = F.concat(F.lit("["), F.array_join(F.transform("techs", lambda t: F.concat_ws(" ", t["name"], t["version"])), ", "), F.lit("]"))
+    return nodes.select("crawl_id", *_SNAPSHOT.split(", "), techs.alias("techs"))
+
+
+@query(f"WITH {crawl_sql('new')}, m AS (SELECT rel, e.src_url, e.dst_url FROM edges e WHERE src_url IN (SELECT url FROM nodes) AND dst_url IN (SELECT url FROM nodes)) SELECT DISTINCT 'new' AS crawl_id, src_url, dst_url, rel, '' AS context FROM m")
+def snapshot_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _snapshots(spark, sf_dir)[2].select("crawl_id", "src_url", "dst_url", "rel", "context")
+
+
+@query(f"WITH {crawl_sql('new')} SELECT 'new' AS crawl_id, url, kind, value, '' AS evidence FROM findings")
+def snapshot_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _snapshots(spark, sf_dir)[3].select("crawl_id", "url", "kind", "value", "evidence")
