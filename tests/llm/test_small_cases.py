@@ -229,3 +229,10 @@ def test_pivots_skip_most_candidates():
     full = x[:40] @ x.T
     np.fill_diagonal(full[:, :40], -(10**9))
     assert scores == [s for row in full for s in sorted(row.tolist(), reverse=True)[:5]]
+
+
+def test_url_rules_of_equal_length_tie_by_name(spark):
+    rules = (urlrules.token_rule("bb", "block", "", "x", ""), urlrules.token_rule("aa", "allow", "", "y", ""), urlrules.token_rule("ccc", "block", "", "z", ""))
+    frame = spark.createDataFrame([(1, "http://h/x/y"), (2, "http://h/y/x/z"), (3, "http://h/x")], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urlrules.filter_urls(frame, rules).collect()}
+    assert got == {1: ("aa", "allow"), 2: ("ccc", "block"), 3: ("bb", "block")}

@@ -74,8 +74,9 @@ def url_path(url: Column) -> Column:
 
 def _rule_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
     """The rules as rows (read from one literal, so that no Python runs on executors and the plan stays small)."""
-    rows = [{"rule": r.name, "rule_verdict": r.verdict, "kind": r.kind, "pattern": r.pattern, "tokens": r.tokens, "rule_id": k} for k, r in enumerate(rules)]
-    schema = "array<struct<rule_id int, rule string, rule_verdict string, kind string, pattern string, tokens array<string>>>"
+    place = {name: -k for k, name in enumerate(sorted({r.name for r in rules}))}
+    rows = [{"rule": r.name, "place": place[r.name], "rule_verdict": r.verdict, "kind": r.kind, "pattern": r.pattern, "tokens": r.tokens, "rule_id": k} for k, r in enumerate(rules)]
+    schema = "array<struct<rule_id int, rule string, place int, rule_verdict string, kind string, pattern string, tokens array<string>>>"
     return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), schema)).alias("r")).select("r.*")
 
 
@@ -88,7 +89,7 @@ def filter_urls(
     URLs hold. The distinct tokens of a URL (runs of [a-z0-9] of the lower-cased
     text) fetch candidate rules, and only those run their regular expressions.
     Rules of kind host come before those of kind url; among them the longest
-    name wins, then the smaller name. rule is null and the verdict the default
+    name wins, then the smaller name (of equal names, block). rule is null and the verdict the default
     where none matches.
 
     A null URL, and one without `://`, has empty host and path, so no host rule
@@ -108,15 +109,15 @@ def filter_urls(
     seen = pages.select(F.explode(tokens).alias("token")).join(hint(used), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     choice = table.select("rule_id", F.explode_outer("tokens").alias("token")).join(seen, "token", "left")
     rarest = choice.groupBy("rule_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), F.coalesce("token", F.lit(ANY)))).getField("col2").alias("token"))
-    index = materialize(table.join(rarest, "rule_id").select("token", "rule", "rule_verdict", "kind", "pattern"), "rules")
+    index = materialize(table.join(rarest, "rule_id").select("token", "rule", "place", "rule_verdict", "kind", "pattern"), "rules")
 
     lowered = F.translate(F.coalesce(F.col("url"), F.lit("")), UPPER, LOWER)
     tokens = F.concat(F.array_distinct(F.filter(F.split(lowered, "[^a-z0-9]+"), lambda t: t != "")), F.array(F.lit(ANY)))
     fetched = rows.withColumn("token", F.explode(tokens)).join(hint(index), "token", "left")
     key = F.when(F.col("kind") == "host", F.concat("host", "path")).otherwise(lowered)
     hit = F.col("pattern").isNotNull() & F.call_function("rlike", key, F.col("pattern"))
-    # the best rule is the largest: host rules first, then the longest; the negated name breaks ties by the smaller
-    rank = F.struct((F.col("kind") == "host").alias("h"), F.length("rule").alias("n"), F.col("rule"), F.col("rule_verdict"), F.col("kind"))
+    # the best rule is the largest: host rules first, then the longest; places fall as names rise, so the smaller name breaks ties
+    rank = F.struct((F.col("kind") == "host").alias("h"), F.length("rule").alias("n"), F.col("place"), F.col("rule_verdict"), F.col("rule"), F.col("kind"))
     best = fetched.groupBy("_row", "page_id", "url", "host", "path").agg(F.max(F.when(hit, rank)).alias("best"))
     return best.select(
         "page_id", "url", "host", "path", F.col("best.rule").alias("rule"), F.col("best.kind").alias("rule_kind"),
