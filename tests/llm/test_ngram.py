@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from webloom.llm import ngram
@@ -88,3 +89,12 @@ def test_common_contexts_null_ids_and_other_columns(spark, monkeypatch):
         assert math.isclose(r["score"], sum(math.log10(p(tuple(x[k - 2 : k + 1]))) for k in range(2, len(x))), rel_tol=1e-9)
         assert r["doc_id"] is not None or not r["held_out"]
     assert got.count() == len(rows)
+
+
+def test_short_contexts_differ_within_a_bucket():
+    """A bucket's contexts share their hashes' first bits; what is kept of them does not."""
+    hashes = (np.uint64(0xABC) << np.uint64(52)) | (np.random.default_rng(1).integers(0, 1 << 52, 50_000, dtype=np.uint64))
+    assert len(np.unique(ngram._bucket(hashes, 4096))) == 1
+    kept = ngram._short(hashes)
+    top = np.bincount((kept >> np.uint64(56)).astype(np.int64), minlength=256)
+    assert top.min() > 100 and len(np.unique(kept)) == 50_000 and not (kept & ngram.TAIL_MASK).any()

@@ -85,6 +85,11 @@ def _routes(columns: list[np.ndarray], common: Common) -> tuple[np.ndarray, np.n
     return contexts, routes, often
 
 
+def _short(hashes: np.ndarray) -> np.ndarray:
+    """The top bits of hashes mixed once more: within a bucket, a range of hashes, they are as different as anywhere."""
+    return (mix(hashes ^ U64(0x5851F42D4C957F2D)) >> TAIL) << TAIL
+
+
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Buckets are ranges of hashes."""
     return (((hashes >> U64(32)) * U64(buckets)) >> U64(32)).astype(np.int64)
@@ -414,13 +419,15 @@ def _arrays(columns: list[np.ndarray], counts: np.ndarray, common: Common) -> tu
     by = np.argsort(grams)
     arrays = {"often": grams[by], **_short_counts(counts[often][by], "often_count")}
     once = (size == 1) & (totals == 1) & ~shared
-    arrays["once"] = np.sort(((head[once] >> TAIL) << TAIL) | (columns[-1][at[once]] & TAIL_MASK))
+    arrays["once"] = np.sort(_short(head[once]) | (columns[-1][at[once]] & TAIL_MASK))
     rest = np.flatnonzero(~once & ~shared)
     rest = rest[np.argsort(head[rest])]
     arrays |= {"contexts": head[rest], **{n: _smallest(x[rest]) for n, x in (("totals", totals), ("ones", ones), ("twos", twos))}}
     arrays["starts"] = np.concatenate([[0], np.cumsum(size[rest])]).astype(np.uint32)
     # rows of the contexts in their new order, by the low half of their last words
     row = np.repeat(at[rest] - arrays["starts"][:-1], size[rest]) + np.arange(int(size[rest].sum()))
+    if len(row) and int(columns[-1][row].max()) >> 32:
+        raise OverflowError("more than 2**32 different words: followers are kept as 32-bit numbers")
     last = columns[-1][row].astype(np.uint32)
     by = np.lexsort((last, np.repeat(np.arange(len(rest)), size[rest])))
     return arrays | {"last": last[by], **_short_counts(counts[row[by]])}, sums
@@ -551,8 +558,9 @@ def _lookup(model: Model, level: int, columns: list[np.ndarray]) -> tuple[np.nda
         own[shared[hit]] = _counts(file, at, "often_count")
         rows = rows[~often[rows]]
         head, once = contexts[rows], file["once"]
-        at = np.searchsorted(once, (head >> TAIL) << TAIL)
-        hit = np.flatnonzero(once[np.minimum(at, len(once) - 1)] >> TAIL == head >> TAIL) if len(once) else np.zeros(0, np.int64)
+        short = _short(head)
+        at = np.searchsorted(once, short)
+        hit = np.flatnonzero(once[np.minimum(at, len(once) - 1)] >> TAIL == short >> TAIL) if len(once) else np.zeros(0, np.int64)
         own[rows[hit]] = once[at[hit]] & TAIL_MASK == columns[-1][rows[hit]] & TAIL_MASK
         sums[rows[hit]] = (1, 1, 0, 0)
         hit, at = _place(file["contexts"], head)
