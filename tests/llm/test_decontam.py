@@ -57,15 +57,16 @@ def test_leaks(spark):
 
 def test_scores_do_not_depend_on_the_number_of_indexes(spark, monkeypatch):
     rng = random.Random(3)
-    items = texts(rng, 50, 25) + texts(rng, 10, 150)
+    items = texts(rng, 40, 25) + [t for n in (66, 70, 81, 96, 100, 115, 127, 128, 129, 150) for t in texts(rng, 2, n)]
     docs = spark.createDataFrame([(i, " ".join(texts(rng, 1, 60) + [t] + texts(rng, 1, 60))) for i, t in enumerate(items)], "doc_id long, text string")
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     one = sorted(map(tuple, decontam.find_leaks(docs, bench).collect()))
-    monkeypatch.setattr(decontam, "MAX_ITEMS", 7)
     monkeypatch.setattr(decontam, "CELLS", 10)
-    many = sorted(map(tuple, decontam.find_leaks(docs, bench).collect()))
+    for most in (1, 7):
+        monkeypatch.setattr(decontam, "MAX_ITEMS", most)
+        many = sorted(map(tuple, decontam.find_leaks(docs, bench).collect()))
+        assert [r[:2] for r in one] == [r[:2] for r in many] and np.allclose([r[2:] for r in one], [r[2:] for r in many])
     assert [r[:2] for r in one] == [r[:2] for r in many] and {(i, i) for i in range(60)} <= {r[:2] for r in one}
-    assert np.allclose([r[2:] for r in one], [r[2:] for r in many])
 
 
 def test_leaks_are_those_of_brute_force(spark):

@@ -88,8 +88,8 @@ class Index:
     stride: int
 
     @classmethod
-    def build(cls, ids: list[int], texts: list[str], stats: Stats | None = None) -> Index | None:
-        """None if no item has SHINGLE words or more. Without stats of a larger set, those of the texts are taken."""
+    def build(cls, ids: list[int], texts: list[str], stats: Stats | None = None, stride: int | None = None) -> Index | None:
+        """None if no item has SHINGLE words or more. Without stats of a larger set, those of the texts are taken, and the longest item for stride."""
         parts = [split_item(t) for t in texts]
         full, question, answer = (_hashes(x) for x in (texts, [p[0] for p in parts], [p[1] for p in parts]))
         usable = [i for i, h in enumerate(full) if len(h) >= SHINGLE]
@@ -131,7 +131,7 @@ class Index:
         return cls(
             np.array([ids[usable[i]] for i in order]), term, most, np.searchsorted(key // blocks, each), key % blocks, top,
             np.searchsorted(of, each), item, impact, [np.unique(shingles(questions[i], SHINGLE)) for i in order], [answers[i] for i in order],
-            max(64, int(lengths.max())),
+            stride or max(64, int(lengths.max())),
         )
 
     def retrieve(self, words: Words, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -203,7 +203,7 @@ def build_indexes(items: DataFrame) -> list[str]:
     """Write indexes of all items (item_id, item) of SHINGLE words or more into the shared folder; their paths.
 
     The paths are one for MAX_ITEMS items and length class (powers of two from
-    64 words on), since passages are twice as long as the longest item of an index.
+    64 words on), since passages are twice as long as the class allows its items to be.
     """
     spark = items.sparkSession
     small_batches(spark)
@@ -224,7 +224,9 @@ def build_indexes(items: DataFrame) -> list[str]:
         order = np.argsort(known)
         left = left.sort_by([("item_id", "ascending"), ("item", "ascending")])
         stats = Stats(about["n"], about["length"], known[order], right.column("df").to_numpy()[order])
-        index = Index.build(left.column("item_id").to_pylist(), left.column("item").to_pylist(), stats)
+        # passages are as long as the length class says, whichever of its items are in this index
+        stride = 2 ** (left.column("chunk")[0].as_py() // chunks)
+        index = Index.build(left.column("item_id").to_pylist(), left.column("item").to_pylist(), stats, stride)
         system, base = fs.FileSystem.from_uri(folder)
         system.create_dir(base, recursive=True)
         name = uuid.uuid4().hex
