@@ -21,6 +21,8 @@ and no fault.
 
 from __future__ import annotations
 
+import json
+import os
 import struct
 import uuid
 import zlib
@@ -45,7 +47,7 @@ BLOCK = 1 << 16
 #: Ids in a file, about: a file ends with the document that reaches this many.
 FILE_IDS = 1 << 26
 #: Encoded words that a worker remembers (twice as many at most).
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 _TAIL = struct.Struct("<5Q8s")
 
 
@@ -182,11 +184,24 @@ class Reader:
 
 @lru_cache(maxsize=2)
 def _tokenizer(definition: str):
+    # a task has one core; threads of the library would only wait for each other
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     return Tokenizer.from_str(definition)
 
 
+@lru_cache(maxsize=2)
+def _word_ends(definition: str) -> np.ndarray | None:
+    """Which ids end a word, for tokenizers whose ids say so."""
+    model = json.loads(definition)["model"]
+    if not model.get("end_of_word_suffix"):
+        return None
+    found = np.zeros(_tokenizer(definition).get_vocab_size(with_added_tokens=True), dtype=bool)
+    found[[i for token, i in model["vocab"].items() if token.endswith(model["end_of_word_suffix"])]] = True
+    return found
+
+
 class _Encoder:
     """Ids of texts, by way of their words: each word is encoded once and remembered.
 
@@ -197,19 +212,40 @@ class _Encoder:
 
     def __init__(self, definition: str) -> None:
         self.tokenizer = _tokenizer(definition)
+        self.ends = _word_ends(definition)
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [np.array(ids, dtype="<u4").tobytes() for ids in self._encode(words)]
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        """Encode words of letters as one text, which is cheaper, and cut its ids where words end.
+
+        Each word ends at least once, so as many ends as words are one for each; else the words are encoded one by one.
+        """
+        if self.ends is None:
+            return self._each(words)
+        ids = np.array(self._encode([" ".join(words)])[0], dtype="<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(words) or stops[-1] != len(ids):
+            return self._each(words)
+        raw, places = ids.tobytes(), [0, *(4 * stops).tolist()]
+        return [raw[a:b] for a, b in zip(places[:-1], places[1:], strict=True)]
+
     def _look_up(self, words: list[str]) -> list[bytes]:
         found = [self.new.get(w) or self.old.get(w) for w in words]
         missing = [i for i, ids in enumerate(found) if ids is None]
-        for at in range(0, len(missing), 10_000):
-            some = missing[at : at + 10_000]
-            for i, ids in zip(some, self._encode([words[i] for i in some]), strict=True):
-                found[i] = self.new[words[i]] = np.array(ids, dtype="<u4").tobytes()
+        letters = [i for i in missing if words[i].isalpha()]
+        others = [i for i in missing if not words[i].isalpha()]
+        for some, encode in ((letters, self._together), (others, self._each)):
+            for at in range(0, len(some), 2000):
+                part = some[at : at + 2000]
+                for i, ids in zip(part, encode([words[i] for i in part]), strict=True):
+                    found[i] = self.new[words[i]] = ids
         if len(self.new) >= REMEMBERED:
             self.old, self.new = self.new, {}
         return found
