@@ -47,12 +47,38 @@ def rule_regex(pattern: Column) -> Column:
     return F.concat(F.lit("^"), F.replace(quoted, F.lit("*"), F.lit(".*")), F.when(pattern.endswith("$"), F.lit("$")).otherwise(F.lit("")))
 
 
+def literal_prefix(pattern: Column) -> Column:
+    """What every matching path begins with: the pattern up to its first `*` or its final `$`."""
+    return F.regexp_extract(pattern, r"^([^*]*?)(?:\*.*|\$)?$", 1)
+
+
+def rule_candidates(pairs: DataFrame, rules: DataFrame) -> DataFrame:
+    """(_ro_origin, _ro_path, n, ok, regex): the rules that a path may match, by their literal prefixes.
+
+    Rules without `*` and `$` are one row for each prefix of an origin (allow wins)
+    and have no regex: their prefix decides. A path looks up its own beginnings,
+    of the lengths that its origin's rules have, by equality; so it meets a row
+    for each length at most, and rules with `*` or `$` only where their prefix fits.
+    """
+    r = rules.filter(F.col("kind").isin("allow", "disallow")).select(
+        F.col("origin").alias("_ru_origin"), literal_prefix(F.col("value")).alias("_ru_prefix"), F.length("value").alias("n"), (F.col("kind") == "allow").alias("ok"), "value"
+    )
+    regex = F.when(F.col("value") != F.col("_ru_prefix"), rule_regex(F.col("value"))).alias("regex")
+    r = r.groupBy("_ru_origin", "_ru_prefix", "n", regex).agg(F.max("ok").alias("ok"))
+    # an origin has as many lengths as its longest rule has characters, at most
+    lengths = r.groupBy(F.col("_ru_origin").alias("_le_origin")).agg(F.collect_set(F.length("_ru_prefix")).alias("_lengths"))
+    begun = pairs.join(lengths, F.col("_ro_origin") == F.col("_le_origin"))
+    fitting = F.filter("_lengths", lambda n: n <= F.length("_ro_path"))
+    begun = begun.withColumn("_length", F.explode(fitting)).withColumn("_prefix", F.expr("substring(_ro_path, 1, _length)"))
+    found = begun.join(r, (F.col("_ro_origin") == F.col("_ru_origin")) & (F.col("_prefix") == F.col("_ru_prefix")))
+    return found.select("_ro_origin", "_ro_path", "n", "ok", "regex")
+
+
 def robots_allowed(urls: DataFrame, rules: DataFrame, origin_col: str = "origin", path_col: str = "path") -> DataFrame:
     """urls with a column allowed: by the longest matching rule, allow at equal length; true where none matches."""
     pairs = urls.select(F.col(origin_col).alias("_ro_origin"), F.col(path_col).alias("_ro_path")).distinct()
-    r = rules.filter(F.col("kind").isin("allow", "disallow")).select(F.col("origin").alias("_ru_origin"), F.col("kind").alias("_ru_kind"), F.col("value").alias("_ru_value"), rule_regex(F.col("value")).alias("_ru_regex"))
-    hit = F.call_function("rlike", F.col("_ro_path"), F.col("_ru_regex"))
-    best = F.max(F.when(hit, F.struct(F.length("_ru_value").alias("n"), (F.col("_ru_kind") == "allow").alias("ok"))))
-    verdict = pairs.join(r, F.col("_ro_origin") == F.col("_ru_origin")).groupBy("_ro_origin", "_ro_path").agg(best.alias("_ro_best"))
+    hit = F.col("regex").isNull() | F.call_function("rlike", F.col("_ro_path"), F.col("regex"))
+    best = F.max(F.when(hit, F.struct("n", "ok")))
+    verdict = rule_candidates(pairs, rules).groupBy("_ro_origin", "_ro_path").agg(best.alias("_ro_best"))
     joined = urls.join(verdict, (urls[origin_col] == verdict["_ro_origin"]) & (urls[path_col] == verdict["_ro_path"]), "left")
     return joined.select(*[urls[c] for c in urls.columns], F.coalesce("_ro_best.ok", F.lit(True)).alias("allowed"))
