@@ -149,3 +149,20 @@ def test_counts_come_from_the_jobs_that_write(spark, tables, tmp_path):
     assert got == {"nodes": 6, "edges": 2, "findings": 0, "pages": 3, "errors": 1, "blocked": 1, "external": 1, "status 200": 2, "status 404": 1}
     head = store.head(crawl_id)
     assert head["target"] == "https://a.test/" and head["finished_at"].replace(tzinfo=timezone.utc) == WHEN
+
+
+def test_rule_counts_come_with_the_written_diff(spark, tmp_path):
+    from webloom.operators import diff
+    from webloom.plans.demo import crawl
+
+    sf = "/root/testdata/sf0.001"
+    for options in (diff.DiffOptions(), diff.DiffOptions(ignore_findings=True)):
+        changes = diff.diff(crawl(spark, sf, "old"), crawl(spark, sf, "new"), options)
+        path = f"{tmp_path}/{options.ignore_findings}"
+        spark.sparkContext.setJobGroup("diff", "diff")
+        try:
+            got = diff.write_diff(changes, path)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert got == {r["rule"]: r["n"] for r in diff.rule_counts(changes).collect()} and got["any"] > 0
+        assert spark.read.parquet(f"{path}/changed").count() == got["changed"] and sorted(os.listdir(path)) == sorted(changes)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from webloom.operators.graph import external_hosts
@@ -153,6 +153,36 @@ def rule_counts(changes: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def write_diff(changes: dict[str, DataFrame], path: str) -> dict[str, int]:
+    """Write each class of change as a table below path; the rule counts, taken while they are written.
+
+    A class costs one job, whatever is counted of it; rule_counts() would compute
+    each class once more for its counts. A class that has no rows makes a table
+    without rows. An existing path is an error.
+    """
+    n = F.count(F.lit(1))
+    more = {
+        "restructured": {"out": F.count_if(F.expr("added_out > 0 or removed_out > 0"))},
+        "appeared_findings": {"secret": F.count_if(F.coalesce(F.col("kind"), F.lit("")).contains("secret"))},
+    }
+    seen: dict[str, dict[str, int]] = {}
+    for name, df in changes.items():
+        counts = Observation()
+        df.observe(counts, n.alias("n"), *[c.alias(k) for k, c in more.get(name, {}).items()]).write.parquet(f"{path.rstrip('/')}/{name}")
+        seen[name] = counts.get
+    of = lambda name, what="n": seen.get(name, {}).get(what, 0)
+    return {
+        "new-external-host": of("appeared_hosts"),
+        "new-secret": of("appeared_findings", "secret"),
+        "new-finding": of("appeared_findings"),
+        "appeared": of("appeared"),
+        "disappeared": of("disappeared"),
+        "changed": of("changed"),
+        "restructured": of("restructured", "out"),
+        "any": sum(of(c) for c in ("appeared", "disappeared", "changed", "appeared_edges", "disappeared_edges", "appeared_findings", "disappeared_findings")),
+    }
+
+
 def parse_rules(text: str) -> tuple[str, ...]:
     """A comma list of rules, in any case; ValueError for an unknown one."""
     names = tuple(p.strip().lower() for p in text.split(",") if p.strip())

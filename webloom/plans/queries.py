@@ -517,3 +517,23 @@ def snapshot_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {crawl_sql('new')} SELECT 'new' AS crawl_id, url, kind, value, '' AS evidence FROM findings")
 def snapshot_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _snapshots(spark, sf_dir)[3].select("crawl_id", "url", "kind", "value", "evidence")
+
+
+@query(f"""WITH {crawl_sql('new')} SELECT 'nodes' AS what, count(*) AS n FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'findings', count(*) FROM findings
+    UNION ALL SELECT 'pages', count(*) FROM nodes WHERE fetched UNION ALL SELECT 'errors', 0 UNION ALL SELECT 'blocked', 0 UNION ALL SELECT 'external', count(*) FROM nodes WHERE external
+    UNION ALL SELECT 'status ' || status_code, count(*) FROM nodes WHERE fetched GROUP BY status_code""")
+def store_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl saved in a store: the counts that were taken while it was written, as its commit has them."""
+    g = crawl(spark, sf_dir, "new")
+    kept = store.Store(spark, scratch_path(spark, "store"))
+    return kept.stats(kept.save(g.nodes.drop("techs"), g.edges, g.findings, SITE))
+
+
+@query(f"WITH {crawl_sql('new')} SELECT url, kind, value FROM findings")
+def store_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings of the newest of two crawls of a store, by reference."""
+    kept = store.Store(spark, scratch_path(spark, "store"))
+    for side in ("old", "new"):
+        g = crawl(spark, sf_dir, side)
+        kept.save(g.nodes.drop("techs"), g.edges, g.findings, SITE, side)
+    return kept.load(kept.resolve("latest:shop"))[2].select("url", "kind", "value")
