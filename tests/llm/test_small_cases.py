@@ -68,6 +68,29 @@ def test_mix(spark):
     assert mixing.mix_sources(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+
+@pytest.mark.parametrize("seed", [1, 20240607])
+def test_mix_closes_the_gap_of_small_sources(spark, seed):
+    """Sources of few documents end within 1% of their targets, or a smallest document, of the best that whole documents can reach."""
+    rng = random.Random(seed)
+    rows = []
+    for source in range(12):
+        sizes = [rng.choice([3, 40, 400, 4000]) + rng.randrange(40) for _ in range(6 + 4 * source)]
+        rows += [(len(rows) + i, "w " * n, f"s{source:02}") for i, n in enumerate(sizes)]
+    got, sizes, target = {}, {}, {}
+    for r in mixing.mix_sources(spark.createDataFrame(rows, SCHEMA), weights=(3, 5, 2), share=0.95, max_repeat=1.4, seed=seed).collect():
+        got[r["source"]] = got.get(r["source"], 0) + r["taken"]
+        sizes.setdefault(r["source"], []).append(r["size"])
+        target[r["source"]] = r["target"]
+    for s, t in target.items():
+        certain = math.floor(t / sum(sizes[s])) * sum(sizes[s])
+        sums = 1  # bit n: some of the documents have n words together
+        for n in sizes[s]:
+            sums |= sums << n
+        best = certain + (sums & ((1 << (math.floor(t - certain) + 1)) - 1)).bit_length() - 1
+        assert got[s] <= t and best - got[s] <= max(0.01 * t, min(sizes[s])), s
+
+
 def test_drawn_documents_are_the_least_of_their_class_and_rates_are_the_chances(spark):
     rng = random.Random(7)
     rows = [(i, " ".join(["w"] * rng.choice([10, 11, 40, 45, 47, 300])), rng.choice("ab")) for i in range(240)]

@@ -9,7 +9,8 @@ documents of the least u / (1 - u) over these odds, for a random u, are drawn.
 The numbers are such that the words drawn are expected to be the share left, and
 are rounded so that what one class lacks goes to the next. What the draw still
 misses of the target is made up in the same order: drawn documents stop at the
-target, and in further passes others fill the gap where they fit.
+target, and in further passes others fill the gap where they fit; where none
+does, a larger one is taken and small ones are given back for it.
 """
 
 from __future__ import annotations
@@ -67,12 +68,15 @@ def mix_sources(
     source_col: str = "source",
     seed: int = 20240607,
     fill_passes: int = 3,
+    swaps: int = 2,
+    tolerance: float = 0.0025,
 ) -> DataFrame:
     """How many copies of each document a mix takes, so that each source nears its target of words.
 
     Returns doc_id, size, source, source_size, target, chance (of being drawn
     beyond the certain copies, null where nothing is), drawn, copies and taken
-    (size times copies), a row per input row. No source exceeds its target. The
+    (size times copies), a row per input row. No source exceeds its target; one
+    that is within `tolerance` of it gets no more passes. The
     same input gives the same mix: u is a hash of the seed, the id and the text.
 
     Null and empty texts have size 0 and are never taken more than the certain
@@ -82,7 +86,7 @@ def mix_sources(
     Other columns are not read.
     """
     sized = materialize(_sized(docs, id_col, text_col, source_col), "sized")
-    plan = _plan(sized, weights, share, max_repeat, seed, fill_passes)
+    plan = _plan(sized, weights, share, max_repeat, seed, fill_passes, swaps, tolerance)
     rows = _copies(sized, plan, seed)
     copies = F.col("copies").cast("long")
     return rows.select("doc_id", "size", "source", "source_size", "target", "chance", "drawn", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
@@ -118,7 +122,7 @@ def _pareto(seed: int) -> Column:
     return (u / (1 - u)) / (F.col("odds") * F.col("words") / F.col("mean"))
 
 
-def _plan(sized: DataFrame, weights: tuple[float, ...], share: float, max_repeat: float, seed: int, fill_passes: int) -> Plan:
+def _plan(sized: DataFrame, weights: tuple[float, ...], share: float, max_repeat: float, seed: int, fill_passes: int, swaps: int, tolerance: float) -> Plan:
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_repeat)
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     targets = targets.withColumn("certain", F.floor(expected)).withColumn("part", expected - F.col("certain"))
@@ -137,33 +141,77 @@ def _plan(sized: DataFrame, weights: tuple[float, ...], share: float, max_repeat
     odds = (F.col("draws") + 0.5) / (F.col("count") - F.col("draws") + 0.5)
     classes = materialize(sizes.select(F.col("rank").alias("_rank"), F.col("from_top").alias("_from_top"), "draws", odds.alias("odds"), (F.col("sum") / F.col("count")).alias("mean")), "classes")
 
-    rows = units.join(targets.filter("part > 0").select("_source", "rank", "room"), F.col("source").eqNullSafe(F.col("_source")))
-    rows = rows.join(classes, (F.col("rank") == F.col("_rank")) & (F.col("from_top") == F.col("_from_top"))).withColumn("pareto", _pareto(seed)).select("rank", *KEY, "words", "draws", "room")
+    rows = units.join(targets.filter("part > 0").select("_source", "rank"), F.col("source").eqNullSafe(F.col("_source")))
+    rows = rows.join(classes, (F.col("rank") == F.col("_rank")) & (F.col("from_top") == F.col("_from_top"))).withColumn("pareto", _pareto(seed)).select("rank", *KEY, "words", "draws")
     order = [F.col("rank"), *map(F.col, KEY)]
     ranked = running_totals(range_parts(rows, order, "pareto"), order, {"nth": F.lit(1).cast("long")}, within=["rank", "from_top"])
-    parts = ranked.withColumn("drawn", F.col("nth") <= F.col("draws")).withColumn("extra", F.lit(0)).drop("nth", "draws")
+    parts = ranked.withColumn("drawn", F.col("nth") <= F.col("draws")).drop("nth", "draws")
     parts = range_parts(parts, order, "drawn")
     key = F.struct(*KEY)
     last = parts.filter("drawn").groupBy(F.col("rank").alias("_rank"), F.col("from_top").alias("_from_top")).agg(F.max(key).alias("last"))
     last = materialize(last, "last")
     classes = classes.join(last.withColumnsRenamed({"_rank": "_r", "_from_top": "_f"}), (F.col("_rank") == F.col("_r")) & (F.col("_from_top") == F.col("_f")), "left").drop("_r", "_f")
 
-    passes = targets.filter("part > 0").select(F.col("rank").alias("_rank"))
-    for k in range(1 + fill_passes):
-        # drawn ones first; then those that the gap can hold
-        open_ = (F.col("extra") == 0) & (F.col("words") <= F.col("room")) & (F.col("drawn") if k == 0 else F.lit(True))
-        run = running_totals(parts, order, {"upto": F.when(open_, F.col("words")).otherwise(F.lit(0))}, within=["rank"])
-        now = open_ & (F.col("upto") <= F.col("room"))
-        taken = materialize(run.withColumn("now", now).withColumn("extra", F.when(F.col("now"), 1).otherwise(F.col("extra"))).drop("upto"), "mix")
-        cut = F.max(F.when(F.col("now"), key))
-        got = taken.groupBy(F.col("rank").alias("_got")).agg(F.sum(F.when(F.col("now"), F.col("words")).otherwise(0)).alias("got"), F.struct(F.max("room").alias("room"), cut.alias("cut")).alias(f"pass{k}"))
-        got = materialize(got, "got")
-        parts = taken.join(got, taken["rank"] == got["_got"]).withColumn("room", F.col("room") - F.col("got")).select(*parts.columns)
-        passes = passes.join(got.drop("got"), passes["_rank"] == got["_got"], "left").drop("_got")
-    passes = materialize(passes.select(F.col("_rank").alias("_pass_rank"), F.array(*[f"pass{k}" for k in range(1 + fill_passes)]).alias("passes")), "passes")
+    passes = _passes(parts, order, targets.filter("part > 0"), fill_passes, swaps, tolerance)
     return Plan(targets, materialize(classes, "classes"), passes, repeats)
 
 
+#: A pass sets `taken` to add for rows of up to `room` words whose keys lie between least (null: from the first) and cut.
+def _taken(passes: Column) -> Column:
+    """Whether a row is taken after these passes; the first one is for drawn rows only."""
+    key = F.struct(*KEY)
+    inside = lambda p: (F.col("words") <= p["room"]) & (key <= p["cut"]) & F.coalesce(p["least"] <= key, F.lit(True))
+    first = F.coalesce(F.col("drawn") & inside(F.get(passes, 0)), F.lit(False))
+    return F.aggregate(F.slice(passes, 2, 1000), first, lambda x, p: F.when(inside(p), p["add"]).otherwise(x))
+
+
+def _passes(parts: DataFrame, order: list[Column], targets: DataFrame, fill_passes: int, swaps: int, tolerance: float) -> DataFrame:
+    """(_pass_rank, passes): a row a source, the passes that bring it nearest to its target from below.
+
+    Drawn rows are taken up to the target, then others that the gap can hold.
+    Where a gap of more than the tolerance stays, since all that is left is
+    larger, the smallest of these is taken as well, and rows that make up what is
+    then too much are given back: as many as fit, then the smallest that covers
+    the rest; and what fits is filled in again. Of all states, each source keeps
+    that with the least gap. Rows are read anew in each pass, for sources that
+    are still apart from their targets; only a row a source is written.
+    """
+    key = F.struct(*KEY)
+    kind = parts.select(key.alias("k")).schema["k"].dataType.simpleString()
+    entry = f"struct<add:boolean,least:{kind},cut:{kind},room:double>"
+    state = targets.select(F.col("rank").alias("_pass_rank"), F.col("room").cast("double").alias("gap"), (F.col("target") * tolerance).alias("close"), F.lit(None).cast(f"array<{entry}>").alias("passes"))
+    state = state.withColumns({"passes": F.coalesce("passes", F.array().cast(f"array<{entry}>")), "best": F.col("gap"), "best_passes": F.array().cast(f"array<{entry}>")})
+    fill = ["fill"] * fill_passes
+    for step in ["draw", *fill, *(["over", "trim", "trim", "last", *fill] * swaps)]:
+        wanted = F.col("gap") < 0 if step in ("trim", "last") else (F.col("gap") > 0 if step == "draw" else F.col("gap") > F.col("close"))
+        if not state.filter(wanted).limit(1).count():
+            continue
+        rows = parts.join(state.filter(wanted).select("_pass_rank", "gap", "passes"), F.col("rank") == F.col("_pass_rank")).withColumn("taken", _taken(F.col("passes")))
+        back = step in ("trim", "last")
+        free, apart = F.col("taken") if back else ~F.col("taken"), F.abs("gap")
+        if step in ("over", "last"):
+            fits = free & (F.col("words") >= apart)
+            one = F.min(F.when(fits, F.struct("words", key.alias("key"))))
+            got = rows.groupBy(F.col("rank").alias("_got")).agg(one.alias("one")).filter("one is not null")
+            got = got.select("_got", F.col("one.words").alias("got"), F.col("one.key").alias("least"), F.col("one.key").alias("cut"), F.col("one.words").cast("double").alias("room"))
+        else:
+            fits = free & (F.col("words") <= apart)
+            fits = fits & F.col("drawn") if step == "draw" else fits
+            run = running_totals(rows.withColumn("fits", fits), order, {"upto": F.when(F.col("fits"), F.col("words")).otherwise(F.lit(0))}, within=["rank"])
+            now = F.col("fits") & (F.col("upto") <= apart)
+            got = run.groupBy(F.col("rank").alias("_got")).agg(F.sum(F.when(now, F.col("words"))).alias("got"), F.max(F.when(now, key)).alias("cut"), F.max(apart).alias("room"))
+            got = got.select("_got", "got", F.lit(None).cast(kind).alias("least"), "cut", "room")
+        one = F.struct(F.lit(not back).alias("add"), "least", "cut", "room").cast(entry)
+        state = state.join(got, F.col("_pass_rank") == F.col("_got"), "left")
+        # a source that is not part of a pass has an entry too, which no row fits
+        state = state.withColumn("passes", F.concat("passes", F.array(F.coalesce(F.when(F.col("_got").isNotNull(), one), F.lit(None).cast(entry)))))
+        state = state.withColumn("gap", F.col("gap") + F.coalesce("got", F.lit(0)) * (1 if back else -1))
+        better = (F.col("gap") >= 0) & ((F.col("gap") < F.col("best")) | (F.size("best_passes") == 0))
+        state = state.withColumns({"best_passes": F.when(better, F.col("passes")).otherwise(F.col("best_passes")), "best": F.when(better, F.col("gap")).otherwise(F.col("best"))})
+        state = materialize(state.select("_pass_rank", "gap", "close", "passes", "best", "best_passes"), "passes")
+    return materialize(state.select("_pass_rank", F.col("best_passes").alias("passes")), "passes")
+
+
 def _copies(rows: DataFrame, plan: Plan, seed: int) -> DataFrame:
     """rows with ROW's columns, and source_size, target, chance, drawn and copies by a plan: nothing is shuffled by document."""
     found = rows.withColumn("n", F.lit(1).cast("long"))
@@ -171,16 +219,14 @@ def _copies(rows: DataFrame, plan: Plan, seed: int) -> DataFrame:
         same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ROW[1:]]
         found = rows.join(plan.repeats.withColumnRenamed("_source", "_s"), same[0] & same[1] & same[2] & F.col("source").eqNullSafe(F.col("_s")), "left")
     found = found.withColumn("words", F.col("size") * F.coalesce("n", F.lit(1))).withColumn("from_top", F.when(F.col("size") > 0, _class(F.col("words"))))
-    found = found.join(plan.targets, F.col("source").eqNullSafe(F.col("_source"))).withColumnRenamed("room", "_room")
+    found = found.join(plan.targets, F.col("source").eqNullSafe(F.col("_source"))).drop("room")
     found = found.join(plan.classes, (F.col("rank") == F.col("_rank")) & (F.col("from_top") == F.col("_from_top")), "left")
     found = found.join(plan.passes, F.col("rank") == F.col("_pass_rank"), "left").withColumn("pareto", _pareto(seed))
     key = F.struct(*KEY)
-    drawn = F.coalesce(key <= F.col("last"), F.lit(False))
-    fits = lambda p: F.coalesce((F.col("words") <= p["room"]) & (key <= p["cut"]), F.lit(False))
-    first = F.get("passes", 0)
-    extra = F.coalesce((drawn & fits(first)) | F.exists(F.slice("passes", 2, 1000), fits), F.lit(False))
+    found = found.withColumn("drawn", F.coalesce(key <= F.col("last"), F.lit(False)))
+    extra = F.coalesce((F.col("size") > 0) & _taken(F.col("passes")), F.lit(False))
     chance = F.col("odds") * F.col("words") / F.col("mean")
-    out = found.withColumn("copies", (F.col("certain") + extra.cast("int")).cast("int")).withColumn("drawn", drawn & (F.col("size") > 0)).withColumn("chance", chance / (1 + chance))
+    out = found.withColumn("copies", (F.col("certain") + extra.cast("int")).cast("int")).withColumn("drawn", F.col("drawn") & (F.col("size") > 0)).withColumn("chance", chance / (1 + chance))
     return out.select(*rows.columns, "source_size", "target", "chance", "drawn", "copies")
 
 
@@ -194,6 +240,8 @@ def take_mix(
     source_col: str = "source",
     seed: int = 20240607,
     fill_passes: int = 3,
+    swaps: int = 2,
+    tolerance: float = 0.0025,
 ) -> DataFrame:
     """The documents of a mix: each row of docs as often as mix_sources() says, in the columns of docs.
 
@@ -201,7 +249,7 @@ def take_mix(
     documents meet by source; only texts that are repeated are looked up by row.
     """
     sized = materialize(_sized(docs, id_col, text_col, source_col), "sized")
-    plan = _plan(sized, weights, share, max_repeat, seed, fill_passes)
+    plan = _plan(sized, weights, share, max_repeat, seed, fill_passes, swaps, tolerance)
     keyed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_whole"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("same"))
     held = _copies(keyed, plan, seed).filter("copies > 0")
     return held.select("_whole", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_whole.*")
