@@ -42,3 +42,25 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
                 current.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
             )
         seen = mark
+
+
+def grow_components(known: DataFrame, edges: DataFrame, src: str = "src", dst: str = "dst") -> tuple[DataFrame, DataFrame]:
+    """Components (id, component) after new edges, and the rows of it that are new or changed, from known (id, component).
+
+    The ends of the new edges are replaced by their known labels, and components
+    are found over these labels alone, in rounds over rows that are no more than
+    the new edges. Known rows are read once for the labels and once to be
+    relabelled; only those of components that were merged change. Self-loops and
+    nulls are ignored; ids that only new edges have are added.
+    """
+    new = materialize(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u <> v").distinct(), "grown")
+    ends = new.select(F.col("u").alias("id")).union(new.select("v")).distinct()
+    labels = materialize(ends.join(known, "id", "left").select("id", F.coalesce("component", "id").alias("label"), F.col("component").isNull().alias("fresh")), "labels")
+    of = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
+    merged = connected_components(new.join(of("u"), "u").join(of("v"), "v"), "u_label", "v_label")
+    merged = materialize(merged.filter("id <> component").select(F.col("id").alias("_old"), F.col("component").alias("_new")), "merged")
+    moved = known.join(merged, F.col("component") == F.col("_old")).select("id", F.col("_new").alias("component"))
+    added = labels.filter("fresh").join(merged, F.col("label") == F.col("_old"), "left").select("id", F.coalesce("_new", "label").alias("component"))
+    kept = known.join(merged, F.col("component") == F.col("_old"), "left_anti").select("id", "component")
+    changed = materialize(moved.unionByName(added), "changed")
+    return kept.unionByName(changed), changed

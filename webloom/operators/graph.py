@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.operators.components import connected_components
+from webloom.operators.paths import two_ended_path
 from webloom.runtime import materialize
 
 # Kinds that a visitor can go to, and edges that make a node linked.
@@ -99,16 +100,7 @@ def bfs(edges: DataFrame, sources: DataFrame, target: str | None = None, max_lev
 
 def shortest_path(edges: DataFrame, src: str, dst: str, rels: tuple[str, ...] = ()) -> list[str]:
     """URLs from src to dst, both included; empty if there is no way."""
-    spark = edges.sparkSession
-    found = materialize(bfs(edges, spark.createDataFrame([(src,)], "url string"), dst, rels=rels), "paths")
-    path, at = [], dst
-    while at is not None:
-        row = found.filter(F.col("url") == at).first()
-        if row is None:
-            return []
-        path.append(at)
-        at = row["parent"]
-    return path[::-1]
+    return two_ended_path(edges, src, dst, rels)
 
 
 def path_from_first(edges: DataFrame, sources: DataFrame, dst: str) -> list[str]:

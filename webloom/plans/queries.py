@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from webloom.functions import fingerprint, html, js, passive, robots, urls
 from webloom.functions.scope import ScopeRules, path_has_prefix
-from webloom.operators import build, diff, frontier, graph
+from webloom.operators import build, diff, frontier, graph, history
+from webloom.operators.components import connected_components, grow_components
 from webloom.plans.demo import SITE, TRACES, crawl, crawl_sql, page_urls, table, traces
 from webloom.runtime import scratch_path
 from webloom.sources import export, store
@@ -205,6 +206,17 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components(nodes, kept)
 
 
+@query(f"""WITH m AS (SELECT '{SITE}/region/' || n_regionkey AS r, '{SITE}/nation/' || n_nationkey AS n, '{SITE}/customer/' || c_custkey AS c, '{SITE}/order/' || o_orderkey AS o
+      FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey),
+    a AS (SELECT r, r AS url FROM m UNION SELECT r, n FROM m UNION SELECT r, c FROM m WHERE c IS NOT NULL UNION SELECT r, o FROM m WHERE o IS NOT NULL) SELECT url, min(url) OVER (PARTITION BY r) AS component FROM a""")
+def components_grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the old crawl's links, brought up to date with the new crawl's."""
+    links = [crawl(spark, sf_dir, side).edges.filter("rel = 'href'") for side in ("old", "new")]
+    known = connected_components(links[0], "src_url", "dst_url")
+    found, _ = grow_components(known, links[1], "src_url", "dst_url")
+    return found.select(F.col("id").alias("url"), "component")
+
+
 @query(f"WITH {crawl_sql()} SELECT src_url, rel FROM edges WHERE dst_url = '{SITE}/customer/7'")
 def links_to(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.in_edges(crawl(spark, sf_dir).edges, f"{SITE}/customer/7").select("src_url", "rel")
@@ -260,6 +272,30 @@ def diff_disappeared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.disappeared_nodes(old.nodes, new.nodes).select("url", "kind")
 
 
+@query(f"""{PAIR}, t AS (SELECT src_url, dst_url, rel, true AS a, false AS b FROM o_edges UNION ALL SELECT src_url, dst_url, rel, false, true FROM n_edges),
+    s AS (SELECT src_url, dst_url, rel, bool_or(a) AS a, bool_or(b) AS b FROM t GROUP BY ALL)
+    SELECT src_url, dst_url, rel, CASE WHEN a THEN 0 ELSE 1 END AS first_seen, CASE WHEN a THEN 2 ELSE 1 END AS last_seen, CASE WHEN a AND b THEN 3 WHEN a THEN 2 ELSE 1 END AS crawls, CASE WHEN a AND NOT b THEN 1 ELSE 0 END AS returns FROM s""")
+def edge_lifetimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The old crawl, the new one and the old one again as one history: when each edge was there."""
+    old, new = _pair(spark, sf_dir)
+    return history.lifetimes(history.edge_history([old, new, old]))
+
+
+@query(f"{PAIR}, {CHANGED} SELECT url, array_to_string(f, ',') AS fields FROM changed WHERE len(f) > 0")
+def history_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed nodes between two crawls, from the history of three."""
+    old, new = _pair(spark, sf_dir)
+    found = history.changed_between(history.node_history([new, old, new]), 1, 2)
+    return found.select("url", F.array_join(F.transform("changes", lambda c: c["field"]), ",").alias("fields"))
+
+
+@query(f"{PAIR}, {ADDED} SELECT 'added' AS change, * FROM added UNION ALL SELECT 'removed', * FROM removed")
+def history_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of one of two crawls only, from the history of three."""
+    old, new = _pair(spark, sf_dir)
+    return history.between(history.edge_history([new, old, new]), 1, 2).select("change", *diff.EDGE)
+
+
 @query(f"{PAIR}, {CHANGED} SELECT url, array_to_string(f, ',') AS fields FROM changed WHERE len(f) > 0")
 def diff_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _pair(spark, sf_dir)
