@@ -44,6 +44,21 @@ def orphans(nodes: DataFrame, edges: DataFrame, seeds: list[str] | None = None)
     return own.join(anchors, own["url"] == anchors["dst_url"], "left_anti")
 
 
+def orphans_by_links(nodes: DataFrame, links: DataFrame, seeds: list[str] | None = None) -> DataFrame:
+    """orphans() with their rels, from links counted by node (url, way, rel, n): both joins are on the node's URL."""
+    anchors = links.filter((F.col("way") == "in") & F.col("rel").isin(*ANCHORS)).select(F.col("url").alias("dst_url"))
+    found = orphans(nodes, anchors.withColumn("rel", F.lit(ANCHORS[0])), seeds)
+    return orphan_references(found, links.filter("way = 'in'").select(F.col("url").alias("dst_url"), "rel"))
+
+
+def hubs_by_links(nodes: DataFrame, links: DataFrame, limit: int = 0) -> DataFrame:
+    """hubs() from links counted by node."""
+    own = nodes.filter(~F.col("external") & F.col("kind").isin(*NAVIGABLE)).select("url")
+    n = links.filter("way = 'in'").groupBy("url").agg(F.sum("n").alias("in_degree"))
+    ranked = own.join(n, "url", "left").withColumn("in_degree", F.coalesce("in_degree", F.lit(0).cast("long"))).orderBy(F.desc("in_degree"), "url")
+    return ranked.limit(limit) if limit > 0 else ranked
+
+
 def orphan_references(found: DataFrame, edges: DataFrame) -> DataFrame:
     """(url, rels): the kinds of edges that do lead to each orphan; `sitemap or seed list only` where none does."""
     rels = edges.groupBy(F.col("dst_url").alias("url")).agg(F.array_join(F.array_sort(F.collect_set("rel")), ", ").alias("rels"))

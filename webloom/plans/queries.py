@@ -573,3 +573,50 @@ def store_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         g = crawl(spark, sf_dir, side)
         kept.save(g.nodes.drop("techs"), g.edges, g.findings, SITE, side)
     return kept.load(kept.resolve("latest:shop"))[2].select("url", "kind", "value")
+
+
+def _stored_pair(spark: SparkSession, sf_dir: str) -> tuple[store.Store, list[str]]:
+    """The old and the new crawl, saved in buckets, and their ids."""
+    kept = store.Store(spark, scratch_path(spark, "store"), buckets=8)
+    none = F.array().cast("array<string>")
+    whole = F.transform("techs", lambda t: F.struct(t["name"].alias("name"), t["version"].alias("version"), none.alias("categories"), F.lit(0).alias("confidence"), none.alias("evidence")))
+    ids = []
+    for side in ("old", "new"):
+        g = crawl(spark, sf_dir, side)
+        ids.append(kept.save(g.nodes.withColumn("techs", whole), g.edges, g.findings, SITE, side))
+    return kept, ids
+
+
+@query(SQL["diff_edges"])
+def stored_diff_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of one of two stored crawls, joined bucket by bucket."""
+    kept, ids = _stored_pair(spark, sf_dir)
+    old, new = (kept.load(i)[1] for i in ids)
+    mark = lambda df, what: df.select(F.lit(what).alias("what"), *diff.EDGE)
+    return mark(diff.appeared_edges(old, new), "appeared").unionByName(mark(diff.disappeared_edges(old, new), "disappeared"))
+
+
+@query(SQL["diff_changed"])
+def stored_diff_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed nodes of two stored crawls, joined bucket by bucket."""
+    kept, ids = _stored_pair(spark, sf_dir)
+    old, new = (kept.load(i)[0] for i in ids)
+    return diff.changed_nodes(old, new).select("url", F.array_join(F.transform("changes", lambda c: c["field"]), ",").alias("fields"))
+
+
+@query(SQL["orphans"])
+def stored_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orphans of a stored crawl, from its counted links."""
+    kept = store.Store(spark, scratch_path(spark, "store"), buckets=8)
+    g = crawl(spark, sf_dir)
+    crawl_id = kept.save(g.nodes.drop("techs"), g.edges, g.findings, SITE)
+    return graph.orphans_by_links(kept.load(crawl_id)[0], kept.links(crawl_id))
+
+
+@query(SQL["hubs_topk"])
+def stored_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most linked nodes of a stored crawl, from its counted links."""
+    kept = store.Store(spark, scratch_path(spark, "store"), buckets=8)
+    g = crawl(spark, sf_dir)
+    crawl_id = kept.save(g.nodes.drop("techs"), g.edges, g.findings, SITE)
+    return graph.hubs_by_links(kept.load(crawl_id)[0], kept.links(crawl_id), 20)
