@@ -506,6 +506,17 @@ def adjacency_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("url", F.array_join(F.transform("links", lambda x: F.concat_ws(" ", x["to"], x["rel"])), "; ").alias("links"))
 
 
+@query(f"""WITH {crawl_sql()}, chunks AS (SELECT src_url, dst_url, rel, (row_number() OVER (ORDER BY src_url, dst_url, rel) - 1) // 3 AS chunk FROM edges),
+    a AS (SELECT src_url AS url, chunk, string_agg(dst_url || ' ' || rel, '; ' ORDER BY dst_url, rel) AS links FROM chunks GROUP BY 1, 2),
+    b AS (SELECT url, chunk - min(chunk) OVER (PARTITION BY url) AS block, links FROM a)
+    SELECT n.url, coalesce(block, 0) AS block, coalesce(links, '') AS links FROM nodes n LEFT JOIN b ON b.url = n.url""")
+def adjacency_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The adjacency list in blocks of at most three links."""
+    g = crawl(spark, sf_dir)
+    found = export.adjacency_blocks(g.nodes, g.edges, 3)
+    return found.select("url", "block", F.array_join(F.transform("links", lambda x: F.concat_ws(" ", x["to"], x["rel"])), "; ").alias("links"))
+
+
 @query(f"""WITH {crawl_sql()}, i AS (SELECT dst_url AS url, count(*) AS n FROM edges GROUP BY 1), u AS (SELECT src_url AS url, count(*) AS n FROM edges GROUP BY 1)
     SELECT nodes.url, kind, host, depth, external, status_code AS status, title, coalesce(i.n, 0) AS in_degree, coalesce(u.n, 0) AS out_degree, CASE WHEN len(techs) > 0 THEN techs[1].name || ' ' || techs[1].version ELSE '' END AS techs
     FROM nodes LEFT JOIN i ON i.url = nodes.url LEFT JOIN u ON u.url = nodes.url""")
