@@ -16,6 +16,8 @@ from webloom.runtime import materialize
 # Kinds that a visitor can go to, and edges that make a node linked.
 NAVIGABLE = ("page", "api", "form", "document")
 ANCHORS = ("href", "link", "stylesheet", "script", "image", "media")
+#: What reports say of an orphan that no edge leads to.
+UNLINKED = "sitemap or seed list only"
 
 
 def in_degrees(edges: DataFrame) -> DataFrame:
@@ -44,11 +46,11 @@ def orphans(nodes: DataFrame, edges: DataFrame, seeds: list[str] | None = None)
     return own.join(anchors, own["url"] == anchors["dst_url"], "left_anti")
 
 
-def orphans_by_links(nodes: DataFrame, links: DataFrame, seeds: list[str] | None = None) -> DataFrame:
+def orphans_by_links(nodes: DataFrame, links: DataFrame, seeds: list[str] | None = None, unlinked: str | None = UNLINKED) -> DataFrame:
     """orphans() with their rels, from links counted by node (url, way, rel, n): both joins are on the node's URL."""
     anchors = links.filter((F.col("way") == "in") & F.col("rel").isin(*ANCHORS)).select(F.col("url").alias("dst_url"))
     found = orphans(nodes, anchors.withColumn("rel", F.lit(ANCHORS[0])), seeds)
-    return orphan_references(found, links.filter("way = 'in'").select(F.col("url").alias("dst_url"), "rel"))
+    return orphan_references(found, links.filter("way = 'in'").select(F.col("url").alias("dst_url"), "rel"), unlinked)
 
 
 def hubs_by_links(nodes: DataFrame, links: DataFrame, limit: int = 0) -> DataFrame:
@@ -59,10 +61,10 @@ def hubs_by_links(nodes: DataFrame, links: DataFrame, limit: int = 0) -> DataFra
     return ranked.limit(limit) if limit > 0 else ranked
 
 
-def orphan_references(found: DataFrame, edges: DataFrame) -> DataFrame:
-    """(url, rels): the kinds of edges that do lead to each orphan; `sitemap or seed list only` where none does."""
+def orphan_references(found: DataFrame, edges: DataFrame, unlinked: str | None = UNLINKED) -> DataFrame:
+    """(url, rels): the kinds of edges that do lead to each orphan; unlinked where none does."""
     rels = edges.groupBy(F.col("dst_url").alias("url")).agg(F.array_join(F.array_sort(F.collect_set("rel")), ", ").alias("rels"))
-    return found.select("url").join(rels, "url", "left").withColumn("rels", F.coalesce("rels", F.lit("sitemap or seed list only")))
+    return found.select("url").join(rels, "url", "left").withColumn("rels", F.coalesce("rels", F.lit(unlinked).cast("string")))
 
 
 def hubs(nodes: DataFrame, edges: DataFrame, limit: int = 0) -> DataFrame:
