@@ -37,7 +37,7 @@ def folder_with(tmp_path, **changed):
     return tmp_path
 
 
-@pytest.mark.parametrize("name", ["orphans"])
+@pytest.mark.parametrize("name", ["orphans", "stored_orphans"])
 def test_orphan_that_nothing_leads_to(spark, tmp_path, name):
     folder = folder_with(tmp_path, customer="SELECT * FROM {0} UNION ALL SELECT * REPLACE (c_custkey + 900000 AS c_custkey) FROM {0} WHERE c_custkey < 4")
     got = same_as_sql(spark, folder, name)
