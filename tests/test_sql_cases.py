@@ -42,3 +42,11 @@ def test_orphan_that_nothing_leads_to(spark, tmp_path, name):
     folder = folder_with(tmp_path, customer="SELECT * FROM {0} UNION ALL SELECT * REPLACE (c_custkey + 900000 AS c_custkey) FROM {0} WHERE c_custkey < 4")
     got = same_as_sql(spark, folder, name)
     assert got[got.url.str.contains("/customer/90000")].rels.isna().all() and got.rels.isna().sum() >= 3
+
+
+def test_titles_with_odd_references(spark, tmp_path):
+    titles = ["cut &amp", " a&nbsp;b \t\n c ", "&#39;q&#x27;&apos;", "&amp;lt;&lt;b&gt;", "\u00a0x\u2003y\u000bz\u001cw", "a\u3000\n", "b\u00a0", "", "&copy &eacute;", "open <b>x"]
+    bodies = [*(f"<title>{t}</title><p>" for t in titles), "<TITLE>Big</TITLE>", "<title lang=en>with</title>", "no title", "", "<title>one</title><title>two</title>"]
+    values = ", ".join(f"({i}, {'chr(9) || ' if i % 2 else ''}'{b.replace("'", "''")}')" for i, b in enumerate(bodies))
+    folder = folder_with(tmp_path, pages=f"SELECT i AS page_id, 'https://a.test/' || i AS url, h AS html FROM (VALUES {values}, (99, NULL)) v(i, h)")
+    assert len(same_as_sql(spark, folder, "page_title")) == len(bodies) + 1
