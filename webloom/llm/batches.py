@@ -2,13 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from webloom.runtime import small_batches
 
-from webloom.runtime import ship_package
-
-
-def small_batches(spark: SparkSession, rows: int = 2000, mb: int = 8) -> None:
-    """Bound the Arrow batches that executors hand to Python, by rows and bytes, and see that they have this package."""
-    ship_package()
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{mb}m")
+__all__ = ["small_batches"]
