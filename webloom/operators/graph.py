@@ -97,8 +97,8 @@ def bfs(edges: DataFrame, sources: DataFrame, target: str | None = None, max_lev
     costs no more than the current one.
     """
     used = edges.filter(F.col("rel").isin(*rels)) if rels else edges
-    # written: each level joins it again
-    used = materialize(used.select("src_url", "dst_url").distinct(), "used")
+    # written: each level joins it again; repeats of an edge make no difference to the parent, so they need no shuffle
+    used = materialize(used.select("src_url", "dst_url"), "used")
     frontier = materialize(sources.select("url", F.lit(0).alias("level"), F.lit(None).cast("string").alias("parent")).dropDuplicates(["url"]), "level")
     visited, level = frontier, 0
     while True:
