@@ -6,6 +6,8 @@ letters such as é for word characters and would miss matches beside them.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +50,14 @@ BUCKET_NEEDS = ("amazonaws.com", "amazonaws.com", "//storage.", ".blob.core.wind
 SECRET_NEEDS = ("akia", "asia", "aiza", "gh", "xox", "sk_live_", "private key-----")
 
 
+#: A boundary before what begins with a letter or digit, which needs no look ahead.
+_BEFORE_WORD = re.compile(r"\\b(?=(?:\((?:\?:)?)*(?:[0-9A-Za-z]|\[a-z0-9\]))")
+
+
 def java_pattern(pattern: str) -> str:
-    return pattern.replace(r"\b", B)
+    """The pattern with ASCII word boundaries; what goes before an @ can't hold one, so it is never given back."""
+    pattern = _BEFORE_WORD.sub(lambda m: r"(?<![0-9A-Za-z_])", pattern)
+    return pattern.replace(r"\b", B).replace("]+@", "]++@")
 
 
 def _all(text: Column, pattern: str, cap: int, group: int = 0, needs: str | tuple[str, ...] = ()) -> Column:
