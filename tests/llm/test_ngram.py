@@ -98,3 +98,8 @@ def test_short_contexts_differ_within_a_bucket():
     kept = ngram._short(hashes)
     top = np.bincount((kept >> np.uint64(56)).astype(np.int64), minlength=256)
     assert top.min() > 100 and len(np.unique(kept)) == 50_000 and not (kept & ngram.TAIL_MASK).any()
+
+
+def test_a_block_fits_a_worker():
+    """A worker that counts three-word phrases takes some 170 bytes a token of its block beside the interpreter: no more than 400 MB."""
+    assert ngram.BLOCK_TOKENS * 180 <= 400 << 20

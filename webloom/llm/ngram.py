@@ -37,7 +37,7 @@ from webloom.runtime import materialize, qualified, scratch_path
 #: Hashes of the marks before and after a text: no words, so any values that are none's hash.
 START, END = U64(0x243F6A8885A308D3), U64(0x13198A2E03707344)
 #: Tokens counted at a time, and for which a bucket is made.
-BLOCK_TOKENS, BUCKET_TOKENS = 3 << 20, 3_000_000
+BLOCK_TOKENS, BUCKET_TOKENS = 2 << 20, 3_000_000
 #: Words are known by so many bits of their hashes: two of a billion words share them seven times.
 WORD_MASK = U64((1 << 56) - 1)
 #: A context seen once has 42 bits of its hash and 22 of its only follower's in one number: either is
