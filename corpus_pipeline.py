@@ -30,12 +30,13 @@ def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Empty texts are near nothing and stay. If ids are null or repeated, documents
     are numbered in the order of their ids (null last) and texts first; of rows
     equal in id and text one stays, that of the least hash of all its columns.
+    Kept ids grow with the documents, so they are never broadcast.
     """
     params = minhash.MinHash(words=5, percent=80)
     odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("doc_id is null or n > 1").limit(1).count()
     if not odd:
         kept = materialize(minhash.near_duplicates(docs, params).filter("kept").select(F.col("doc_id").alias("_kept")), "kept")
-        return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+        return docs.join(kept.hint("merge"), docs["doc_id"] == kept["_kept"], "left_semi")
     same = F.sha2(F.coalesce("text", F.lit("")), 256)
     names = docs.select("doc_id", same.alias("same")).distinct()
     order = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("same")]
@@ -47,7 +48,7 @@ def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     once = materialize(once.select("row", F.col("number"), F.col("row.text").alias("text")), "once")
     kept = minhash.near_duplicates(once, params, id_col="number").filter("kept").select(F.col("doc_id").alias("_kept"))
     kept = materialize(kept, "kept")
-    return once.join(kept, once["number"] == kept["_kept"], "left_semi").select("row.*")
+    return once.join(kept.hint("merge"), once["number"] == kept["_kept"], "left_semi").select("row.*")
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -270,7 +270,8 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash(), id_col: str = "doc_
     members = materialize(rows.join(shared, F.col("bucket") == F.col("_bucket")).select("bucket", "doc_id", "n_shingles", "least", "salts").distinct(), "members")
     ids = members.select(F.col("doc_id").alias("_id")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = materialize(texts.join(ids, F.col("id") == F.col("_id"), "left_semi"), "texts")
+    # ids grow with the documents, so they are never broadcast
+    texts = materialize(texts.join(ids.hint("merge"), F.col("id") == F.col("_id"), "left_semi"), "texts")
 
     low = p.percent / 100 - p.margin
     packed = heads.select(F.col("doc_id").alias("id"), F.col("packed"))
