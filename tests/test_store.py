@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import threading
 from datetime import datetime, timezone
 
@@ -151,6 +152,34 @@ def test_counts_come_from_the_jobs_that_write(spark, tables, tmp_path):
     assert head["target"] == "https://a.test/" and head["finished_at"].replace(tzinfo=timezone.utc) == WHEN
 
 
+@pytest.mark.parametrize("options", [{}, {"ignore_findings": True}, {"ignore_content": True}])
+def test_rules_are_counted_a_table_at_a_time(spark, options):
+    """The counts of the whole diff, from crawls with null, repeated and shared rows, with no shuffle of all classes at once."""
+    from webloom.operators import diff
+
+    kinds = [None, "email", "secret-like", "secret"]
+    node = "url string, host string, external boolean, status_code int, content_type string, title string, content_hash string, techs array<struct<name:string,version:string>>"
+
+    def side(seed):
+        dice = random.Random(seed)
+        urls = [f"u{n}" for n in range(40) if dice.random() < 0.7]
+        nodes = [(u, f"h{dice.randrange(9)}", dice.random() < 0.4, dice.choice([200, 404, None]), None, dice.choice(["x", None]), dice.choice(["a", "b", ""]), [("t", dice.choice(["1", None]))]) for u in urls]
+        edges = [(dice.choice(urls), dice.choice(urls), dice.choice("ab")) for _ in range(90)]
+        findings = [(dice.choice(urls), dice.choice(kinds[1:]), dice.choice("xyz")) for _ in range(30)]
+        return diff.Crawl(spark.createDataFrame(nodes, node), spark.createDataFrame(edges * 2, "src_url string, dst_url string, rel string"), spark.createDataFrame(findings, "url string, kind string, value string"))
+
+    old, new = side(1), side(2)
+    chosen = diff.DiffOptions(**options)
+    want = [tuple(r) for r in diff.rule_counts(diff.diff(old, new, chosen)).collect()]
+    for parts, waves in ((0, 1), (3, 4)):
+        assert [tuple(r) for r in diff.count_rules(old, new, chosen, parts, waves).collect()] == want
+    assert dict(want)["restructured"] and dict(want)["changed"]
+    # an edge with a null field in both crawls is no change, as in SQL
+    loose = spark.createDataFrame([("u1", None, "a")], "src_url string, dst_url string, rel string")
+    more = diff.count_rules(diff.Crawl(old.nodes, old.edges.unionByName(loose), old.findings), diff.Crawl(new.nodes, new.edges.unionByName(loose), new.findings), chosen)
+    assert [tuple(r) for r in more.collect()] == want
+
+
 def test_rule_counts_come_with_the_written_diff(spark, tmp_path):
     from webloom.operators import diff
     from webloom.plans.demo import crawl

@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from webloom.runtime import freed_shuffles, materialize
+
 EDGE = ("src_url", "dst_url", "rel")
 FINDING = ("kind", "value", "url")
 # Names of the rules that can fail a run.
@@ -42,13 +44,18 @@ def disappeared_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
     return appeared_nodes(new, old)
 
 
-def changed_nodes(old: DataFrame, new: DataFrame, options: DiffOptions = DiffOptions()) -> DataFrame:
-    """(url, changes): for nodes in both, array of (field, old, new) in the order status, content_type, title, content, tech."""
+_STATE = ("status_code", "content_type", "title", "content_hash")
+
+
+def _state(nodes: DataFrame, name: str) -> DataFrame:
+    """url and what a diff looks at, named for a side."""
+    return nodes.select("url", *[F.col(c).alias(f"{name}_{c}") for c in _STATE], tech_string(F.col("techs")).alias(f"{name}_techs"))
+
+
+def _changes(options: DiffOptions) -> Column:
+    """The array of changes between the sides o and n of _state()."""
     text = lambda side, c: F.coalesce(F.col(f"{side}_{c}"), F.lit(""))
     status = lambda side: F.when(F.coalesce(F.col(f"{side}_status_code"), F.lit(0)) == 0, "-").otherwise(F.col(f"{side}_status_code").cast("string"))
-    columns = ("status_code", "content_type", "title", "content_hash")
-    side = lambda df, name: df.select("url", *[F.col(c).alias(f"{name}_{c}") for c in columns], tech_string(F.col("techs")).alias(f"{name}_techs"))
-    both = side(old, "o").join(side(new, "n"), "url")
     one = lambda name, differ, a, b: F.when(differ, F.struct(F.lit(name).alias("field"), a.alias("old"), b.alias("new")))
     pair = lambda c: (text("o", c), text("n", c))
     fields = [
@@ -59,7 +66,20 @@ def changed_nodes(old: DataFrame, new: DataFrame, options: DiffOptions = DiffOpt
         a, b = pair("content_hash")
         fields.append(one("content", (a != "") & (b != "") & (a != b), a, b))
     fields.append(one("tech", F.col("o_techs") != F.col("n_techs"), F.col("o_techs"), F.col("n_techs")))
-    return both.select("url", F.array_compact(F.array(*fields)).alias("changes")).filter(F.size("changes") > 0)
+    return F.array_compact(F.array(*fields))
+
+
+def changed_nodes(old: DataFrame, new: DataFrame, options: DiffOptions = DiffOptions()) -> DataFrame:
+    """(url, changes): for nodes in both, array of (field, old, new) in the order status, content_type, title, content, tech."""
+    both = _state(old, "o").join(_state(new, "n"), "url")
+    return both.select("url", _changes(options).alias("changes")).filter(F.size("changes") > 0)
+
+
+def _one_side(old: DataFrame, new: DataFrame, keys: tuple[str, ...], parts: int = 0) -> DataFrame:
+    """The distinct keys of one table only, with added (or removed), from one pass over both, in that many parts if it is said; nulls are equal."""
+    both = old.select(*keys, F.lit(False).alias("now")).unionByName(new.select(*keys, F.lit(True).alias("now")))
+    both = both.repartition(parts, *keys) if parts else both
+    return both.groupBy(*keys).agg(F.min("now").alias("least"), F.max("now").alias("added")).filter("least = added").drop("least")
 
 
 def appeared_edges(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -72,10 +92,7 @@ def disappeared_edges(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def changed_edges(old: DataFrame, new: DataFrame, parts: int = 0) -> DataFrame:
     """(src_url, dst_url, rel, change): edges of one crawl only, `added` or `removed`, from one pass over both, in that many parts if it is said."""
-    both = old.select(*EDGE, F.lit(False).alias("now")).unionByName(new.select(*EDGE, F.lit(True).alias("now")))
-    both = both.repartition(parts, *EDGE) if parts else both
-    sides = both.groupBy(*EDGE).agg(F.min("now").alias("least"), F.max("now").alias("most")).filter("least = most")
-    return sides.select(*EDGE, F.when(F.col("most"), F.lit("added")).otherwise(F.lit("removed")).alias("change"))
+    return _one_side(old, new, EDGE, parts).select(*EDGE, F.when(F.col("added"), F.lit("added")).otherwise(F.lit("removed")).alias("change"))
 
 
 def restructured_edges(old: Crawl, new: Crawl) -> DataFrame:
@@ -152,6 +169,39 @@ def rule_counts(changes: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def count_rules(old: Crawl, new: Crawl, options: DiffOptions = DiffOptions(), parts: int = 0, waves: int = 2) -> DataFrame:
+    """(rule, n): rule_counts() of the diff of two crawls, for when its rows are not wanted.
+
+    A job for each table, in which a row of either crawl is moved once, instead of
+    one job for all classes: its shuffles are gone when the next one begins. parts
+    deals the edges to that many tasks. Edges, the most rows by far, are compared in
+    waves by the hash of their keys, so that only a wave's lie in a shuffle at once.
+    """
+    spark = old.nodes.sparkSession
+    row = lambda df, **counts: materialize(df.agg(*[c.alias(k) for k, c in counts.items()]), "counts").first().asDict()
+    n = F.count(F.lit(1))
+    with freed_shuffles(spark):
+        links = None
+        for wave in range(waves):
+            own = [c.edges.filter(F.pmod(F.xxhash64(*EDGE), F.lit(waves)) == wave) for c in (old, new)]
+            # a source's changed links; a hub's are counted in each part first
+            changed = materialize(_one_side(*own, EDGE, parts).groupBy(F.col("src_url").alias("url")).agg(n.alias("n")), "links")
+            links = changed if links is None else links.unionByName(changed)
+        found = row(links, edges=F.coalesce(F.sum("n"), F.lit(0)))
+        both = links.select("url").distinct().join(old.nodes.select("url"), "url", "left_semi").join(new.nodes.select("url"), "url", "left_semi")
+        found |= row(both, restructured=n)
+        sides = _state(old.nodes, "o").withColumn("o", F.lit(True)).join(_state(new.nodes, "n").withColumn("n", F.lit(True)), "url", "full_outer")
+        found |= row(sides, appeared=F.count_if(F.isnull("o")), disappeared=F.count_if(F.isnull("n")), changed=F.count_if(F.col("o") & F.col("n") & (F.size(_changes(options)) > 0)))
+        found |= row(appeared_hosts(old, new), hosts=n)
+        found |= {"secret": 0, "found": 0, "gone": 0}
+        if not options.ignore_findings:
+            findings = _one_side(old.findings, new.findings, FINDING)
+            found |= row(findings, secret=F.count_if(F.col("added") & F.col("kind").contains("secret")), found=F.count_if("added"), gone=F.count_if(~F.col("added")))
+    changes = [found[k] for k in ("appeared", "disappeared", "changed")]
+    counts = (found["hosts"], found["secret"], found["found"], *changes, found["restructured"], sum(changes) + found["edges"] + found["found"] + found["gone"])
+    return spark.createDataFrame(list(zip(RULES, counts, strict=True)), "rule string, n long")
+
+
 def write_diff(changes: dict[str, DataFrame], path: str) -> dict[str, int]:
     """Write each class of change as a table below path; the rule counts, taken while they are written.
 
